@@ -171,7 +171,7 @@ vox AS (SELECT vec_id // 50 AS run_id, (vec_id % 50) // 25 AS z, ((vec_id % 50)
 def cohort(spark, d) -> DataFrame:
     """One row per customer: fov (nation), subject (region), genotype, and metrics of its orders."""
     o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
-        F.round(F.avg("o_totalprice"), 4).alias("mean_price"), F.count(F.lit(1)).alias("n_orders"))
+        (F.round(F.sum("o_totalprice"), 2) / F.count(F.lit(1))).alias("mean_price"), F.count(F.lit(1)).alias("n_orders"))
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
     j = o.join(c, "c_custkey").join(n, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -186,7 +186,7 @@ COHORT = """
 cohort AS (SELECT c_custkey AS run_id, CAST(c_nationkey AS BIGINT) AS fov, CAST(n_regionkey AS BIGINT) AS subject,
    CASE WHEN n_regionkey % 2 = 0 THEN 'wt' ELSE 'mut' END AS genotype, mean_price,
    CAST(n_orders AS DOUBLE) AS n_orders, c_acctbal AS acctbal
-  FROM (SELECT o_custkey, round(avg(o_totalprice), 4) AS mean_price, count(*) AS n_orders FROM orders GROUP BY 1) o
+  FROM (SELECT o_custkey, round(sum(o_totalprice), 2) / count(*) AS mean_price, count(*) AS n_orders FROM orders GROUP BY 1) o
   JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey)
 """
 

@@ -257,10 +257,10 @@ def _(spark, d):
 
 @query("zscore_within_group", f"""WITH {I.COHORT}
 SELECT run_id, round((mean_price - avg(mean_price) OVER w) / (stddev_samp(mean_price) OVER w + 1e-9), 6) + 0.0 AS z,
-  round(mean_price - avg(mean_price) OVER w, 8) + 0.0 AS centred FROM cohort WINDOW w AS (PARTITION BY fov)""")
+  round(mean_price - avg(mean_price) OVER w, 6) + 0.0 AS centred FROM cohort WINDOW w AS (PARTITION BY fov)""")
 def _(spark, d):
     c = R.demean_within(R.zscore_within(I.cohort(spark, d), ["fov"], "mean_price"), ["fov"], "mean_price")
-    return c.select("run_id", r6("z").alias("z"), r6("centred", 8).alias("centred"))
+    return c.select("run_id", r6("z").alias("z"), r6("centred").alias("centred"))
 
 
 @query("split_halves_thirds_folds", f"""{T}
