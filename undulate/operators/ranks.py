@@ -28,6 +28,9 @@ def ranked_values(df: DataFrame, keys: Sequence[str], v: str, weights: dict[str,
     NULL values carry no rank and are left out.
     """
     keys = list(keys)
+    taken = {"c", "n", "below", "bin"} & {*keys, v}
+    if taken:
+        raise ValueError(f"rename {sorted(taken)}: used for results")
     vc = (
         df.filter(F.col(v).isNotNull())
         .groupBy(*keys, v)
