@@ -102,12 +102,12 @@ def gini_and_shares(df, keys, v, shares=(0.05, 0.1, 0.2)) -> DataFrame:
         k = F.ceil(n * F.lit(f) - F.lit(1e-9))
         above = n - below - c
         take = F.greatest(F.lit(0), F.least(c, k - above))
-        aggs.append(F.sum(x * take).alias(f"_t{f}"))
+        aggs.append(F.sum(x * take).alias(f"_t{int(f * 100)}"))
     g = r.groupBy(*keys).agg(*aggs)
     tot = F.nullif(F.col("total"), F.lit(0.0))
     return g.select(
         *keys, "n", "total", ((2 * F.col("_w") / tot - (n + 1)) / n).alias("gini"),
-        *[(F.col(f"_t{f}") / tot).alias(f"top{int(f * 100)}pct") for f in shares])
+        *[(F.col(f"_t{int(f * 100)}") / tot).alias(f"top{int(f * 100)}pct") for f in shares])
 
 
 def histogram(df, keys, v, edges: list[float]) -> DataFrame:

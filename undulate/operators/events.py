@@ -93,13 +93,15 @@ def classify_event(n: Column, n_units: Column, f_global: float = 0.2, local_max:
     return F.when(n >= F.greatest(F.lit(2.0), n_units * f_global), "global").when(n <= local_max, "local").otherwise("multi")
 
 
-def global_frames(active, run_keys, unit, t, n_units: DataFrame, f: float = 0.2, dilate: int = 1) -> DataFrame:
+def global_frames(active, run_keys, unit, t, n_units: DataFrame, f: float = 0.2, dilate: int = 1,
+                  n_frames: int | None = None) -> DataFrame:
     """Frames within ±dilate of one with at least max(2, f·N) active units."""
     run_keys = list(run_keys)
     c = coactivation_count(active, run_keys, unit, t).join(n_units, run_keys)
     hit = c.filter(F.col("n_active") >= F.greatest(F.lit(2.0), F.col("n_units") * f))
     g = hit.select(*run_keys, F.col(t).alias("_t"), F.explode(F.sequence(F.lit(-dilate), F.lit(dilate))).alias("_o"))
-    return g.select(*run_keys, (F.col("_t") + F.col("_o")).alias(t)).distinct()
+    g = g.select(*run_keys, (F.col("_t") + F.col("_o")).alias(t)).distinct().filter(F.col(t) >= 0)
+    return g.filter(F.col(t) < n_frames) if n_frames is not None else g
 
 
 def population_footprints(active, run_keys, unit, t) -> DataFrame:
