@@ -350,7 +350,7 @@ def state_grammar(frames, bout_table, keys, t, width: int = 5) -> DataFrame:
 
 def leader_order(latencies, event_keys, unit_keys, value) -> DataFrame:
     """Mean latency rank per unit inside events (average ties), with its event count."""
-    r = with_average_rank(latencies, event_keys, value, "_rank")
+    r = with_average_rank(latencies, event_keys, value, "_rank", bounded=True)  # units of one event
     n = latencies.groupBy(*event_keys).agg(F.count(F.lit(1)).alias("_n"))
     r = r.join(n, list(event_keys)).withColumn("_rel", (F.col("_rank") - 1) / F.nullif(F.col("_n") - 1, F.lit(0)))
     return r.groupBy(*unit_keys).agg(F.avg("_rank").alias("mean_rank"), F.avg("_rel").alias("mean_rel"), F.count(F.lit(1)).alias("n_events"))
@@ -359,7 +359,7 @@ def leader_order(latencies, event_keys, unit_keys, value) -> DataFrame:
 def kendall_w(latencies, run_keys, event, unit, value) -> DataFrame:
     """Agreement of the rank orders of the events of a run whose units are all present in each."""
     run_keys = list(run_keys)
-    r = with_average_rank(latencies, [*run_keys, event], value, "_rank")
+    r = with_average_rank(latencies, [*run_keys, event], value, "_rank", bounded=True)
     s = r.groupBy(*run_keys, unit).agg(F.sum("_rank").alias("_r"), F.count(F.lit(1)).alias("_m"))
     g = s.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("n"), F.max("_m").alias("m"), (F.var_pop("_r") * F.count("_r")).alias("_ss"))
     m, n = F.col("m").cast("double"), F.col("n").cast("double")

@@ -21,11 +21,13 @@ EDGES = 512
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], v: str, weights: dict[str, Column] | None = None,
-                  small: int = SMALL_GROUP, edges: int = EDGES) -> DataFrame:
-    """One row per distinct value: ``keys, v, c`` (rows), ``below`` (rows with a smaller value), ``n``.
+                  bounded: bool = False, small: int = SMALL_GROUP, edges: int = EDGES) -> DataFrame:
+    """One row per distinct value: ``keys, v, c`` (rows), ``below`` (rows with a smaller value), ``n``, ``bin``.
 
     ``weights`` adds further per-value sums (for instance rows of one sample).
-    NULL values carry no rank and are left out.
+    NULL values carry no rank and are left out. ``bounded`` states that the data
+    model limits a group (frames of a recording, units of a recording, fields
+    of a cohort); such groups are ranked by one window.
     """
     keys = list(keys)
     taken = {"c", "n", "below", "bin"} & {*keys, v}
@@ -36,14 +38,19 @@ def ranked_values(df: DataFrame, keys: Sequence[str], v: str, weights: dict[str,
         .groupBy(*keys, v)
         .agg(F.count(F.lit(1)).alias("c"), *[F.sum(e).alias(n) for n, e in (weights or {}).items()])
     )
-    tot = vc.groupBy(*keys).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("_d"))
-    big = tot.filter(F.col("_d") > small).select(*keys, "_d")
+    if bounded:
+        w = Window.partitionBy(*keys).orderBy(v)
+        return vc.select(
+            "*",
+            F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"),
+            F.sum("c").over(Window.partitionBy(*keys)).alias("n"), F.lit(0).alias("bin"))
+    big = vc.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).filter(F.col("_d") > small)
     cuts = (
         vc.select(*keys, v).join(big, keys)
         .filter(F.pmod(F.xxhash64(v), F.floor(F.col("_d") / edges)) == 0)
         .groupBy(*keys).agg(F.sort_array(F.collect_list(v)).alias("_cuts"))
     )
-    vc = vc.join(tot.drop("_d"), keys).join(cuts, keys, "left").withColumn(
+    vc = vc.join(cuts, keys, "left").withColumn(
         "bin",
         F.when(F.col("_cuts").isNull(), F.lit(0))
         .otherwise(F.size(F.filter("_cuts", lambda e: e <= F.col(v)))),
@@ -51,7 +58,8 @@ def ranked_values(df: DataFrame, keys: Sequence[str], v: str, weights: dict[str,
     inside = Window.partitionBy(*keys, "bin").orderBy(v).rowsBetween(Window.unboundedPreceding, -1)
     bins = vc.groupBy(*keys, "bin").agg(F.sum("c").alias("_c"))
     over_bins = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offs = bins.select(*keys, "bin", F.coalesce(F.sum("_c").over(over_bins), F.lit(0)).alias("_off"))
+    offs = bins.select(*keys, "bin", F.coalesce(F.sum("_c").over(over_bins), F.lit(0)).alias("_off"),
+                       F.sum("_c").over(Window.partitionBy(*keys)).alias("n"))
     return (
         vc.withColumn("_b", F.coalesce(F.sum("c").over(inside), F.lit(0)))
         .join(offs, [*keys, "bin"])
@@ -65,9 +73,14 @@ def average_rank() -> Column:
     return F.col("below") + (F.col("c") + 1) / 2
 
 
-def with_average_rank(df: DataFrame, keys: Sequence[str], v: str, out: str, **kw) -> DataFrame:
+def with_average_rank(df: DataFrame, keys: Sequence[str], v: str, out: str, bounded: bool = False) -> DataFrame:
     """Attach the mid rank of ``v`` within ``keys`` to each row."""
-    r = ranked_values(df, keys, v, **kw).select(*keys, v, average_rank().alias(out))
+    keys = list(keys)
+    if bounded:
+        ties = F.count(v).over(Window.partitionBy(*keys, v))
+        rk = F.rank().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(v)))
+        return df.withColumn(out, F.when(F.col(v).isNotNull(), rk + (ties - 1) / 2))
+    r = ranked_values(df, keys, v).select(*keys, v, average_rank().alias(out))
     return df.join(r, [*keys, v], "left")
 
 
@@ -80,8 +93,11 @@ def quantile_from_ranks(v: str, q: float) -> Column:
     return lo + frac * (hi - lo)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], v: str, qs: dict[str, float], **kw) -> DataFrame:
-    """Quantiles of ``v`` per key for groups without a size bound."""
+def exact_quantiles(df: DataFrame, keys: Sequence[str], v: str, qs: dict[str, float], bounded: bool = False,
+                    **kw) -> DataFrame:
+    """Quantiles of ``v`` per key, for groups without a size bound unless ``bounded``."""
+    if bounded:
+        return df.groupBy(*keys).agg(*[F.percentile(v, q).alias(name) for name, q in qs.items()])
     return ranked_values(df, keys, v, **kw).groupBy(*keys).agg(
         *[quantile_from_ranks(v, q).alias(name) for name, q in qs.items()]
     )

@@ -291,7 +291,7 @@ def peak_of_run(df, keys, t, z, thr: float, min_dur: int, chunk: int = CHUNK) ->
     )
 
 
-def bh_qvalue(df, keys, p, out: str = "q") -> DataFrame:
+def bh_qvalue(df, keys, p, out: str = "q", bounded: bool = False) -> DataFrame:
     """Benjamini–Hochberg step-up over the non-NULL p of each key (a family of tests).
 
     q(p) is the least p'·n/#{≤p'} over p' ≥ p. It is a function of the value, so
@@ -299,10 +299,13 @@ def bh_qvalue(df, keys, p, out: str = "q") -> DataFrame:
     minima of the bins above.
     """
     keys = list(keys)
-    r = ranked_values(df, keys, p)
+    r = ranked_values(df, keys, p, bounded=bounded)
     r = r.withColumn("_raw", F.col(p) * F.col("n") / (F.col("below") + F.col("c")))
     inside = Window.partitionBy(*keys, "bin").orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
     over = Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    if bounded:
+        q = r.select(*keys, p, F.least(F.lit(1.0), F.min("_raw").over(inside)).alias(out))
+        return df.join(q, [*keys, p], "left")
     bins = r.groupBy(*keys, "bin").agg(F.min("_raw").alias("_bm"))
     above = bins.select(*keys, "bin", F.min("_bm").over(over).alias("_ab"))
     q = r.withColumn("_in", F.min("_raw").over(inside)).join(above, [*keys, "bin"]).select(
