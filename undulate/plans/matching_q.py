@@ -35,9 +35,9 @@ def _(spark, d):
 # order masks: many small units, many of them alike
 SIM = """
 um AS (SELECT DISTINCT l_orderkey // 200 AS run_id, l_orderkey % 200 AS unit, l_linenumber::BIGINT AS z, 0 AS y, l_suppkey % 4 AS x FROM lineitem),
-un AS (SELECT run_id, unit, count(*) AS n FROM um GROUP BY ALL),
+un AS MATERIALIZED (SELECT run_id, unit, count(*) AS n FROM um GROUP BY ALL),
 sm AS (SELECT a.run_id, a.unit AS a, b.unit AS b, count(*) AS n_ab FROM um a JOIN um b USING (run_id, z, y, x) WHERE a.unit < b.unit GROUP BY ALL),
-sp AS (SELECT s.run_id, a, b, n_ab, 2 * n_ab / (x.n + y.n) AS dice FROM sm s JOIN un x ON x.run_id = s.run_id AND x.unit = a JOIN un y ON y.run_id = s.run_id AND y.unit = b WHERE 2 * n_ab / (x.n + y.n) > 0.7)
+sp AS MATERIALIZED (SELECT s.run_id, a, b, n_ab, 2 * n_ab / (x.n + y.n) AS dice FROM sm s JOIN un x ON x.run_id = s.run_id AND x.unit = a JOIN un y ON y.run_id = s.run_id AND y.unit = b WHERE 2 * n_ab / (x.n + y.n) > 0.7)
 """
 
 
@@ -53,10 +53,10 @@ def _(spark, d):
 
 
 @query("dedup_dice_first_wins", f"""WITH RECURSIVE {SIM},
-gr AS (SELECT run_id, list((a, b)) AS e FROM sp GROUP BY ALL),
+cf AS MATERIALIZED (SELECT un.run_id, un.unit, coalesce(list(a) FILTER (a IS NOT NULL), []) AS e FROM un LEFT JOIN sp ON sp.run_id = un.run_id AND sp.b = un.unit GROUP BY ALL),
 st AS (SELECT r.run_id, -1::BIGINT AS u, []::BIGINT[] AS kept FROM (SELECT DISTINCT run_id FROM um) r
-  UNION ALL SELECT s.run_id, s.u + 1, CASE WHEN EXISTS (SELECT 1 FROM un WHERE un.run_id = s.run_id AND un.unit = s.u + 1)
-     AND NOT EXISTS (SELECT 1 FROM sp WHERE sp.run_id = s.run_id AND sp.b = s.u + 1 AND list_contains(s.kept, sp.a)) THEN list_append(s.kept, s.u + 1) ELSE s.kept END FROM st s WHERE s.u < 199)
+  UNION ALL SELECT s.run_id, s.u + 1, CASE WHEN c.unit IS NOT NULL AND NOT list_has_any(s.kept, c.e) THEN list_append(s.kept, s.u + 1) ELSE s.kept END
+  FROM st s LEFT JOIN cf c ON c.run_id = s.run_id AND c.unit = s.u + 1 WHERE s.u < 199)
 SELECT un.run_id, un.unit, list_contains(f.kept, un.unit) AS kept FROM un JOIN (SELECT run_id, kept FROM st WHERE u = 199) f USING (run_id)""")
 def _(spark, d):
     return M.dedup_dice(alike(spark, d), G, "unit", 0.7).select(*K, "kept")
@@ -158,7 +158,7 @@ sm AS (SELECT a.run_id, a.unit AS a, b.unit AS b, count(*) AS n_ab FROM masks a
 un AS (SELECT run_id, unit, count(*) AS n FROM masks GROUP BY ALL),
 p AS (SELECT a.run_id, a.unit AS a, b.unit AS b, CASE WHEN a.dff > 10 AND b.dff > 10 THEN a.dff END AS x, CASE WHEN a.dff > 10 AND b.dff > 10 THEN b.dff END AS y FROM traces a JOIN traces b ON a.run_id = b.run_id AND a.frame = b.frame AND a.unit < b.unit),
 co AS (SELECT run_id, a, b, CASE WHEN count(x) >= 10 THEN covar_pop(x, y) / sqrt(var_pop(x) * var_pop(y)) ELSE 0 END AS r FROM p GROUP BY ALL),
-e AS (SELECT s.run_id, a, b FROM sm s JOIN un x ON x.run_id = s.run_id AND x.unit = a JOIN un y ON y.run_id = s.run_id AND y.unit = b JOIN co USING (run_id, a, b) WHERE n_ab / (x.n + y.n - n_ab) > 0.02 AND r > 0.2),
+e AS (SELECT s.run_id, s.a, s.b FROM sm s JOIN un x ON x.run_id = s.run_id AND x.unit = s.a JOIN un y ON y.run_id = s.run_id AND y.unit = s.b JOIN co ON co.run_id = s.run_id AND co.a = s.a AND co.b = s.b WHERE n_ab / (x.n + y.n - n_ab) > 0.02 AND r > 0.2),
 sy AS (SELECT run_id, a, b FROM e UNION SELECT run_id, b, a FROM e),
 rc AS (SELECT run_id, unit AS root, unit AS node FROM un UNION SELECT rc.run_id, rc.root, sy.b FROM rc JOIN sy ON sy.run_id = rc.run_id AND sy.a = rc.node),
 l AS (SELECT run_id, root AS unit, min(node) AS component FROM rc GROUP BY ALL)
