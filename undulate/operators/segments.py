@@ -37,9 +37,9 @@ def sliding(
     """
     c = F.col(t)
     home = _chunk_of(c, chunk)
-    out = df.withColumn(
-        "_chunk", F.explode(F.sequence(_chunk_of(c - after, chunk), _chunk_of(c + before, chunk)))
-    )
+    # a row goes to its own chunk and to those whose windows reach it (either bound may be negative)
+    out = df.withColumn("_chunk", F.explode(F.sequence(
+        _chunk_of(c - max(after, 0), chunk), _chunk_of(c + max(before, 0), chunk))))
     w = Window.partitionBy(*keys, "_chunk").orderBy(c.cast("long")).rangeBetween(-before, after)
     out = out.select("*", *[fn(w).alias(name) for name, fn in exprs.items()])
     return out.filter(F.col("_chunk") == home).drop("_chunk")

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["rolling_q", "signal_q", "select_q", "aggregate_q", "pairs_q", "events_q", "spectral_q", "cohort_q", "voxels_q", "matching_q", "ml_q"]
+MODULES = [
+    "rolling_q", "signal_q", "select_q", "aggregate_q", "pairs_q", "events_q", "spectral_q", "cohort_q", "voxels_q",
+    "matching_q", "ml_q", "reports_q",
+]
 
 
 def query(name: str, sql: str | None = None):
