@@ -290,3 +290,29 @@ def test_streams_equal_batch(spark, tmp_path):
         got = rows(spark.table(f"tw{i}"), "*")
         # append mode keeps the islands the watermark has not closed yet
         assert got == batch if i == 0 else set(got) <= set(batch) and len(got) >= len(batch) - 10
+
+
+def test_frame_scan_pushes_range(spark, tmp_path):
+    p = str(tmp_path / "frames")
+    d = spark.createDataFrame([("r", "ca", t, 0, 0, [1.0]) for t in range(6)],
+                              "run_id string, channel string, t int, z int, y int, vals array<float>")
+    d.write.parquet(p)
+    f = T.read_frames(spark, p, 2, 5).select("t")
+    assert rows(f, "t") == [(2,), (3,), (4,)]
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(t,2)" in plan and "vals" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_schema_is_enforced(spark):
+    from undulate.schemas import validate
+
+    d = spark.createDataFrame([("r", 1.0)], "run_id string, time_s double")
+    with pytest.raises(ValueError):
+        validate(d, "global_trace")
+
+
+def test_metrics_json_missing_section(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"run": "a", "detect": {"n": 3}}')
+    (tmp_path / "b.json").write_text('{"run": "b"}')
+    j = T.read_metrics_json(spark, str(tmp_path), "run string, detect struct<n: int>, stats struct<r: double>")
+    assert rows(j.select("run", F.col("detect.n").alias("n"), F.col("stats.r").alias("r")), "run", "n", "r") == [("a", 3, None), ("b", None, None)]

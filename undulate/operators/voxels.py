@@ -52,17 +52,33 @@ def shifted(masks: DataFrame, offs, sign: int = 1) -> DataFrame:
     return m.withColumn("dd", F.col("_o.dd")).drop("_o")
 
 
-def _clip(df: DataFrame, grid) -> DataFrame:
-    if grid is None:
-        return df
-    for a, n in zip(ZYX, grid):
-        df = df.filter((F.col(a) >= 0) & (F.col(a) < n))
-    return df
+def spread(masks, keys, offs, grid: Sequence[int] | None = None) -> DataFrame:
+    """Every voxel moved by every offset, clipped to the grid: ``keys, z, y, x, dd``.
+
+    The (dz, dy) part is applied first and the result partitioned by grid row;
+    the dx part is applied behind that shuffle. It moves a row per (dz, dy)
+    instead of one per offset, a large unit spreads over its grid rows, and a
+    following aggregation per voxel needs no further exchange.
+    """
+    steps: dict[tuple[int, int], list] = {}
+    for dz, dy, dx, d in offs:
+        steps.setdefault((dz, dy), []).append((dx, d))
+    lit = F.array(*[
+        F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"),
+                 F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(float(d)).alias("dd")) for x, d in v]).alias("xs"))
+        for (dz, dy), v in sorted(steps.items())])
+    r = masks.select(*keys, *ZYX, F.explode(lit).alias("_o")).select(
+        *keys, (F.col("z") + F.col("_o.dz")).alias("z"), (F.col("y") + F.col("_o.dy")).alias("y"), "x", F.col("_o.xs").alias("_xs"))
+    if grid is not None:
+        r = r.filter(F.col("z").between(0, grid[0] - 1) & F.col("y").between(0, grid[1] - 1))
+    r = r.repartition(*keys, "z", "y").withColumn("_s", F.explode("_xs"))
+    r = r.select(*keys, "z", "y", (F.col("x") + F.col("_s.dx")).alias("x"), F.col("_s.dd").alias("dd"))
+    return r.filter(F.col("x").between(0, grid[2] - 1)) if grid is not None else r
 
 
 def dilate(masks, keys, offs, grid: Sequence[int] | None = None) -> DataFrame:
     """Union of the moved masks, clipped to the grid."""
-    return _clip(shifted(masks.select(*keys, *ZYX), offs).select(*keys, *ZYX), grid).distinct()
+    return spread(masks, keys, offs, grid).select(*keys, *ZYX).distinct()
 
 
 def erode(masks, keys, offs) -> DataFrame:
@@ -88,8 +104,8 @@ def core_shell_regions(masks, run_keys, unit, grid=None, core_r=1, shell=(2, 3))
     core = erode(m, keys, ball(core_r))
     core = core.unionByName(m.join(core.select(*keys).distinct(), keys, "left_anti"))
     # both dilations in one pass: the least distance of each target
-    near = shifted(m, ball(shell[1])).groupBy(*keys, *ZYX).agg(F.min("dd").alias("dd"))
-    ring = _clip(near.filter(F.col("dd") > shell[0] + 1e-9).select(*keys, *ZYX), grid)
+    near = spread(m, keys, ball(shell[1]), grid).groupBy(*keys, *ZYX).agg(F.min("dd").alias("dd"))
+    ring = near.filter(F.col("dd") > shell[0] + 1e-9).select(*keys, *ZYX)
     taken = m.select(*run_keys, *ZYX).distinct()
     ring = ring.join(taken, [*run_keys, *ZYX], "left_anti")
     return core.withColumn("region", F.lit("core")).unionByName(ring.withColumn("region", F.lit("shell")))
@@ -98,8 +114,8 @@ def core_shell_regions(masks, run_keys, unit, grid=None, core_r=1, shell=(2, 3))
 def distance_to_mask(masks, keys, radius: float, size=(1.0, 1.0, 1.0), grid=None) -> DataFrame:
     """Least distance of each outside voxel within ``radius`` of the mask of its key."""
     m = masks.select(*keys, *ZYX).distinct()
-    d = shifted(m, ball(radius, size)).groupBy(*keys, *ZYX).agg(F.min("dd").alias("dist"))
-    return _clip(d.filter(F.col("dist") > 0), grid)
+    d = spread(m, keys, ball(radius, size), grid).groupBy(*keys, *ZYX).agg(F.min("dd").alias("dist"))
+    return d.filter(F.col("dist") > 0)
 
 
 def distance_rings(masks, keys, edges: list[float], size=(1.0, 1.0, 1.0), grid=None) -> DataFrame:
@@ -461,6 +477,12 @@ def pca_shape(masks, keys, size=(1.0, 1.0, 1.0)) -> DataFrame:
                     F.degrees(F.acos(F.least(F.lit(1.0), F.abs("ay")))).alias("angle_deg"), kind.alias("kind"))
 
 
+def active_voxels(frame, keys, v: str, share: float) -> DataFrame:
+    """Voxels of an event frame that reach ``share`` of its maximum; :func:`pca_shape` classifies their layout."""
+    m = frame.groupBy(*keys).agg(F.max(v).alias("_mx"))
+    return frame.join(m, list(keys)).filter(F.col(v) >= share * F.col("_mx")).select(*keys, *ZYX)
+
+
 def _cross(a, b):
     return (a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0])
 

@@ -405,3 +405,17 @@ def _(spark, d):
     return c.groupBy(*VK).agg(r6(F.stddev_pop("clean"), 4).alias("sd_clean"), r6(F.abs(F.max("loading")), 3).alias("loading"))
 
 
+
+
+@query("active_voxel_morphology", f"""{X}, g AS (SELECT run_id, t, avg(v) AS g FROM vox GROUP BY ALL),
+e AS (SELECT run_id, t FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY round(g, 9) DESC, t) AS rn FROM g) WHERE rn = 1),
+f AS (SELECT v.* FROM vox v JOIN e USING (run_id, t)), m AS (SELECT run_id, max(v) AS mx FROM f GROUP BY ALL)
+SELECT run_id, count(*) AS n_vox, round(15.21 * var_pop(z) + var_pop(y) + 1.44 * var_pop(x), 5) AS extent FROM f JOIN m USING (run_id) WHERE v >= 0.3 * mx GROUP BY ALL""")
+def _(spark, d):
+    from undulate.operators.topk import top_n
+
+    v = I.voxels_long(spark, d)
+    g = v.groupBy(*G, "t").agg(F.round(F.avg("v"), 9).alias("g"))
+    f = v.join(top_n(g, G, "g", 1, ["t"]).select(*G, "t"), [*G, "t"])
+    s = V.pca_shape(V.active_voxels(f, G, "v", 0.3), G, (3.9, 1.0, 1.2))
+    return s.select(*G, "n_vox", r6(F.col("w0") + F.col("w1") + F.col("w2"), 5).alias("extent"))
