@@ -121,13 +121,14 @@ def _(spark, d):
         "min_p", F.round(C.minimum_p(F.col("n_fov")), 10))
 
 
-@query("compare_sources", f"""WITH {FOV2}, o AS (SELECT 1 AS one, auto, human FROM df), s AS ({spearman_sql('o', 'one', 'auto', 'human')})
-SELECT n, round(rho, 6) + 0.0 AS rho, round((SELECT avg(CASE WHEN sign(d) = sign(auto - 4500) THEN 1.0 ELSE 0 END) FROM df), 6) AS sign_agreement FROM s""")
+@query("compare_sources", f"""WITH {FOV2}, s AS ({spearman_sql('df', 'genotype', 'auto', 'human')}),
+a AS (SELECT genotype, avg(CASE WHEN sign(d) = sign(auto - 4500) THEN 1.0 ELSE 0 END) AS g FROM df GROUP BY ALL)
+SELECT genotype, n, round(rho, 6) + 0.0 AS rho, round(g, 6) AS sign_agreement FROM s JOIN a USING (genotype)""")
 def _(spark, d):
-    f = fov_sources(spark, d).withColumn("one", F.lit(1))
-    s = spearman(f, ["one"], "auto", "human", bounded=True)
-    a = f.groupBy("one").agg(r6(F.avg((F.signum("d") == F.signum(F.col("auto") - 4500)).cast("double"))).alias("sign_agreement"))
-    return s.join(a, "one").select("n", r6("rho").alias("rho"), "sign_agreement")
+    f = fov_sources(spark, d)
+    s = spearman(f, ["genotype"], "auto", "human", bounded=True)
+    a = f.groupBy("genotype").agg(r6(F.avg((F.signum("d") == F.signum(F.col("auto") - 4500)).cast("double"))).alias("sign_agreement"))
+    return s.join(a, "genotype").select("genotype", "n", r6("rho").alias("rho"), "sign_agreement")
 
 
 RI = """

@@ -109,12 +109,12 @@ def _(spark, d):
     return rows.select(*K, "cluster")
 
 
-@query("cluster_fov_information", """SELECT round(sum(p * ln(p / (pa * pb))), 6) AS mi FROM (
- SELECT c / sum(c) OVER () AS p, sum(c) OVER (PARTITION BY l_returnflag) / sum(c) OVER () AS pa, sum(c) OVER (PARTITION BY l_linestatus) / sum(c) OVER () AS pb
- FROM (SELECT l_returnflag, l_linestatus, count(*) AS c FROM lineitem GROUP BY ALL))""")
+@query("cluster_fov_information", """SELECT l_linenumber, round(sum(p * ln(p / (pa * pb))), 8) AS mi FROM (
+ SELECT l_linenumber, c / sum(c) OVER w AS p, sum(c) OVER (PARTITION BY l_linenumber, l_returnflag) / sum(c) OVER w AS pa, sum(c) OVER (PARTITION BY l_linenumber, l_linestatus) / sum(c) OVER w AS pb
+ FROM (SELECT l_linenumber, l_returnflag, l_linestatus, count(*) AS c FROM lineitem GROUP BY ALL) WINDOW w AS (PARTITION BY l_linenumber)) GROUP BY ALL""")
 def _(spark, d):
-    l = I.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", F.lit(1).alias("one"))
-    return L.mutual_information(l, ["one"], "l_returnflag", "l_linestatus").select(r6("mi").alias("mi"))
+    l = I.table(spark, d, "lineitem").select("l_linenumber", "l_returnflag", "l_linestatus")
+    return L.mutual_information(l, ["l_linenumber"], "l_returnflag", "l_linestatus").select("l_linenumber", r6("mi", 8).alias("mi"))
 
 
 @query("gmm_bic")

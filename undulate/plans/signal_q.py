@@ -258,7 +258,7 @@ def _(spark, d):
 s AS (SELECT run_id, event_type AS signal, us / 3600000000.0 AS h, avg(value) AS v FROM ev GROUP BY ALL),
 seg AS (SELECT run_id, signal, h AS t0, v AS v0, lead(h) OVER w AS t1, lead(v) OVER w AS v1 FROM s
    WINDOW w AS (PARTITION BY run_id, signal ORDER BY h)),
-g AS (SELECT run_id, signal, f * 6.0 AS at FROM (SELECT DISTINCT run_id, signal FROM s), (SELECT unnest(range(120)) AS f))
+g AS (SELECT run_id, signal, f * 6.0::DOUBLE AS at FROM (SELECT DISTINCT run_id, signal FROM s), (SELECT unnest(range(120)) AS f))
 SELECT g.run_id, g.signal, g.at, round(v0 + (g.at - t0) / (t1 - t0) * (v1 - v0), 6) + 0.0 AS value
 FROM g LEFT JOIN seg ON seg.run_id = g.run_id AND seg.signal = g.signal AND g.at >= t0 AND g.at < t1""")
 def _(spark, d):
