@@ -43,8 +43,8 @@ def similar_pairs(masks, run_keys, unit: str, dice: float) -> DataFrame:
     Voxels are ordered from rare to common. Two sets with Dice above d share at
     least one voxel among the first n − ⌈n·d/(2−d)⌉ + 1 of each, so candidates
     come from rare voxels only; a voxel claimed by very many units is almost
-    never in a prefix. Identical masks are collapsed to their first unit before
-    and reported through it. Candidates are verified on all voxels.
+    never in a prefix. Candidates are verified on all voxels. Collapse exact
+    copies with :func:`collapse_identical` first where only one of them matters.
     """
     from pyspark.sql import Window
 
