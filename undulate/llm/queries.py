@@ -4,18 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from undulate.llm import op3_blob_ledger, op7_simhash_planes
 from undulate.llm.common import table
+from undulate.llm.op2_language_filters import identify
 from undulate.llm.op6_source_mix import mix
 from undulate.llm.op8_url_rules import judge
 from undulate.llm.op9_token_records import read_records, token_positions, write_records
 from undulate.llm.op10_packing import pack
 
 
+def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op3_blob_ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, _, _ = op3_blob_ledger.scan(table(spark, sf_dir, "documents"))
+    return op3_blob_ledger.digest(report)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_simhash_planes.digest(op7_simhash_planes.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -29,4 +44,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_source_mix, op8_url_rules, op9_token_records, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_language_filters, op3_blob_ledger_scan, op6_source_mix, op7_simhash_near_duplicates, op8_url_rules, op9_token_records, op10_packing)}
