@@ -127,11 +127,11 @@ def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The documents with every found span replaced by `mark`, and n_chars as it is then; all rows and columns are kept."""
     columns = docs.columns
     report, _, _ = scan(docs)
-    report = report.where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans")).dropDuplicates(["__blob"])
-    rows = docs.withColumn("__own", blob(F.col("text"))).join(report, F.col("__own") == F.col("__blob"), "left")
+    report = report.where(F.size("spans") > 0).select(F.col("blob").alias("__ledger_blob"), F.col("spans").alias("__ledger_spans")).dropDuplicates(["__ledger_blob"])
+    rows = docs.withColumn("__ledger_own", blob(F.col("text"))).join(report, F.col("__ledger_own") == F.col("__ledger_blob"), "left")
     # spans of several kinds may overlap: a cut goes on from where the last one ended
-    cut = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, s: F.struct(
+    cut = F.aggregate("__ledger_spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), lambda a, s: F.struct(
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["out"]).alias("out"),
         F.greatest(a["at"], s["end"]).alias("at")), lambda a: F.concat(a["out"], F.substring("text", a["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.col("__spans").isNotNull(), cut).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.col("__ledger_spans").isNotNull(), cut).otherwise(F.col("text")))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*columns)

@@ -214,8 +214,8 @@ def one_of_each(docs: DataFrame, **params) -> DataFrame:
     """The document of each group that names it. Rows that repeat it with its text keep one; rows without an id all stay."""
     columns = docs.columns
     ids = near_duplicates(docs.select("doc_id", "text"), **params).where("doc_id = component_id")
-    keep = ids.groupBy("doc_id").agg(F.count("*").alias("__rows")).withColumnRenamed("doc_id", "__keep")
-    known = docs.where(F.col("doc_id").isNotNull()).join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("__keep"))
-    once = known.where("__rows = 1").select(*columns)
-    again = known.where("__rows > 1").select(*columns).dropDuplicates(["doc_id", "text"])
+    keep = ids.groupBy("doc_id").agg(F.count("*").alias("__simhash_rows")).withColumnRenamed("doc_id", "__simhash_keep")
+    known = docs.where(F.col("doc_id").isNotNull()).join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("__simhash_keep"))
+    once = known.where("__simhash_rows = 1").select(*columns)
+    again = known.where("__simhash_rows > 1").select(*columns).dropDuplicates(["doc_id", "text"])
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))

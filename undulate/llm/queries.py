@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from undulate.llm import op3_blob_ledger, op7_simhash_planes
+from undulate.llm import op3_blob_ledger, op4_nn_descent, op7_simhash_planes
 from undulate.llm.common import table
 from undulate.llm.op2_language_filters import identify
+from undulate.llm.op5_block_search import search
 from undulate.llm.op6_source_mix import mix
 from undulate.llm.op8_url_rules import judge
 from undulate.llm.op9_token_records import read_records, token_positions, write_records
@@ -22,6 +24,14 @@ def op3_blob_ledger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_blob_ledger.digest(report)
 
 
+def op4_nn_descent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken, _ = mix(table(spark, sf_dir, "documents"))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -44,4 +54,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_filters, op3_blob_ledger_scan, op6_source_mix, op7_simhash_near_duplicates, op8_url_rules, op9_token_records, op10_packing)}
+QUERIES = {f.__name__: f for f in (op2_language_filters, op3_blob_ledger_scan, op4_nn_descent_links, op5_block_search, op6_source_mix, op7_simhash_near_duplicates, op8_url_rules, op9_token_records, op10_packing)}
