@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from undulate.llm import op3_blob_ledger, op4_nn_descent, op7_simhash_planes
 from undulate.llm.common import table
+from undulate.llm.op1_attention_score import score
 from undulate.llm.op2_language_filters import identify
 from undulate.llm.op5_block_search import search
 from undulate.llm.op6_source_mix import mix
@@ -15,6 +16,10 @@ from undulate.llm.op9_token_records import read_records, token_positions, write_
 from undulate.llm.op10_packing import pack
 
 
+def op1_attention_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op2_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -54,4 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_filters, op3_blob_ledger_scan, op4_nn_descent_links, op5_block_search, op6_source_mix, op7_simhash_near_duplicates, op8_url_rules, op9_token_records, op10_packing)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_attention_score, op2_language_filters, op3_blob_ledger_scan, op4_nn_descent_links, op5_block_search, op6_source_mix, op7_simhash_near_duplicates, op8_url_rules, op9_token_records, op10_packing, pipeline)}
