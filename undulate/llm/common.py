@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,18 +66,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 _PIECE = re.compile(r" (?=\S)")
 _WIDE = re.compile(r" (?:\s|$)")
-_MARK = re.compile("[̀-ͯ]")
+_MARK = re.compile("[\u0300-\u036f]")
+#: Marks a piece at the start of a text; no piece after a space begins with a space.
+_FIRST = " "
 
 
 class PieceEncoder:
     """Exact ids of whole texts, with each distinct piece encoded once.
 
-    A text is cut before a space that a visible character follows. The pre-tokenizers of the public files never cross
-    such a cut, so the ids of a text are those of its pieces in turn. A worker keeps up to `keep` pieces; others are
-    encoded once a batch, with the same result.
+    A text is cut at a space that a visible character follows; the space stays with what follows, where the vocabulary
+    has spaces. The pre-tokenizers of the public files never cross such a cut, so the ids of a text are those of its
+    pieces in turn. A worker keeps what it has encoded until that is more than `keep` pieces, and then begins anew.
     """
 
-    def __init__(self, path: str, spaced: bool, keep: int = 400_000):
+    def __init__(self, path: str, spaced: bool, keep: int = 1_500_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -87,26 +90,32 @@ class PieceEncoder:
         self.tok.no_padding()
         self.tok.no_truncation()
         self.spaced, self.keep = spaced, keep
+        self._reset()
+
+    def _reset(self) -> None:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.used = 0
 
     def _pieces(self, text: str) -> list[str]:
+        """The first piece has a mark before it, as no space stood there."""
         if not self.spaced:  # white space is dropped and case folded: A-Z may be lower-cased at once where no mark composes
-            return (text if _MARK.search(text) else text.translate(_FOLD)).split(" ") if not text.isascii() else text.lower().split(" ")
+            return (text if _MARK.search(text) else text.encode().lower().decode()).split(" ")
         parts = _PIECE.split(text) if _WIDE.search(text) else text.split(" ")
-        return [parts[0], *map(" ".__add__, parts[1:])]
+        parts[0] = _FIRST + parts[0]
+        return parts
 
     def _learn(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
+        full = new if not self.spaced else [p[len(_FIRST) :] if p.startswith(_FIRST) else " " + p for p in new]
+        found = [e.ids for e in self.tok.encode_batch_fast(full, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         n, total = len(self.index), int(sizes.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(new) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
         self.starts[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(sizes)
         self.used += total
         self.index.update(zip(new, range(n, n + len(new))))
@@ -114,23 +123,24 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text begins (one more entry at the end)."""
         if len(self.index) > self.keep:
-            self.index.clear()
-            self.used = 0
+            self._reset()
         parts = [self._pieces(t) if t else [] for t in texts]
-        seen = set().union(*parts) if parts else set()
-        new = [p for p in seen if p not in self.index]
-        if new:
-            self._learn(new)
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.fromiter((i for p in parts for i in map(self.index.__getitem__, p)), np.int64, int(counts.sum()))
-        starts = self.starts[flat]
-        lengths = self.starts[flat + 1] - starts
+        total = int(counts.sum())
+        known = np.fromiter(map(self.index.get, chain.from_iterable(parts), repeat(-1)), np.int64, total)
+        lack = np.flatnonzero(known < 0)
+        if len(lack):
+            flat = list(chain.from_iterable(parts))
+            names = [flat[i] for i in lack.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            known[lack] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
+        starts = self.starts[known]
+        lengths = self.starts[known + 1] - starts
         before = np.concatenate([[0], np.cumsum(lengths)])
         edges = before[np.concatenate([[0], np.cumsum(counts)])]
         return self.ids[ragged(starts, lengths)], edges
 
 
-_FOLD = {ord(a): b for a, b in zip(UPPER, LOWER)}
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 
