@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 from undulate.functions.scalar import log_factorial, norm_cdf
 from undulate.operators.ranks import average_rank, exact_quantiles, ranked_values
 
-EXACT_MAX = 16
+#: Largest samples with an exact null distribution where the method is "auto".
+EXACT_SIGNED, EXACT_RANK_SUM = 50, 8
 
 
 @lru_cache(maxsize=256)
@@ -70,11 +71,18 @@ def _sided(lo: Column, hi: Column, alternative: str) -> Column:
     return F.least(F.lit(1.0), 2 * F.least(lo, hi))
 
 
+def _exact(method: str, small: Column) -> Column:
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(method)
+    return small if method == "auto" else F.lit(method == "exact")
+
+
 def wilcoxon_signed_rank(df, keys, d: str, mu: float = 0.0, alternative: str = "two-sided",
-                         exact_max: int = EXACT_MAX, bounded: bool = False) -> DataFrame:
+                         method: str = "auto", bounded: bool = False) -> DataFrame:
     """Signed-rank test of ``d`` − mu per key; zeros dropped.
 
-    Exact when n ≤ exact_max without ties, else normal with tie correction.
+    ``method``: "exact" (wherever there are no ties), "normal" with tie
+    correction, or "auto": exact up to n = 50 without ties.
     ``keys, n, w_plus, p``; NULL p without any non-zero difference.
     """
     keys = list(keys)
@@ -85,7 +93,7 @@ def wilcoxon_signed_rank(df, keys, d: str, mu: float = 0.0, alternative: str = "
     g = r.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(F.col("_pos") * average_rank()).alias("w_plus"),
                              F.sum(c * c * c - c).alias("_tie"))
     n, w = F.col("n").cast("double"), F.col("w_plus")
-    exact = (F.col("n") <= exact_max) & (F.col("_tie") == 0)
+    exact = _exact(method, F.col("n") <= EXACT_SIGNED) & (F.col("_tie") == 0)
     tails = _exact_tails(F.lit("w"), F.when(exact, w), F.when(exact, F.col("n")).otherwise(1), F.lit(0))
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("_tie") / 48
     z = (w - n * (n + 1) / 4) / F.sqrt(F.nullif(var, F.lit(0.0)))
@@ -96,12 +104,12 @@ def wilcoxon_signed_rank(df, keys, d: str, mu: float = 0.0, alternative: str = "
     return all_keys.join(g.select(*keys, "n", "w_plus", p.alias("p")), keys, "left").fillna(0, ["n"])
 
 
-def mann_whitney(df, keys, group: str, a, b, v: str, exact_max: int = 8, bounded: bool = False) -> DataFrame:
+def mann_whitney(df, keys, group: str, a, b, v: str, method: str = "auto", bounded: bool = False) -> DataFrame:
     """Two-sample rank test of the rows with ``group`` = a against = b, with effect sizes.
 
-    ``keys, n_a, n_b, u, p, cliffs_delta, hedges_g, median_a, median_b``. Exact
-    when both samples are small without ties, else normal with continuity and
-    tie correction.
+    ``keys, n_a, n_b, u, p, cliffs_delta, hedges_g, median_a, median_b``. ``method``:
+    "exact" (wherever there are no ties), "normal" with continuity and tie
+    correction, or "auto": exact if either sample has at most 8 and no ties.
     """
     keys = list(keys)
     x = df.filter(F.col(v).isNotNull() & F.col(group).isin(a, b))
@@ -117,7 +125,7 @@ def mann_whitney(df, keys, group: str, a, b, v: str, exact_max: int = 8, bounded
     g = g.withColumn("u", u)
     n = na + nb
     ok = (F.col("n_a") > 0) & (F.col("n_b") > 0)
-    exact = ok & (F.col("n_a") <= exact_max) & (F.col("n_b") <= exact_max) & (F.col("_tie") == 0)
+    exact = ok & _exact(method, F.least("n_a", "n_b") <= EXACT_RANK_SUM) & (F.col("_tie") == 0)
     var = na * nb / 12 * ((n + 1) - F.col("_tie") / (n * (n - 1)))
     z = (F.abs(F.col("u") - na * nb / 2) - 0.5) / F.sqrt(F.nullif(var, F.lit(0.0)))
     g = g.withColumn("_t", _exact_tails(F.lit("u"), F.when(exact, F.col("u")), F.when(exact, F.col("n_a")).otherwise(1),
@@ -270,11 +278,11 @@ def bootstrap_ci(df, keys, ident: Sequence[str], v: str, n_rep: int = 200, level
     (task, key, replicate).
     """
     keys = list(keys)
-    # cumulative Poisson(1) probabilities 0…6, from the rule e^-1/k!
-    cdf, acc = [], 0.0
-    for k in range(7):
-        acc += math.exp(-1) / math.factorial(k)
-        cdf.append(acc)
+    # cumulative Poisson(1) probabilities e^-1/k!, up to where what is left is below the steps of u
+    cdf, k = [math.exp(-1)], 1
+    while 1 - cdf[-1] > 2.0**-41:
+        cdf.append(cdf[-1] + math.exp(-1) / math.factorial(k))
+        k += 1
     r = df.filter(F.col(v).isNotNull()).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
     u = F.pmod(F.xxhash64("_rep", *ident), F.lit(1 << 40)) / float(1 << 40)
     w = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))

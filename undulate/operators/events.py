@@ -162,15 +162,15 @@ def co_onset_size(onsets, run_keys, unit, t, bin_frames: int) -> tuple[DataFrame
     return size, s
 
 
-def size_law_aic(sizes, run_keys, exponents: list[float], rates: list[float], size="size", max_size: int = 10_000) -> DataFrame:
+def size_law_aic(sizes, run_keys, exponents: list[float], rates: list[float], size="size") -> DataFrame:
     """AIC of a discrete power law and a geometric law of the co-onset sizes, each best over a grid.
 
     The likelihood needs only Σ ln s, Σ s and n per run, so the grid multiplies
-    one row per run. The power law normaliser is the truncated zeta sum.
+    one row per run. The power law normaliser is the zeta function.
     """
     run_keys = list(run_keys)
     s = sizes.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.log(size)).alias("_l"), F.sum(size).alias("_s"))
-    pl = s.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(_log_zeta(a, max_size)).alias("z")) for a in exponents])))
+    pl = s.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(_log_zeta(a)).alias("z")) for a in exponents])))
     pl = pl.groupBy(*run_keys).agg(F.max(-F.col("_p.a") * F.col("_l") - F.col("_n") * F.col("_p.z")).alias("_ll_pl"))
     ex = s.withColumn("_q", F.explode(F.array(*[F.lit(r) for r in rates])))
     ex = ex.groupBy(*run_keys).agg(
@@ -179,10 +179,12 @@ def size_law_aic(sizes, run_keys, exponents: list[float], rates: list[float], si
         *run_keys, (2 - 2 * F.col("_ll_pl")).alias("aic_power"), (2 - 2 * F.col("_ll_ex")).alias("aic_exp"))
 
 
-def _log_zeta(a: float, n: int) -> float:
+def _log_zeta(a: float, n: int = 10_000) -> float:
+    """ln of the infinite sum of k^-a: n - 1 terms and the tail by Euler and Maclaurin."""
     import math
 
-    return math.log(math.fsum(k ** -a for k in range(1, n + 1)))
+    tail = n ** (1 - a) / (a - 1) + n ** -a / 2 + a * n ** (-a - 1) / 12
+    return math.log(math.fsum([*(k ** -a for k in range(1, n)), tail]))
 
 
 def onset_correlogram(onsets, run_keys, unit, t, max_lag: int) -> DataFrame:

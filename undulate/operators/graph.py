@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from undulate.session import cut_lineage
 
 
-def connected_components(edges: DataFrame, keys: Sequence[str], src: str, dst: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, keys: Sequence[str], src: str, dst: str) -> DataFrame:
     """``keys, node, component`` for every node on an edge; component = least node id reachable.
 
     Alternating large-star / small-star rounds (Kiveris et al., 2014): the
@@ -22,7 +23,7 @@ def connected_components(edges: DataFrame, keys: Sequence[str], src: str, dst: s
     e = edges.select(*keys, F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct()
     e = cut_lineage(e)
     last = None
-    for _ in range(max_rounds):
+    while True:
         sym = e.unionByName(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
         m = sym.groupBy(*keys, "u").agg(F.min("v").alias("_mv")).select(*keys, "u", F.least("u", "_mv").alias("m"))
         large = sym.filter("v > u").join(m, [*keys, "u"]).select(*keys, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -33,8 +34,6 @@ def connected_components(edges: DataFrame, keys: Sequence[str], src: str, dst: s
         if sig == last:
             break
         last = sig
-    else:
-        raise RuntimeError(f"no convergence in {max_rounds} rounds")
     roots = e.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(*keys, F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -47,26 +46,26 @@ def components_with_singletons(nodes: DataFrame, edges: DataFrame, keys, node: s
         "component", F.coalesce("component", F.col(node)))
 
 
-def bfs_levels(edges: DataFrame, roots: DataFrame, keys, max_rounds: int = 100) -> DataFrame:
+def bfs_levels(edges: DataFrame, roots: DataFrame, keys) -> DataFrame:
     """Hop count from the nearest root along undirected edges (src, dst)."""
     keys = list(keys)
     sym = cut_lineage(edges.select(*keys, "src", "dst").unionByName(
         edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     seen = cut_lineage(roots.select(*keys, "node").distinct().withColumn("order", F.lit(0).cast("long")))
     front = seen
-    for i in range(1, max_rounds + 1):
+    for i in count(1):
         nxt = sym.join(front.select(*keys, F.col("node").alias("src")), [*keys, "src"]).select(
             *keys, F.col("dst").alias("node")).distinct()
         nxt = cut_lineage(nxt.join(seen.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn(
             "order", F.lit(i).cast("long")))
         if nxt.isEmpty():
-            return seen
+            break
         seen = cut_lineage(seen.unionByName(nxt))
         front = nxt
     return seen
 
 
-def first_wins(nodes: DataFrame, conflicts: DataFrame, keys, node: str, max_rounds: int = 200) -> DataFrame:
+def first_wins(nodes: DataFrame, conflicts: DataFrame, keys, node: str) -> DataFrame:
     """Greedy in node order: a node is kept unless an earlier *kept* node conflicts with it.
 
     ``conflicts`` has (keys, a, b), a before b. Each round decides every node
@@ -76,7 +75,7 @@ def first_wins(nodes: DataFrame, conflicts: DataFrame, keys, node: str, max_roun
     keys = list(keys)
     state = cut_lineage(nodes.select(*keys, F.col(node).alias("node")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     c = cut_lineage(conflicts.select(*keys, "a", "b").distinct())
-    for _ in range(max_rounds):
+    while True:
         st = state.select(*keys, F.col("node").alias("a"), F.col("kept").alias("_ka"))
         v = c.join(st, [*keys, "a"]).groupBy(*keys, F.col("b").alias("node")).agg(
             F.max(F.coalesce("_ka", F.lit(False)).cast("int")).alias("_hit"), F.max(F.col("_ka").isNull().cast("int")).alias("_open"))
@@ -87,12 +86,10 @@ def first_wins(nodes: DataFrame, conflicts: DataFrame, keys, node: str, max_roun
         state = cut_lineage(j.select(*keys, "node", new.alias("kept")))
         if state.filter(F.col("kept").isNull()).isEmpty():
             break
-    else:
-        raise RuntimeError("no fixpoint")
     return state.select(*keys, F.col("node").alias(node), "kept")
 
 
-def mutual_best_matching(scores: DataFrame, keys, a: str, b: str, score: str, max_rounds: int = 200) -> DataFrame:
+def mutual_best_matching(scores: DataFrame, keys, a: str, b: str, score: str) -> DataFrame:
     """One-to-one matching: repeatedly accept pairs that are each other's best among the unmatched.
 
     Equals greedy matching by descending score (ties by ids). An optimal
@@ -101,7 +98,7 @@ def mutual_best_matching(scores: DataFrame, keys, a: str, b: str, score: str, ma
     keys = list(keys)
     rest = cut_lineage(scores.select(*keys, a, b, score))
     out = None
-    for _ in range(max_rounds):
+    while True:
         # one strict order of pairs seen from either side
         oa = F.struct(F.col(score).alias("s"), (-F.col(a)).alias("x"), (-F.col(b)).alias("y"))
         ba = rest.groupBy(*keys, a).agg(F.max(oa).alias("_o")).select(*keys, a, (-F.col("_o.y")).alias(b), F.col("_o.s").alias(score))
@@ -109,7 +106,7 @@ def mutual_best_matching(scores: DataFrame, keys, a: str, b: str, score: str, ma
         hit = cut_lineage(ba.join(bb, [*keys, a, b]))
         if hit.isEmpty():
             break
-        out = hit if out is None else out.unionByName(hit)
+        out = hit if out is None else cut_lineage(out.unionByName(hit))
         rest = cut_lineage(rest.join(hit.select(*keys, a), [*keys, a], "left_anti").join(
             hit.select(*keys, b), [*keys, b], "left_anti"))
         if rest.isEmpty():

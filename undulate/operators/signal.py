@@ -62,15 +62,15 @@ def dff(f: str, f0: str, eps: float = 0.0, percent: bool = False) -> Column:
     return x * 100.0 if percent else x
 
 
-def robust_z(df, keys, v, out: str = "z", eps: float = 1e-9) -> DataFrame:
-    """(v − median)/(1.4826·MAD + eps) per key; a key holds one recording's frames."""
+def robust_z(df, keys, v, out: str = "z", eps: float = 0.0) -> DataFrame:
+    """(v − median)/(1.4826·MAD + eps) per key; NULL where the divisor is 0. A key holds one recording's frames."""
     keys = list(keys)
     m = df.groupBy(*keys).agg(F.percentile(v, 0.5).alias("_med"))
     d = df.join(m, keys).withColumn("_dev", F.abs(F.col(v) - F.col("_med")))
     s = d.groupBy(*keys).agg(F.percentile("_dev", 0.5).alias("_mad"))
     return (
         d.join(s, keys)
-        .withColumn(out, (F.col(v) - F.col("_med")) / (F.col("_mad") * MAD_SCALE + eps))
+        .withColumn(out, (F.col(v) - F.col("_med")) / F.nullif(F.col("_mad") * MAD_SCALE + eps, F.lit(0.0)))
         .drop("_med", "_dev", "_mad")
     )
 
@@ -303,17 +303,17 @@ def trace_qa_features(df, keys, t, v, n_events: DataFrame | None = None, chunk:
         F.avg(F.when(F.col(t) >= F.col("_T") - third, F.col(v))).alias("_z"),
         F.stddev_pop(v).alias("_sd"))
     return f.select(
-        *keys, ((F.col("_mx") - F.col("med")) / (MAD_SCALE * F.col("mad") + 1e-9)).alias("snr_peak"),
+        *keys, ((F.col("_mx") - F.col("med")) / F.nullif(MAD_SCALE * F.col("mad"), F.lit(0.0))).alias("snr_peak"),
         "neg_fraction", F.when(F.col("_sd") > 1e-9, F.col("skew")).alias("skew"), "lag1",
         ((F.col("_z") - F.col("_a")) / (F.col("_sd") + 1e-9)).alias("drift"))
 
 
-def snr(df, keys, v, eps: float = 1e-9) -> DataFrame:
-    """(p95 − median)/MAD."""
+def snr(df, keys, v, eps: float = 0.0) -> DataFrame:
+    """(p95 − median)/(MAD + eps); NULL where the divisor is 0."""
     keys = list(keys)
     p95 = df.groupBy(*keys).agg(F.percentile(v, 0.95).alias("_p"))
     return robust_stats(df, keys, v).join(p95, keys).select(
-        *keys, ((F.col("_p") - F.col("med")) / (F.col("mad") + eps)).alias("snr"))
+        *keys, ((F.col("_p") - F.col("med")) / F.nullif(F.col("mad") + eps, F.lit(0.0))).alias("snr"))
 
 
 def state_mask(df, keys, v, q_hi: float, q_lo: float, out: str = "state") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -314,16 +315,17 @@ def bestframe_seed(frames, best, run_keys, t, v: str, q: float) -> DataFrame:
 # ---- growing, merging, splitting -----------------------------------------------------------
 
 
-def grow_regions(traces, run_keys, trace: str, score: str, seed_thr: float, r_thr: float, max_rounds: int = 10,
-                 refresh: int = 5, conn: int = 26) -> DataFrame:
+def grow_regions(traces, run_keys, trace: str, score: str, seed_thr: float, r_thr: float, refresh: int = 5,
+                 conn: int = 26) -> DataFrame:
     """Seeded growing by correlation with the region's mean trace.
 
     Every local maximum of ``score`` above ``seed_thr`` starts a region. In each
     round all regions take the free neighbours whose trace correlates above
     ``r_thr`` with the region's reference; a voxel wanted by several goes to
-    the strongest. References are renewed every ``refresh`` rounds. All seeds
-    grow at once, so the order-dependent result of one-at-a-time growing is
-    not reproduced.
+    the strongest. The first reference is the mean of the seed's trace and its
+    neighbours' that are no seeds; references are renewed every ``refresh``
+    rounds. Growth ends when no region gains a voxel. All seeds grow at once, so
+    the order-dependent result of one-at-a-time growing is not reproduced.
     """
     run_keys = list(run_keys)
     vox = [*run_keys, *ZYX]
@@ -334,8 +336,9 @@ def grow_regions(traces, run_keys, trace: str, score: str, seed_thr: float, r_th
     best = shifted(base.select(*vox, score), nb).groupBy(*vox).agg(F.max(score).alias("_b"))
     seeds = base.join(best, vox, "left").filter((F.col(score) > seed_thr) & (F.col("_b").isNull() | (F.col(score) > F.col("_b"))))
     member = cut_lineage(seeds.select(*vox, node.alias("region"), F.lit(0).cast("long").alias("round")))
-    ref = cut_lineage(seeds.select(*run_keys, node.alias("region"), F.col("_u").alias("_ref")))
-    for i in range(1, max_rounds + 1):
+    around = shifted(member.select(*vox, "region"), nb).select(*vox, "region").join(member.select(*vox), vox, "left_anti")
+    ref = mean_unit_trace(around.unionByName(member.select(*vox, "region")), base, run_keys)
+    for i in count(1):
         front = shifted(member.filter(F.col("round") == i - 1).select(*vox, "region"), nb).select(*vox, "region").distinct()
         front = front.join(member.select(*vox), vox, "left_anti")
         r = F.aggregate(F.zip_with("_u", "_ref", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
@@ -346,14 +349,20 @@ def grow_regions(traces, run_keys, trace: str, score: str, seed_thr: float, r_th
             break
         member = cut_lineage(member.unionByName(won))
         if i % refresh == 0:
-            long = member.join(base.select(*vox, "_u"), vox).select(*run_keys, "region", F.posexplode("_u").alias("_t", "_v"))
-            mean = long.groupBy(*run_keys, "region", "_t").agg(F.avg("_v").alias("_v"))
-            arr = mean.groupBy(*run_keys, "region").agg(
-                F.transform(F.array_sort(F.collect_list(F.struct("_t", "_v"))), lambda s: s["_v"]).alias("_a"))
-            ref = cut_lineage(arr.select(*run_keys, "region", _unit_array("_a").alias("_ref")))
+            ref = mean_unit_trace(member.select(*vox, "region"), base, run_keys)
     return member
 
 
+def mean_unit_trace(voxels, base, run_keys) -> DataFrame:
+    """``region, _ref``: mean of the unit traces of a region's voxels, of unit norm."""
+    vox = [*run_keys, *ZYX]
+    long = voxels.join(base.select(*vox, "_u"), vox).select(*run_keys, "region", F.posexplode("_u").alias("_t", "_v"))
+    mean = long.groupBy(*run_keys, "region", "_t").agg(F.avg("_v").alias("_v"))
+    arr = mean.groupBy(*run_keys, "region").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_t", "_v"))), lambda s: s["_v"]).alias("_a"))
+    return cut_lineage(arr.select(*run_keys, "region", _unit_array("_a").alias("_ref")))
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unit_array(a: pd.Series) -> pd.Series:
     """Centred arrays of unit norm (zeros when constant)."""
@@ -403,23 +412,41 @@ def unit_families(masks, run_keys, unit: str, radius: float, size=(1.0, 1.0, 1.0
     return out.select(*run_keys, unit, "component", F.col("_r.u").alias("root"), "order", F.sqrt(d2).alias("root_dist"))
 
 
-def split_by_seeds(masks, keys, radius: int, min_sep: float) -> DataFrame:
+def mask_depth(masks, keys, size=(1.0, 1.0, 1.0), radius: float = 3.0) -> DataFrame:
+    """Exact distance of each mask voxel to the nearest voxel outside: ``depth``.
+
+    Balls are searched for the background; voxels that find none go on with twice
+    the radius, until all have.
+    """
+    keys = list(keys)
+    vox = [*keys, *ZYX]
+    m = cut_lineage(masks.select(*vox).distinct())
+    rest, found = m, None
+    while found is None or not rest.isEmpty():
+        s = shifted(rest, ball(radius, size)).join(m, vox, "left_anti")
+        got = s.groupBy(*keys, "oz", "oy", "ox").agg(F.min("dd").alias("depth"))
+        got = cut_lineage(got.withColumnsRenamed({"oz": "z", "oy": "y", "ox": "x"}))
+        found = got if found is None else found.unionByName(got)
+        rest = cut_lineage(rest.join(got.select(*vox), vox, "left_anti"))
+        radius *= 2
+    return found
+
+
+def split_by_seeds(masks, keys, min_sep: float, size=(1.0, 1.0, 1.0)) -> DataFrame:
     """Seeds = voxels whose depth inside the mask is greatest within ``min_sep``; voxels go to the nearest seed.
 
-    Depth is the distance to the background, cut at ``radius``. Two seeds can
-    not be within ``min_sep`` of each other. Flooding is not reproduced.
+    Depth and distances are in units of ``size``. Two seeds can not be within
+    ``min_sep`` of each other. Flooding is not reproduced.
     """
     keys = list(keys)
     vox = [*keys, *ZYX]
     m = cut_lineage(masks.select(*vox).distinct())
-    s = shifted(m, ball(radius))
-    out = s.join(m, vox, "left_anti").groupBy(*keys, "oz", "oy", "ox").agg(F.min("dd").alias("depth"))
-    d = m.join(out.withColumnsRenamed({"oz": "z", "oy": "y", "ox": "x"}), vox, "left").withColumn("depth", F.coalesce("depth", F.lit(float(radius + 1))))
+    d = mask_depth(m, keys, size)
     d = cut_lineage(d.withColumn("_k", F.struct(F.col("depth"), -_node(F.col("z"), F.col("y"), F.col("x")))))
-    best = shifted(d.select(*vox, "_k"), ball(min_sep)).groupBy(*vox).agg(F.max("_k").alias("_b"))
+    best = shifted(d.select(*vox, "_k"), ball(min_sep, size)).groupBy(*vox).agg(F.max("_k").alias("_b"))
     seeds = d.join(best, vox).filter(F.col("_k") == F.col("_b")).select(
         *keys, F.col("z").alias("sz"), F.col("y").alias("sy"), F.col("x").alias("sx"), _node(F.col("z"), F.col("y"), F.col("x")).alias("seed"))
-    d2 = (F.col("z") - F.col("sz")) ** 2 + (F.col("y") - F.col("sy")) ** 2 + (F.col("x") - F.col("sx")) ** 2
+    d2 = sum((((F.col(a) - F.col(f"s{a}")) * w) ** 2 for a, w in zip(ZYX, size)), F.lit(0.0))
     return m.join(seeds, keys).groupBy(*vox).agg(F.min_by("seed", F.struct(d2, F.col("seed"))).alias("part"))
 
 
@@ -600,25 +627,18 @@ def inside_outside(vmap, masks, run_keys, v: str) -> DataFrame:
     return j.groupBy(*run_keys, F.coalesce("_in", F.lit(False)).alias("inside")).agg(F.avg(v).alias("mean_v"), F.count(v).alias("n"))
 
 
-def remove_pc0(traces, run_keys, unit_keys, t, v: str, iterations: int = 30) -> DataFrame:
-    """Subtract the leading temporal component by power iteration on distributed sums.
+def remove_pc0(packed, run_keys, trace: str, n_frames: int) -> DataFrame:
+    """Subtract the leading temporal component of a recording from each packed trace: ``clean`` and its ``loading``.
 
-    u ← Xᵀ(X u)/‖·‖: a join with the frame vector and two aggregates per step;
-    the vector has one row per (run, frame).
+    The component is the leading eigenvector of the recording's frame Gram
+    matrix, a distributed sum; traces are centred for it.
     """
-    run_keys, unit_keys = list(run_keys), list(unit_keys)
-    m = traces.groupBy(*run_keys, *unit_keys).agg(F.avg(v).alias("_m"))
-    x = cut_lineage(traces.join(m, [*run_keys, *unit_keys]).select(*run_keys, *unit_keys, t, F.col(v), (F.col(v) - F.col("_m")).alias("_x")))
-    u = x.groupBy(*run_keys, t).agg(F.sum("_x").alias("_u"))
-    for i in range(iterations):
-        n = u.groupBy(*run_keys).agg(F.sqrt(F.sum(F.col("_u") * F.col("_u"))).alias("_n"))
-        u = u.join(n, run_keys).select(*run_keys, t, (F.col("_u") / F.when(F.col("_n") > 1e-12, F.col("_n"))).alias("_u"))
-        load = x.join(u, [*run_keys, t]).groupBy(*run_keys, *unit_keys).agg(F.sum(F.col("_x") * F.col("_u")).alias("_l"))
-        if i == iterations - 1:
-            break
-        u = x.join(load, [*run_keys, *unit_keys]).groupBy(*run_keys, t).agg(F.sum(F.col("_x") * F.col("_l")).alias("_u"))
-        u = cut_lineage(u) if i % 5 == 4 else u
-    u = cut_lineage(u)
-    load = x.join(u, [*run_keys, t]).groupBy(*run_keys, *unit_keys).agg(F.sum(F.col("_x") * F.col("_u")).alias("_l"))
-    return x.join(u, [*run_keys, t]).join(load, [*run_keys, *unit_keys]).select(
-        *run_keys, *unit_keys, t, (F.col(v) - F.col("_l") * F.col("_u")).alias("clean"), F.col("_l").alias("loading"))
+    from undulate.functions.scalar import array_mean, dot
+    from undulate.operators.ml import run_pca
+
+    run_keys = list(run_keys)
+    pc = run_pca(packed, run_keys, trace, n_frames, 1, scale=False).select(*run_keys, F.col("vec").alias("_pc"))
+    j = packed.join(pc, run_keys).withColumn("_m", array_mean(trace))
+    j = j.withColumn("loading", dot(F.transform(trace, lambda v: v - F.col("_m")), "_pc"))
+    clean = F.zip_with(trace, "_pc", lambda v, u: v - F.col("loading") * u)
+    return j.withColumn("clean", clean).drop("_pc", "_m")

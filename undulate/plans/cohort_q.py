@@ -58,7 +58,7 @@ o AS (SELECT fov, any_value(n) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS
 SELECT fov, n, w AS w_plus, round(least(1.0, 2 * least({norm_cdf_sql(wz('n', 'w', 'tie'))}, {norm_cdf_sql('(-' + wz('n', 'w', 'tie') + ')')})), 5) AS p FROM o""")
 def _(spark, d):
     c = I.cohort(spark, d)
-    w = C.wilcoxon_signed_rank(c, ["fov"], "n_orders", mu=10.0)
+    w = C.wilcoxon_signed_rank(c, ["fov"], "n_orders", mu=10.0, method="normal")
     return w.select("fov", "n", "w_plus", r6("p", 5).alias("p"))
 
 

@@ -146,7 +146,7 @@ EXPO, RATE = [1.2, 1.5, 2.0, 2.5, 3.0], [0.05, 0.1, 0.2, 0.4, 0.8]
 @query("co_onset_size_law", f"""{TZ}, {ONSETS},
 s AS (SELECT run_id, frame // 2 AS bin, count(DISTINCT unit) AS size FROM ons GROUP BY ALL),
 q AS (SELECT run_id, count(*) AS n, sum(ln(size)) AS l, sum(size) AS s FROM s GROUP BY ALL),
-z AS (SELECT a, ln(sum(power(k::DOUBLE, -a))) AS z FROM (SELECT unnest({EXPO}::DOUBLE[]) AS a), (SELECT unnest(range(1, 10001)) AS k) GROUP BY ALL),
+z AS (SELECT a, ln(sum(power(k::DOUBLE, -a)) + any_value(power(20000.0::DOUBLE, 1 - a) / (a - 1) + power(20000.0::DOUBLE, -a) / 2 + a * power(20000.0::DOUBLE, -a - 1) / 12)) AS z FROM (SELECT unnest({EXPO}::DOUBLE[]) AS a), (SELECT unnest(range(1, 20000)) AS k) GROUP BY ALL),
 p AS (SELECT run_id, max(-a * l - n * z) AS ll FROM q, z GROUP BY ALL),
 e AS (SELECT run_id, max(-r * (s - n) + n * ln(1 - exp(-r))) AS ll FROM q, (SELECT unnest({RATE}::DOUBLE[]) AS r) GROUP BY ALL)
 SELECT run_id, round(2 - 2 * p.ll, 5) AS aic_power, round(2 - 2 * e.ll, 5) AS aic_exp FROM p JOIN e USING (run_id)""")
@@ -171,12 +171,12 @@ on4 AS (SELECT run_id, unit, frame FROM (SELECT *, lag(z) OVER (PARTITION BY run
 iso AS (SELECT o.* FROM on4 o WHERE NOT EXISTS (SELECT 1 FROM on4 q WHERE q.run_id = o.run_id AND q.unit <> o.unit AND abs(q.frame - o.frame) <= 1)),
 pr AS (SELECT run_id, a, b, d FROM dist UNION ALL SELECT run_id, b, a, d FROM dist),
 g AS (SELECT run_id, a, b, CASE WHEN d < 60 THEN 'near' WHEN d > 75 THEN 'far' END AS grp FROM pr WHERE d < 60 OR d > 75)
-SELECT i.run_id, grp AS "group", t.frame - i.frame AS "offset", round(avg(CASE WHEN abs(t.z) < 1000 THEN t.z END), 6) + 0.0 AS mean_v, count(CASE WHEN abs(t.z) < 1000 THEN 1 END) AS n
-FROM iso i JOIN g ON g.run_id = i.run_id AND g.a = i.unit JOIN rz t ON t.run_id = i.run_id AND t.unit = g.b AND t.frame BETWEEN i.frame AND i.frame + 3 GROUP BY ALL HAVING count(CASE WHEN abs(t.z) < 1000 THEN 1 END) > 0""")
+SELECT i.run_id, grp AS "group", t.frame - i.frame AS "offset", round(avg(t.z), 6) + 0.0 AS mean_v, count(t.z) AS n
+FROM iso i JOIN g ON g.run_id = i.run_id AND g.a = i.unit JOIN rz t ON t.run_id = i.run_id AND t.unit = g.b AND t.frame BETWEEN i.frame AND i.frame + 3 GROUP BY ALL HAVING count(t.z) > 0""")
 def _(spark, d):
     g = P.pair_geometry(positions(spark, d), G, "unit", "y", "x", "z", (3.9, 1.0, 1.2)).select(*G, "a", "b", "dist_um")
     both = g.unionByName(g.select(*G, F.col("b").alias("a"), F.col("a").alias("b"), "dist_um"))
-    z = rz(spark, d).filter(F.abs("z") < 1000)
+    z = rz(spark, d).filter(F.col("z").isNotNull())
     big = R.rising_edges(rz(spark, d), K, "frame", "z", 6.0).filter("edge").select(*K, "frame")
     r = E.isolated_event_response(big, z, both, G, "unit", "frame", "z", 3, 60.0, 75.0)
     return r.select(*G, "group", i8("offset").alias("offset"), r6("mean_v").alias("mean_v"), "n")
@@ -279,15 +279,17 @@ def grammar(spark, d):
 
 
 @query("state_grammar_rates", f"""{TZ}, {I.BEHAVIOR}, {EVENTS}, {GRAMMAR}
-SELECT state, count(DISTINCT (s.run_id, s.frame)) AS n_frames, count(e.unit) AS n_events, round(count(e.unit) / count(DISTINCT (s.run_id, s.frame)), 6) AS event_rate, round(avg(amp), 6) AS mean_amp
+SELECT state, count(DISTINCT (s.run_id, s.frame)) AS n_frames, count(e.unit) AS n_events, round(count(e.unit) / count(DISTINCT (s.run_id, s.frame)), 6) AS event_rate,
+  ((2 * 10000 * sum(round(amp * 100)::BIGINT) + count(amp)) // (2 * count(amp)))::BIGINT / 1e6 AS mean_amp
 FROM st s LEFT JOIN evt e ON e.run_id = s.run_id AND e.f_peak = s.frame GROUP BY ALL""")
 def _(spark, d):
     g = grammar(spark, d)
     nf = g.groupBy("state").agg(F.count(F.lit(1)).alias("n_frames"))
     e = unit_events(spark, d).withColumnRenamed("f_peak", "frame").join(g, [*G, "frame"]).groupBy("state").agg(
-        F.count(F.lit(1)).alias("n_events"), F.avg("amp").alias("mean_amp"))
+        F.count(F.lit(1)).alias("n_events"), F.count("amp").alias("k"), F.sum(F.round(F.col("amp") * 100).cast("long")).alias("s"))
+    e = e.withColumn("mean_amp", F.expr("(20000 * s + k) div (2 * k)") / 1e6)  # hundredths: the mean rounds half up, exactly
     return nf.join(e, "state", "left").select("state", "n_frames", F.coalesce("n_events", F.lit(0)).alias("n_events"),
-                                              r6(F.coalesce("n_events", F.lit(0)) / F.col("n_frames")).alias("event_rate"), r6("mean_amp").alias("mean_amp"))
+                                              r6(F.coalesce("n_events", F.lit(0)) / F.col("n_frames")).alias("event_rate"), "mean_amp")
 
 
 LAT = f"""

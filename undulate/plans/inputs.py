@@ -103,7 +103,7 @@ ROBUST_Z = """
 rz_med AS (SELECT run_id, unit, quantile_cont(dff, 0.5) AS med FROM traces GROUP BY ALL),
 rz_mad AS (SELECT t.run_id, t.unit, any_value(m.med) AS med, quantile_cont(abs(dff - med), 0.5) AS mad
    FROM traces t JOIN rz_med m USING (run_id, unit) GROUP BY ALL),
-rz AS (SELECT t.run_id, t.unit, t.frame, t.dff, (t.dff - m.med) / (m.mad * 1.4826 + 1e-9) AS z
+rz AS (SELECT t.run_id, t.unit, t.frame, t.dff, (t.dff - m.med) / nullif(m.mad * 1.4826, 0) AS z
    FROM traces t JOIN rz_mad m USING (run_id, unit))
 """
 

@@ -39,10 +39,10 @@ def _(spark, d):
     return X.skip_and_crop(t, "frame", None, F.col("_k"), F.lit(4), F.lit(N)).select(*K, "frame", "dff")
 
 
-@query("crop_deep_rows", f"""WITH {I.VOXELS} SELECT run_id, z, y, x, t, round(v, 6) AS v FROM vox WHERE y < 4 AND z = 1""")
+@query("crop_deep_rows", f"""WITH {I.VOXELS} SELECT run_id, z, y, x, t, round(v, 6) AS v FROM vox WHERE y < 4""")
 def _(spark, d):
     v = X.skip_and_crop(I.voxels_long(spark, d), "t", "y", F.lit(0), deep_rows=1, ny=5)
-    return v.filter("z = 1").select(*VK, "t", r6("v").alias("v"))
+    return v.select(*VK, "t", r6("v").alias("v"))
 
 
 @query("select_units", f"""{T},

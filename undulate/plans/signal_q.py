@@ -55,10 +55,10 @@ def _(spark, d):
     return S.frame_mean_subtract(n, ["run_id"], "t", "n").select(*V, "t", r6("v_sub").alias("v_sub"))
 
 
-@query("robust_z", f"""{TZ} SELECT run_id, unit, frame, CASE WHEN abs(z) < 1e6 THEN round(z, 6) + 0.0 END AS z FROM rz""")
+@query("robust_z", f"""{TZ} SELECT run_id, unit, frame, round(z, 6) + 0.0 AS z FROM rz""")
 def _(spark, d):
     z = S.robust_z(I.traces(spark, d), K, "dff")
-    return z.select(*K, "frame", F.when(F.abs("z") < 1e6, r6("z")).alias("z"))
+    return z.select(*K, "frame", r6("z").alias("z"))
 
 
 @query("zscore_unit_norm", f"""{T},
@@ -221,17 +221,17 @@ f AS (SELECT l.run_id, l.unit, any_value(med) AS med, any_value(mad) AS mad, max
   covar_pop(CASE WHEN p IS NOT NULL THEN dff END, p) / sqrt(var_pop(CASE WHEN p IS NOT NULL THEN dff END) * var_pop(p)) AS lag1,
   avg(dff) FILTER (frame < 20) AS a, avg(dff) FILTER (frame >= 40) AS b FROM l JOIN rz_mad USING (run_id, unit) GROUP BY ALL),
 s AS (SELECT t.run_id, t.unit, avg(power((dff - m1) / sd, 3)) AS skew FROM traces t JOIN f USING (run_id, unit) GROUP BY ALL)
-SELECT run_id, unit, CASE WHEN mad > 0 THEN round((mx - med) / (1.4826 * mad + 1e-9), 6) END AS snr_peak, round(neg, 6) AS neg_fraction,
+SELECT run_id, unit, round((mx - med) / nullif(1.4826 * mad, 0), 6) + 0.0 AS snr_peak, round(neg, 6) AS neg_fraction,
   round(skew, 6) + 0.0 AS skew, round(lag1, 6) + 0.0 AS lag1, round((b - a) / (sd + 1e-9), 6) + 0.0 AS drift,
-  CASE WHEN mad <= 0 THEN 'NOISE' WHEN (mx - med) / (1.4826 * mad + 1e-9) > 5 AND skew > 0.5 THEN 'GOOD'
-    WHEN (mx - med) / (1.4826 * mad + 1e-9) > 3 THEN 'OK' ELSE 'NOISE' END AS quality
+  CASE WHEN (mx - med) / nullif(1.4826 * mad, 0) > 5 AND skew > 0.5 THEN 'GOOD'
+    WHEN (mx - med) / nullif(1.4826 * mad, 0) > 3 THEN 'OK' ELSE 'NOISE' END AS quality
 FROM f JOIN s USING (run_id, unit)""")
 def _(spark, d):
     t = S.robust_z(I.traces(spark, d), K, "dff")
     q = S.trace_qa_features(t, K, "frame", "dff")
     neg = t.groupBy(*K).agg(F.avg((F.col("z") < 0).cast("double")).alias("neg_z"))
     q = q.drop("neg_fraction").join(neg, K).withColumnRenamed("neg_z", "neg_fraction")
-    snr = F.when(F.col("snr_peak") < 1e6, F.col("snr_peak"))
+    snr = F.col("snr_peak")
     lab = F.when((snr > 5) & (F.col("skew") > 0.5), "GOOD").when(snr > 3, "OK").otherwise("NOISE")
     return q.select(*K, r6(snr).alias("snr_peak"), r6("neg_fraction").alias("neg_fraction"), r6("skew").alias("skew"),
                     r6("lag1").alias("lag1"), r6("drift").alias("drift"), lab.alias("quality"))
@@ -239,10 +239,10 @@ def _(spark, d):
 
 @query("snr", f"""{TZ},
 p AS (SELECT run_id, unit, quantile_cont(dff, 0.95) AS p FROM traces GROUP BY ALL)
-SELECT run_id, unit, CASE WHEN mad > 0 THEN round((p - med) / (mad + 1e-9), 6) END AS snr FROM p JOIN rz_mad USING (run_id, unit)""")
+SELECT run_id, unit, round((p - med) / nullif(mad, 0), 6) + 0.0 AS snr FROM p JOIN rz_mad USING (run_id, unit)""")
 def _(spark, d):
     s = S.snr(I.traces(spark, d), K, "dff")
-    return s.select(*K, F.when(F.col("snr") < 1e6, r6("snr")).alias("snr"))
+    return s.select(*K, r6("snr").alias("snr"))
 
 
 @query("quantile_state_mask", f"""{T}, {I.BEHAVIOR},

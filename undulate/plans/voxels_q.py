@@ -194,7 +194,7 @@ def _(spark, d):
 @query("grow_regions")
 def _(spark, d):
     v = I.voxel_traces(spark, d).withColumn("score", F.array_max("trace"))
-    m = V.grow_regions(v, G, "trace", "score", 0.25, 0.1, max_rounds=4, refresh=2)
+    m = V.grow_regions(v, G, "trace", "score", 0.25, 0.1, refresh=2)
     return m.select(*VK, "region", "round")
 
 
@@ -232,7 +232,7 @@ def _(spark, d):
 @query("split_by_seeds")
 def _(spark, d):
     u = V.closing(I.masks(spark, d).select(*VK).distinct(), G, V.neighbours(6))
-    return V.split_by_seeds(u, G, 3, 3.0).groupBy(*G, "part").agg(F.count(F.lit(1)).alias("n"))
+    return V.split_by_seeds(u, G, 3.0).groupBy(*G, "part").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("pca_covariances", f"""{M}
@@ -401,7 +401,8 @@ def _(spark, d):
 
 @query("remove_pc0")
 def _(spark, d):
-    c = V.remove_pc0(I.voxels_long(spark, d), G, ["z", "y", "x"], "t", "v", 12)
+    c = V.remove_pc0(I.voxel_traces(spark, d), G, "trace", 64)
+    c = c.select(*VK, "loading", F.explode("clean").alias("clean"))
     return c.groupBy(*VK).agg(r6(F.stddev_pop("clean"), 4).alias("sd_clean"), r6(F.abs(F.max("loading")), 3).alias("loading"))
 
 
