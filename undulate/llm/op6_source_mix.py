@@ -103,7 +103,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     n = base.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     n_sources = sources.count()
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
-    buckets = max(1, -(-n.docs // 4096))
+    buckets = max(1, -(-n.docs // 512))
     key = F.xxhash64(F.lit(seed), F.col("doc_id"))
     placed = ranked(base.withColumn("_key", key), ["skey"], F.pmod(F.col("_key"), F.lit(buckets)), ["_key", "doc_id", "size"], F.col("size"), "start")
     placed = stored(placed.join(small(sources.drop("source")), "skey").select(
@@ -132,11 +132,11 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     columns = docs.columns
     taken, _ = mix(docs, **params)
     each = taken.groupBy("doc_id", "skey", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken"))
-    each = each.where(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), F.col("skey").alias("__skey"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.withColumn("__own", n_words(F.col("text")))
-    rows = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__id")) & (source_key(F.col("source")) == F.col("__skey")) & (F.col("__own") == F.col("__size")))
-    rows = rows.withColumn("__left", F.explode(F.sequence(F.lit(0), F.floor((F.col("__taken") - 1) / F.col("__size")))))
-    some = F.col("__taken") - F.col("__left") * F.col("__size")
+    each = each.where(F.col("taken") > 0).select(F.col("doc_id").alias("__mix_id"), F.col("skey").alias("__mix_skey"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    rows = docs.withColumn("__mix_own", n_words(F.col("text")))
+    rows = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (source_key(F.col("source")) == F.col("__mix_skey")) & (F.col("__mix_own") == F.col("__mix_size")))
+    rows = rows.withColumn("__mix_left", F.explode(F.sequence(F.lit(0), F.floor((F.col("__mix_taken") - 1) / F.col("__mix_size")))))
+    some = F.col("__mix_taken") - F.col("__mix_left") * F.col("__mix_size")
     first = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), some.cast("int")))
-    rows = rows.withColumn("text", F.when(some >= F.col("__size"), F.col("text")).otherwise(first))
+    rows = rows.withColumn("text", F.when(some >= F.col("__mix_size"), F.col("text")).otherwise(first))
     return rows.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
