@@ -182,3 +182,23 @@ def contrast_stretch(x, lo, hi) -> Column:
 def acc_magnitude(ax, ay, az, mx, my, mz) -> Column:
     """Distance of a 3-axis acceleration from its medians."""
     return F.sqrt((_c(ax) - _c(mx)) ** 2 + (_c(ay) - _c(my)) ** 2 + (_c(az) - _c(mz)) ** 2)
+
+
+#: Modulus and step of `mixed`; a product of two intermediate values fits 64 bits.
+MIX_P, MIX_A = 2_147_483_647, 48_271
+
+
+def mixed(*cols) -> Column:
+    """A pseudo-random integer in 0…2^31-2 from integer columns, by an explicit rule that SQL can repeat."""
+    h = F.lit(17).cast("long")
+    for c in cols:
+        h = F.pmod(h * MIX_A + F.pmod(_c(c).cast("long"), F.lit(MIX_P)), F.lit(MIX_P))
+    return F.pmod(h * (F.pmod(h, F.lit(65_537)) + 1), F.lit(MIX_P))
+
+
+def mixed_sql(*exprs: str) -> str:
+    """The same as a DuckDB expression."""
+    h = "17::BIGINT"
+    for e in exprs:
+        h = f"(({h}) * {MIX_A} + ((({e})::BIGINT % {MIX_P} + {MIX_P}) % {MIX_P})) % {MIX_P}"
+    return f"((({h}) * (({h}) % 65537 + 1)) % {MIX_P})"

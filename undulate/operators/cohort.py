@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from undulate.functions.scalar import log_factorial, norm_cdf
+from undulate.functions.scalar import MIX_P, log_factorial, mixed, norm_cdf
 from undulate.operators.ranks import average_rank, exact_quantiles, ranked_values
 
 #: Largest samples with an exact null distribution where the method is "auto".
@@ -272,7 +272,7 @@ def subject_medians(df, keys, subject: str, v: str, bounded: bool = False) -> Da
 
 
 def bootstrap_ci(df, keys, ident: Sequence[str], v: str, n_rep: int = 200, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean under Poisson(1) resampling weights from a hash of the row identity.
+    """Percentile interval of the mean under Poisson(1) resampling weights from a mix of the integer row identity.
 
     Replicates are summed map-side, so the shuffle carries one row per
     (task, key, replicate).
@@ -280,11 +280,11 @@ def bootstrap_ci(df, keys, ident: Sequence[str], v: str, n_rep: int = 200, level
     keys = list(keys)
     # cumulative Poisson(1) probabilities e^-1/k!, up to where what is left is below the steps of u
     cdf, k = [math.exp(-1)], 1
-    while 1 - cdf[-1] > 2.0**-41:
+    while 1 - cdf[-1] > 1 / MIX_P:
         cdf.append(cdf[-1] + math.exp(-1) / math.factorial(k))
         k += 1
     r = df.filter(F.col(v).isNotNull()).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    u = F.pmod(F.xxhash64("_rep", *ident), F.lit(1 << 40)) / float(1 << 40)
+    u = mixed("_rep", *ident) / float(MIX_P)
     w = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))
     m = r.withColumn("_w", w).groupBy(*keys, "_rep").agg(
         (F.sum(F.col("_w") * F.col(v)) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))

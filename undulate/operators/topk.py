@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undulate.functions.scalar import mixed
 from undulate.operators.ranks import ranked_values
 
 
@@ -56,5 +57,5 @@ def cap(df, n: int, order: list[Column]) -> DataFrame:
 
 
 def hash_sample(df, ident: list[str], share: float) -> DataFrame:
-    """Deterministic sample by a hash of the identity columns."""
-    return df.filter(F.pmod(F.xxhash64(*ident), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Deterministic sample by a mix of the integer identity columns."""
+    return df.filter(F.pmod(mixed(*ident), F.lit(1_000_000)) < int(share * 1_000_000))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from undulate.functions.scalar import norm_cdf_sql
+from undulate.functions.scalar import MIX_P, mixed_sql
 from undulate.operators import aggregate as A
 from undulate.operators import cohort as C
 from undulate.operators import pairs as P
@@ -304,8 +305,19 @@ def _(spark, d):
     return s.withColumn("p", r6(C.sign_test(F.col("n_pos"), F.col("n"))))
 
 
-@query("bootstrap_ci_triggered_mean")
+# Poisson(1) weights of uniform numbers with 2^31 - 1 steps: how many of the cumulative probabilities lie below
+POISSON_CDF = "(SELECT list(c ORDER BY k) FROM (SELECT k, sum(exp(-1.0::DOUBLE) / gamma(k + 1)) OVER (ORDER BY k) AS c FROM range(0, 13) t(k)))"
+
+
+@query("bootstrap_ci_triggered_mean", f"""WITH {I.COHORT}, p AS (SELECT {POISSON_CDF} AS cdf),
+r AS (SELECT fov, rep, mean_price AS v, {mixed_sql('rep', 'run_id')} / {MIX_P}.0::DOUBLE AS u FROM cohort, (SELECT unnest(range(100)) AS rep) WHERE mean_price IS NOT NULL),
+w AS (SELECT fov, rep, v, len(list_filter(cdf, lambda c: u > c)) AS w FROM r, p),
+m AS (SELECT fov, rep, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL),
+ci AS (SELECT fov, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY ALL),
+b AS (SELECT fov, avg(mean_price) AS mean, count(mean_price) AS n FROM cohort GROUP BY ALL)
+SELECT fov, round(mean, 4) AS mean, n, round(lo, 4) AS ci_lo, round(hi, 4) AS ci_hi FROM b JOIN ci USING (fov)""")
 def _(spark, d):
-    return C.bootstrap_ci(I.cohort(spark, d), ["fov"], ["run_id"], "mean_price", 100)
+    b = C.bootstrap_ci(I.cohort(spark, d), ["fov"], ["run_id"], "mean_price", 100)
+    return b.select("fov", r6("mean", 4).alias("mean"), "n", r6("ci_lo", 4).alias("ci_lo"), r6("ci_hi", 4).alias("ci_hi"))
 
 

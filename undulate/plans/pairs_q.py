@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from undulate.functions.scalar import mixed_sql
 from undulate.operators import joins as J
 from undulate.operators import nulls as U
 from undulate.operators import pairs as P
@@ -429,22 +430,33 @@ def _(spark, d):
     return onset_correlogram(onsets(spark, d), R, "unit", "frame", 5).select(*R, "lag", "n").filter("n > 0")
 
 
-@query("jitter_null_events")
+@query("jitter_null_events", f"""{TZ}, {ONSETS},
+x AS (SELECT run_id, unit, rep, abs(frame + {mixed_sql('rep', 'run_id', 'unit', 'frame')} % 11 - 5) AS x FROM ons, (SELECT unnest(range(10)) AS rep))
+SELECT run_id, unit, rep::INTEGER AS rep, CASE WHEN x >= {N} THEN 2 * ({N} - 1) - x ELSE x END AS frame FROM x""")
 def _(spark, d):
     return U.jitter_null(onsets(spark, d), "frame", 5, N, K + ["frame"], 10)
 
 
-@query("iei_shuffle_null")
+@query("iei_shuffle_null", f"""{TZ}, {ONSETS},
+e AS (SELECT *, frame - lag(frame) OVER w AS iei, row_number() OVER w AS k, first_value(frame) OVER w AS t0 FROM ons WINDOW w AS (PARTITION BY run_id, unit ORDER BY frame)),
+r AS (SELECT e.*, rep FROM e, (SELECT unnest(range(10)) AS rep))
+SELECT run_id, unit, rep::INTEGER AS rep, (t0 + sum(CASE WHEN k > 1 THEN iei ELSE 0 END) OVER (PARTITION BY run_id, unit, rep ORDER BY CASE WHEN k = 1 THEN -1 ELSE {mixed_sql('rep', 'run_id', 'unit', 'k')} END, k ROWS UNBOUNDED PRECEDING))::BIGINT AS frame FROM r""")
 def _(spark, d):
     return U.iei_shuffle_null(onsets(spark, d), K, "frame", 10)
 
 
-@query("random_events_null")
+@query("random_events_null", f"""{TZ}, {ONSETS},
+n AS (SELECT run_id, unit, count(*) AS n FROM ons GROUP BY ALL), r AS (SELECT n.*, rep FROM n, (SELECT unnest(range(10)) AS rep)),
+g AS (SELECT r.*, f AS frame FROM r, (SELECT unnest(range({N})) AS f) WHERE f % 3 = {mixed_sql('rep', 'run_id', 'unit', '-1')} % 3)
+SELECT run_id, unit, rep::INTEGER AS rep, frame FROM (SELECT *, row_number() OVER (PARTITION BY run_id, unit, rep ORDER BY {mixed_sql('rep', 'run_id', 'unit', 'frame')}, frame) AS k FROM g) WHERE k <= n""")
 def _(spark, d):
     n = onsets(spark, d).groupBy(*K).agg(F.count(F.lit(1)).alias("n"))
     return U.random_events(n, K, "n", N, 3, 10)
 
 
-@query("label_permutation")
+@query("label_permutation", f"""WITH {POS}, r AS (SELECT run_id, unit, z, rep FROM pos, (SELECT unnest(range(10)) AS rep)),
+a AS (SELECT run_id, rep, unit, row_number() OVER (PARTITION BY run_id, rep ORDER BY unit) AS k FROM r),
+b AS (SELECT run_id, rep, z, row_number() OVER (PARTITION BY run_id, rep ORDER BY {mixed_sql('rep', 'run_id', 'unit')}, unit) AS k FROM r)
+SELECT run_id, rep::INTEGER AS rep, unit, z FROM a JOIN b USING (run_id, rep, k)""")
 def _(spark, d):
     return U.label_permutation(positions(spark, d), R, "unit", "z", 10)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from undulate.functions.scalar import mixed_sql
 from undulate.operators import rolling as R
 from undulate.operators import signal as S
 from undulate.plans import inputs as I
@@ -284,14 +285,22 @@ def _(spark, d):
     return x.select("run_id", "signal", "frame", *[r6(c).alias(c) for c in ("lag_p2", "lag_p1", "lag_p0", "lag_m1", "lag_m2")])
 
 
-@query("topk_spaced")
+SPACED = """list_reduce(list_prepend([]::BIGINT[], list_transform(l, lambda p: [p])), lambda acc, p: CASE WHEN len(list_filter(acc, lambda q: abs(q - p[1]) < {sep})) > 0 THEN acc ELSE list_concat(acc, p) END)"""
+
+
+@query("topk_spaced", f"""{TZ}, s AS (SELECT run_id, unit, list(frame ORDER BY z DESC, frame) AS l FROM rz WHERE z IS NOT NULL GROUP BY ALL),
+k AS (SELECT run_id, unit, unnest(({SPACED.format(sep=6)})[1:4]) AS frame FROM s)
+SELECT run_id, unit, frame, round(z, 6) + 0.0 AS z FROM (SELECT k.*, z, max(z) OVER (PARTITION BY run_id, unit) AS b FROM k JOIN rz USING (run_id, unit, frame)) WHERE z >= 0.5 * b""")
 def _(spark, d):
-    x = R.spaced_by_score(S.robust_z(I.traces(spark, d), K, "dff").select(*K, "frame", "z"), K, "frame", "z", 6, k=4)
+    z = S.robust_z(I.traces(spark, d), K, "dff").filter(F.col("z").isNotNull()).select(*K, "frame", "z")
+    x = R.spaced_by_score(z, K, "frame", "z", 6, k=4)
     best = x.groupBy(*K).agg(F.max("z").alias("_b"))
     return x.join(best, K).filter(F.col("z") >= 0.5 * F.col("_b")).select(*K, "frame", r6("z").alias("z"))
 
 
-@query("topk_nms")
+@query("topk_nms", f"""{T}, s AS (SELECT run_id, unit, list(frame ORDER BY dff DESC, frame) AS l FROM traces WHERE dff > 0 GROUP BY ALL),
+k AS (SELECT run_id, unit, unnest(({SPACED.format(sep=4)})[1:3]) AS frame FROM s)
+SELECT run_id, unit, frame, round(dff, 6) AS dff FROM k JOIN traces USING (run_id, unit, frame)""")
 def _(spark, d):
     x = R.spaced_by_score(I.traces(spark, d).filter("dff > 0").select(*K, "frame", "dff"), K, "frame", "dff", 4, k=3)
     return x.select(*K, "frame", r6("dff").alias("dff"))
@@ -345,7 +354,7 @@ def _(spark, d):
     return natural_order(I.table(spark, d, "nation").select("n_name"), "n_name", "pos")
 
 
-@query("sample_pairs_by_hash")
+@query("sample_pairs_by_hash", f"""WITH {I.MASKS} SELECT * FROM masks WHERE {mixed_sql('run_id', 'unit', 'z', 'y', 'x')} % 1000000 < 100000""")
 def _(spark, d):
     from undulate.operators.topk import hash_sample
 
