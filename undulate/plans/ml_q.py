@@ -12,6 +12,7 @@ from undulate.operators.ranks import pearson
 from undulate.operators.rolling import find_peaks
 from undulate.plans import inputs as I
 from undulate.plans.registry import query, r6
+from undulate.plans.rolling_q import LOCMAX, PROMINENT, spaced_peaks
 from undulate.plans.select_q import PAIRS, pairs, positions
 
 G = ["run_id"]
@@ -159,7 +160,8 @@ def _(spark, d):
         r6(F.avg((F.col("z") < 0).cast("double"))).alias("neg_fraction"), r6(pearson("dff", "p")).alias("lag1"), r6(pearson("dff", "g")).alias("r_global"))
 
 
-@query("transient_counts")
+@query("transient_counts", f"""WITH {I.TRACES}, {LOCMAX}, {spaced_peaks(50, 3)}, {PROMINENT}
+SELECT run_id, unit, count(*) AS n_transients, round(avg(prominence), 5) AS mean_prominence FROM pp WHERE prominence >= 40 GROUP BY ALL""")
 def _(spark, d):
     p = find_peaks(I.traces(spark, d), K, "frame", "dff", height=50.0, distance=3, prominence=40.0)
     return p.groupBy(*K).agg(F.count(F.lit(1)).alias("n_transients"), r6(F.avg("prominence"), 5).alias("mean_prominence"))

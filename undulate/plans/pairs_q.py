@@ -136,7 +136,14 @@ def _(spark, d):
     return coupling0(spark, d).select(*K, "signal", *[r6(c).alias(c) for c in ("r", "p", "null_q", "null_mean", "null_sd")])
 
 
-@query("coupling_best_lag")
+@query("coupling_best_lag", f"""{T}, {I.BEHAVIOR},
+sh AS (SELECT run_id, signal, -1 AS i, frame, value FROM behavior UNION ALL
+  SELECT run_id, signal, i, (frame + {MS} + (7 * i) % ({N} - 2 * {MS})) % {N}, value FROM behavior, (SELECT unnest(range(40)) AS i)),
+lr AS (SELECT t.run_id, t.unit, s.signal, s.i, l, coalesce(covar_pop(dff, value) / nullif(sqrt(var_pop(dff) * var_pop(value)), 0), 0) AS r
+  FROM traces t CROSS JOIN (SELECT unnest(range(-3, 4)) AS l) JOIN sh s ON s.run_id = t.run_id AND s.frame = t.frame - l GROUP BY ALL),
+bl AS (SELECT run_id, unit, signal, i, r, l FROM (SELECT *, row_number() OVER (PARTITION BY run_id, unit, signal, i ORDER BY round(abs(r), 11) DESC, l) AS k FROM lr) WHERE k = 1)
+SELECT o.run_id, o.unit, o.signal, round(any_value(o.r), 6) + 0.0 AS r, any_value(o.l) AS lag, round((1 + count(*) FILTER (abs(n.r) >= abs(o.r) - 1e-12)) / 41.0::DOUBLE, 6) AS p
+FROM bl o JOIN bl n ON o.run_id = n.run_id AND o.unit = n.unit AND o.signal = n.signal AND n.i >= 0 WHERE o.i = -1 GROUP BY o.run_id, o.unit, o.signal""")
 def _(spark, d):
     c = U.coupling(I.traces(spark, d), I.behavior(spark, d), R, "unit", "signal", "frame", "dff", "value",
                    U.shift_list(40, N, MS), max_lag=3)

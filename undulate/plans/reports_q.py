@@ -63,7 +63,14 @@ def _(spark, d):
     return B.bimodality(I.cohort(spark, d), ["genotype"], "mean_price").select("genotype", "n", r6("bc").alias("bc"))
 
 
-@query("density_modes")
+@query("density_modes", f"""WITH {I.COHORT},
+m AS (SELECT genotype, min(acctbal) AS lo, max(acctbal) AS hi, 1.06 * stddev_samp(acctbal) * power(count(acctbal)::DOUBLE, -0.2) AS h FROM cohort GROUP BY ALL),
+b AS (SELECT genotype, h, hi - lo + 6 * h AS w, floor((acctbal - (lo - 3 * h)) / (hi - lo + 6 * h) * 512) AS b, count(*) AS c FROM cohort JOIN m USING (genotype) GROUP BY ALL),
+d AS (SELECT genotype, g, sum(c * exp(-0.5 * power(((g + 0.5) / 64 - (b + 0.5) / 512) * w / h, 2))) AS d FROM b, (SELECT unnest(range(64)) AS g) GROUP BY ALL),
+n AS (SELECT *, lag(round(d, 9)) OVER w AS l, lead(round(d, 9)) OVER w AS r FROM d WINDOW w AS (PARTITION BY genotype ORDER BY g)),
+p AS (SELECT *, row_number() OVER (PARTITION BY genotype ORDER BY round(d, 9) DESC, g) AS k, count(*) OVER (PARTITION BY genotype) AS n_modes FROM n WHERE l < round(d, 9) AND r < round(d, 9)),
+t AS (SELECT genotype, any_value(n_modes) AS n_modes, min(g) FILTER (k <= 2) AS a, max(g) FILTER (k <= 2) AS z, any_value(round(d, 9)) FILTER (k = 2) AS h2 FROM p GROUP BY ALL)
+SELECT genotype, n_modes, round((SELECT min(round(d, 9)) FROM d WHERE d.genotype = t.genotype AND g BETWEEN a AND z) / h2, 4) AS valley_ratio FROM t""")
 def _(spark, d):
     return B.density_modes(I.cohort(spark, d), ["genotype"], "acctbal").select("genotype", "n_modes", r6("valley_ratio", 4).alias("valley_ratio"))
 
@@ -88,7 +95,16 @@ def _(spark, d):
     return mr.join(ne, "fov").join(s, "fov")
 
 
-@query("coupled_fraction_raw_vs_residual")
+@query("coupled_fraction_raw_vs_residual", f"""WITH {I.TRACES}, {I.BEHAVIOR},
+g AS (SELECT run_id, frame, avg(dff) AS g FROM traces GROUP BY ALL),
+b AS (SELECT run_id, unit, regr_slope(dff, g) AS b FROM traces JOIN g USING (run_id, frame) GROUP BY ALL),
+v AS (SELECT run_id, unit, frame, dff AS x, 'raw' AS variant FROM traces UNION ALL
+  SELECT run_id, unit, frame, dff - b * g, 'residual' FROM traces JOIN g USING (run_id, frame) JOIN b USING (run_id, unit)),
+sh AS (SELECT run_id, signal, -1 AS i, frame, value FROM behavior UNION ALL
+  SELECT run_id, signal, i, (frame + 5 + (7 * i) % ({N} - 10)) % {N}, value FROM behavior, (SELECT unnest(range(40)) AS i)),
+r AS (SELECT v.run_id, unit, signal, variant, i, coalesce(covar_pop(x, value) / nullif(sqrt(var_pop(x) * var_pop(value)), 0), 0) AS r FROM v JOIN sh USING (run_id, frame) GROUP BY ALL),
+q AS (SELECT run_id, unit, signal, variant, quantile_cont(abs(r), 0.95) FILTER (i >= 0) AS q, any_value(r) FILTER (i < 0) AS r FROM r GROUP BY ALL)
+SELECT run_id, signal, variant, round(avg(CASE WHEN abs(r) > q THEN 1.0 ELSE 0 END), 6) AS coupled_fraction, count(*) AS n FROM q GROUP BY ALL""")
 def _(spark, d):
     c = B.coupled_fraction(I.traces(spark, d), I.behavior(spark, d), G, "unit", "signal", "frame", "dff", "value", N, 5, 40)
     return c.select(*G, "signal", "variant", r6("coupled_fraction").alias("coupled_fraction"), "n")

@@ -212,6 +212,22 @@ r3 AS (SELECT *, lag(height) OVER w AS hl, lead(height) OVER w AS hr FROM r2 WIN
 pk AS (SELECT run_id, unit, (s + e) // 2 AS peak, height FROM r3 WHERE hl < height AND hr < height)
 """
 
+SPACED = """list_reduce(list_prepend([]::BIGINT[], list_transform(l, lambda p: [p])), lambda acc, p: CASE WHEN len(list_filter(acc, lambda q: abs(q - p[1]) < {sep})) > 0 THEN acc ELSE list_concat(acc, p) END)"""
+
+PROMINENT = f"""
+pb AS (SELECT kp.*, (SELECT max(frame) FROM traces t WHERE t.run_id = kp.run_id AND t.unit = kp.unit AND t.frame < peak AND t.dff > height) AS lh,
+  (SELECT min(frame) FROM traces t WHERE t.run_id = kp.run_id AND t.unit = kp.unit AND t.frame > peak AND t.dff > height) AS rh FROM kp),
+pc AS (SELECT pb.run_id, pb.unit, pb.peak, pb.height, min(CASE WHEN t.frame <= peak AND t.frame > coalesce(lh, -1) THEN dff END) AS lm,
+  min(CASE WHEN t.frame >= peak AND t.frame < coalesce(rh, {N}) THEN dff END) AS rm FROM pb JOIN traces t ON t.run_id = pb.run_id AND t.unit = pb.unit GROUP BY ALL),
+pp AS (SELECT run_id, unit, peak, height, height - greatest(lm, rm) AS prominence FROM pc)
+"""
+
+
+def spaced_peaks(height: float, sep: int) -> str:
+    """Peaks of at least a height, greedily by height with a least distance: table kp."""
+    return f"""kl AS (SELECT run_id, unit, list(peak ORDER BY height DESC, peak) AS l FROM pk WHERE height >= {height} GROUP BY ALL),
+kp AS (SELECT run_id, unit, peak, height FROM (SELECT run_id, unit, unnest({SPACED.format(sep=sep)}) AS peak FROM kl) JOIN pk USING (run_id, unit, peak))"""
+
 
 @query("find_peaks_prominence", f"""{T}, {LOCMAX},
 b AS (SELECT pk.*, (SELECT max(frame) FROM traces t WHERE t.run_id = pk.run_id AND t.unit = pk.unit AND t.frame < peak AND t.dff > height) AS lh,
@@ -227,7 +243,8 @@ def _(spark, d):
     return p.select(*K, "peak", "height", r6("prominence").alias("prominence"))
 
 
-@query("find_peaks_distance")
+@query("find_peaks_distance", f"""{T}, {LOCMAX}, {spaced_peaks(20, 4)}, {PROMINENT}
+SELECT run_id, unit, peak, height, round(prominence, 6) + 0.0 AS prominence FROM pp""")
 def _(spark, d):
     p = R.find_peaks(I.traces(spark, d), K, "frame", "dff", height=20.0, distance=4)
     return p.select(*K, "peak", "height", r6("prominence").alias("prominence"))
@@ -285,9 +302,6 @@ def _(spark, d):
     return x.select("run_id", "signal", "frame", *[r6(c).alias(c) for c in ("lag_p2", "lag_p1", "lag_p0", "lag_m1", "lag_m2")])
 
 
-SPACED = """list_reduce(list_prepend([]::BIGINT[], list_transform(l, lambda p: [p])), lambda acc, p: CASE WHEN len(list_filter(acc, lambda q: abs(q - p[1]) < {sep})) > 0 THEN acc ELSE list_concat(acc, p) END)"""
-
-
 @query("topk_spaced", f"""{TZ}, s AS (SELECT run_id, unit, list(frame ORDER BY z DESC, frame) AS l FROM rz WHERE z IS NOT NULL GROUP BY ALL),
 k AS (SELECT run_id, unit, unnest(({SPACED.format(sep=6)})[1:4]) AS frame FROM s)
 SELECT run_id, unit, frame, round(z, 6) + 0.0 AS z FROM (SELECT k.*, z, max(z) OVER (PARTITION BY run_id, unit) AS b FROM k JOIN rz USING (run_id, unit, frame)) WHERE z >= 0.5 * b""")
