@@ -291,7 +291,10 @@ def _(spark, d):
     return c.select("run_id", F.col("component").alias("fov"))
 
 
-@query("guided_components")
+@query("guided_components", f"""WITH RECURSIVE {I.VOXELS}, m AS (SELECT run_id, z, y, x, max(v) AS v FROM vox GROUP BY ALL),
+q AS (SELECT run_id, quantile_cont(v, 0.6) AS q FROM m GROUP BY ALL), c AS (SELECT run_id, z, y, x FROM m JOIN q USING (run_id) WHERE v >= q),
+r AS (SELECT * FROM c WHERE z = 0 AND x = y UNION SELECT c.run_id, c.z, c.y, c.x FROM r JOIN c ON c.run_id = r.run_id AND abs(c.z - r.z) <= 1 AND abs(c.y - r.y) <= 1 AND abs(c.x - r.x) <= 1)
+SELECT run_id, z, y, x FROM r""")
 def _(spark, d):
     """Candidates above a percentile, kept where their component meets a seed line."""
     from undulate.operators.ranks import exact_quantiles
