@@ -13,7 +13,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES = [
     "rolling_q", "signal_q", "select_q", "aggregate_q", "pairs_q", "events_q", "spectral_q", "cohort_q", "voxels_q",
-    "matching_q", "ml_q", "reports_q",
+    "matching_q", "ml_q", "reports_q", "sources_q",
 ]
 
 
