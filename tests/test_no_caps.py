@@ -98,3 +98,20 @@ def test_signed_rank_rule(spark):
 def test_zeta_is_infinite():
     assert abs(np.exp(E._log_zeta(2.0)) - np.pi**2 / 6) < 1e-13
     assert abs(E._log_zeta(1.2) - E._log_zeta(1.2, 300)) < 1e-12
+
+
+def test_factor_folds_have_the_longer_blocks_first(spark):
+    from undulate.operators import ml as L
+
+    assert L.fold_edges(64, 5, longer_first=True) == [0, 13, 26, 39, 52, 64] and L.fold_edges(64, 5) == [0, 12, 25, 38, 51, 64]
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((3, 64)).T @ rng.standard_normal((3, 9)) + 0.1 * rng.standard_normal((64, 9))
+    packed = spark.createDataFrame([(1, i, [float(v) for v in x[:, i]]) for i in range(9)], "run_id long, unit long, trace array<double>")
+    got = {r.unit: r.resid for r in L.cv_residuals(packed, ["run_id"], "unit", "trace", 64, [2], 5).collect()}
+    for part in np.array_split(np.arange(64), 5):
+        train = np.setdiff1d(np.arange(64), part)
+        mu = x[train].mean(0)
+        _, _, w = np.linalg.svd(x[train] - mu, full_matrices=False)
+        d = x[part] - mu
+        want = d - d @ w[:2].T @ w[:2]
+        assert np.allclose(np.array([got[i] for i in range(9)]).T[part], want, atol=1e-6)

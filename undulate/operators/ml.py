@@ -27,7 +27,10 @@ def _ddl(df: DataFrame, cols) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in cols)
 
 
-def fold_edges(n_frames: int, k: int) -> list[int]:
+def fold_edges(n_frames: int, k: int, longer_first: bool = False) -> list[int]:
+    """Where blocks of frames begin: at floors of even shares, or with the longer blocks first."""
+    if longer_first:
+        return [i * (n_frames // k) + min(i, n_frames % k) for i in range(k + 1)]
     return [i * n_frames // k for i in range(k + 1)]
 
 
@@ -39,11 +42,11 @@ def _standardise(x: np.ndarray, train: np.ndarray, scale: bool) -> np.ndarray:
     return (x - mu) / np.where(sd < 1e-9, 1.0, sd)
 
 
-def _masks(n_frames: int, folds: int) -> list[tuple[int, np.ndarray]]:
+def _masks(n_frames: int, folds: int, longer_first: bool = False) -> list[tuple[int, np.ndarray]]:
     """(fold, train mask); fold −1 = all frames when no folds are asked for."""
     if not folds:
         return [(-1, np.ones(n_frames, bool))]
-    e = fold_edges(n_frames, folds)
+    e = fold_edges(n_frames, folds, longer_first)
     out = []
     for f in range(folds):
         m = np.ones(n_frames, bool)
@@ -53,7 +56,7 @@ def _masks(n_frames: int, folds: int) -> list[tuple[int, np.ndarray]]:
 
 
 def frame_gram(packed: DataFrame, run_keys: Sequence[str], trace: str, n_frames: int, folds: int = 0,
-               scale: bool = True) -> DataFrame:
+               scale: bool = True, longer_first: bool = False) -> DataFrame:
     """Rows of Σ_units x xᵀ per run and fold: ``run_keys, fold, i, row, total, n_units`` (total = Σ_units x_i).
 
     x is standardised with the fold's training frames. A task adds up the units
@@ -67,7 +70,7 @@ def frame_gram(packed: DataFrame, run_keys: Sequence[str], trace: str, n_frames:
         for pdf in batches:
             for key, g in pdf.groupby(run_keys, sort=False):
                 x = np.stack(g[trace].to_numpy()).astype(float)
-                for f, m in _masks(n_frames, folds):
+                for f, m in _masks(n_frames, folds, longer_first):
                     z = _standardise(x, m, scale)
                     s = acc.setdefault((key, f), [np.zeros((n_frames, n_frames)), np.zeros(n_frames), 0])
                     s[0] += z.T @ z
@@ -173,18 +176,18 @@ def cv_residuals(packed: DataFrame, run_keys, unit: str, trace: str, n_frames: i
     """
     run_keys = list(run_keys)
     ks = list(ks)
-    gram = frame_gram(packed, run_keys, trace, n_frames, folds, scale=False)
+    gram = frame_gram(packed, run_keys, trace, n_frames, folds, scale=False, longer_first=True)
     units, blocks = _blocks(packed, run_keys, unit)
     g = blocks.join(gram.select(*run_keys, "fold", "i", "row"), run_keys)
     schema = _ddl(packed, [*run_keys, unit]) + ", k int, resid array<double>"
-    e = fold_edges(n_frames, folds)
+    e = fold_edges(n_frames, folds, longer_first=True)
 
     def run(u: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
         if u.empty or m.empty:
             return pd.DataFrame({c: [] for c in [*run_keys, unit, "k", "resid"]})
         x = np.stack(u[trace].to_numpy()).astype(float)
         res = {k: np.zeros_like(x) for k in ks}
-        for f, train in _masks(n_frames, folds):
+        for f, train in _masks(n_frames, folds, longer_first=True):
             kk = np.stack(m[m["fold"] == f].sort_values("i")["row"].to_numpy())
             z = _standardise(x, train, False)
             te = slice(e[f], e[f + 1])

@@ -329,10 +329,10 @@ def _(spark, d):
 
 
 @query("recruitment_slope", f"""{TZ}, {ONSETS}, {LAT}, {POS},
-s AS (SELECT lat.run_id, ev, regr_slope(lat - 0.01 * z, y) AS slope, count(*) AS n FROM lat JOIN pos USING (run_id, unit) GROUP BY ALL HAVING count(*) >= 4)
+s AS (SELECT lat.run_id, ev, regr_slope(lat + 0.01 * z, y) AS slope, count(*) AS n FROM lat JOIN pos USING (run_id, unit) GROUP BY ALL HAVING count(*) >= 4)
 SELECT run_id, count(*) AS n_events, round(avg(slope), 6) + 0.0 AS mean_slope, CAST(count(*) FILTER (slope > 0) AS BIGINT) AS n_pos FROM s GROUP BY ALL""")
 def _(spark, d):
-    p = latencies(spark, d).join(positions(spark, d), K).withColumn("t", F.col("lat") - 0.01 * F.col("z"))
+    p = latencies(spark, d).join(positions(spark, d), K).withColumn("t", F.col("lat") + 0.01 * F.col("z"))  # planes are scanned one after the other
     s = E.slope_per_event(p, [*G, "ev"], "t", "y", 4)
     return s.groupBy(*G).agg(F.count(F.lit(1)).alias("n_events"), r6(F.avg("slope")).alias("mean_slope"),
                              F.sum(F.when(F.col("slope") > 0, 1).otherwise(0)).alias("n_pos"))
