@@ -388,10 +388,17 @@ def unit_distance(masks, run_keys, unit: str, radius: float, size=(1.0, 1.0, 1.0
     return a.join(b, [*run_keys, *ZYX]).filter("a < b").groupBy(*run_keys, "a", "b").agg(F.min("dd").alias("dist"))
 
 
-def merge_units(masks, pair_r, run_keys, unit: str, r_thr: float, gap: float, size=(1.0, 1.0, 1.0)) -> DataFrame:
-    """Single linkage of units that lie within ``gap`` and correlate above ``r_thr``: ``unit, component``."""
+def merge_units(masks, pair_r, run_keys, unit: str, r_thr: float, gap: int) -> DataFrame:
+    """Single linkage of units that touch and correlate above ``r_thr``: ``unit, component``.
+
+    Two units touch when a voxel of one lies in the box of ±gap in y and x and
+    ±min(gap, 1) in z around a voxel of the other.
+    """
     run_keys = list(run_keys)
-    near = unit_distance(masks, run_keys, unit, gap, size)
+    gz = min(gap, 1)
+    box = [(dz, dy, dx, 0.0) for dz in range(-gz, gz + 1) for dy in range(-gap, gap + 1) for dx in range(-gap, gap + 1)]
+    around = shifted(masks.select(*run_keys, F.col(unit).alias("a"), *ZYX), box).select(*run_keys, "a", *ZYX).distinct()
+    near = around.join(masks.select(*run_keys, F.col(unit).alias("b"), *ZYX), [*run_keys, *ZYX]).filter("a < b").select(*run_keys, "a", "b").distinct()
     e = near.join(pair_r.filter(F.col("r") > r_thr).select(*run_keys, "a", "b"), [*run_keys, "a", "b"])
     return components_with_singletons(masks, e, run_keys, unit, "a", "b")
 

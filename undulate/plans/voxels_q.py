@@ -199,7 +199,8 @@ def _(spark, d):
 
 
 @query("merge_units", f"""WITH RECURSIVE {I.MASKS}, {I.TRACES},
-adj AS (SELECT DISTINCT a.run_id, a.unit AS a, b.unit AS b FROM masks a JOIN masks b ON a.run_id = b.run_id AND a.z = b.z AND a.y = b.y AND a.x = b.x AND a.unit < b.unit),
+{offs_sql('o', V.neighbours(26))},
+adj AS (SELECT DISTINCT a.run_id, a.unit AS a, b.unit AS b FROM (SELECT *, z + dz AS z2, y + dy AS y2, x + dx AS x2 FROM masks, o) a JOIN masks b ON a.run_id = b.run_id AND a.z2 = b.z AND a.y2 = b.y AND a.x2 = b.x AND a.unit < b.unit),
 zn AS (SELECT t.run_id, t.unit, t.frame, (dff - m) / sd AS zz FROM traces t JOIN (SELECT run_id, unit, avg(dff) AS m, stddev_pop(dff) AS sd FROM traces GROUP BY ALL) USING (run_id, unit)),
 e AS (SELECT a.run_id, a.unit AS a, b.unit AS b FROM zn a JOIN zn b ON a.run_id = b.run_id AND a.frame = b.frame AND a.unit < b.unit JOIN adj ON adj.run_id = a.run_id AND adj.a = a.unit AND adj.b = b.unit GROUP BY ALL HAVING avg(a.zz * b.zz) > 0.15),
 s AS (SELECT run_id, a, b FROM e UNION SELECT run_id, b, a FROM e),
@@ -207,7 +208,7 @@ r AS (SELECT DISTINCT run_id, unit AS root, unit AS node FROM masks UNION SELECT
 SELECT run_id, root AS unit, min(node) AS component FROM r GROUP BY ALL""")
 def _(spark, d):
     p = pair_corr(I.traces(spark, d), G, "unit", "frame", "dff")
-    return V.merge_units(I.masks(spark, d), p, G, "unit", 0.15, 0.5).select(*K, "component")
+    return V.merge_units(I.masks(spark, d), p, G, "unit", 0.15, 1).select(*K, "component")
 
 
 @query("minip_dark_mask", f"""{X}, m AS (SELECT run_id, z, y, x, min(v) AS m FROM vox GROUP BY ALL), q AS (SELECT run_id, quantile_cont(m, 0.1) AS q FROM m GROUP BY ALL)
