@@ -358,10 +358,23 @@ def leader_order(latencies, event_keys, unit_keys, value) -> DataFrame:
     return r.groupBy(*unit_keys).agg(F.avg("_rank").alias("mean_rank"), F.avg("_rel").alias("mean_rel"), F.count(F.lit(1)).alias("n_events"))
 
 
-def kendall_w(latencies, run_keys, event, unit, value) -> DataFrame:
-    """Agreement of the rank orders of the events of a run whose units are all present in each."""
+def kendall_w(latencies, run_keys, event, unit, value, least_events: int = 3, least_share: float = 0.5, least_units: int = 5) -> DataFrame:
+    """Agreement of the order in which units join the events of a run.
+
+    Units in at least ``least_events`` events and ``least_share`` of the run's
+    events take part; where one is absent it gets the event's mean. Runs with
+    fewer than ``least_units`` such units have no row.
+    """
     run_keys = list(run_keys)
-    r = with_average_rank(latencies, [*run_keys, event], value, "_rank", bounded=True)
+    total = latencies.select(*run_keys, event).distinct().groupBy(*run_keys).agg(F.count(F.lit(1)).alias("_all"))
+    keep = latencies.groupBy(*run_keys, unit).agg(F.count(F.lit(1)).alias("_own")).join(total, run_keys)
+    keep = keep.filter((F.col("_own") >= least_events) & (F.col("_own") >= least_share * F.col("_all"))).select(*run_keys, unit)
+    enough = keep.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_units)
+    keep = keep.join(enough.select(*run_keys), run_keys)
+    own = latencies.join(keep, [*run_keys, unit]).select(*run_keys, event, unit, F.col(value).cast("double").alias("_x"))
+    mean = own.groupBy(*run_keys, event).agg(F.avg("_x").alias("_mean"))
+    grid = mean.join(keep, run_keys).join(own, [*run_keys, event, unit], "left").withColumn("_x", F.coalesce("_x", "_mean"))
+    r = with_average_rank(grid, [*run_keys, event], "_x", "_rank", bounded=True)
     s = r.groupBy(*run_keys, unit).agg(F.sum("_rank").alias("_r"), F.count(F.lit(1)).alias("_m"))
     g = s.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("n"), F.max("_m").alias("m"), (F.var_pop("_r") * F.count("_r")).alias("_ss"))
     m, n = F.col("m").cast("double"), F.col("n").cast("double")

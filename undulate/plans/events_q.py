@@ -318,14 +318,17 @@ def _(spark, d):
     return l.select(*K, r6("mean_rank").alias("mean_rank"), r6("mean_rel").alias("mean_rel"), "n_events")
 
 
-@query("kendall_w", f"""{T}, {I.BEHAVIOR},
-r AS (SELECT run_id, unit, frame // 6 AS blk, rank() OVER (PARTITION BY run_id, blk ORDER BY x) + (count(*) OVER (PARTITION BY run_id, blk, x) - 1) / 2.0::DOUBLE AS rk FROM
-  (SELECT run_id, unit, frame // 6 AS blk, frame // 6 * 6 AS frame, round(sum(dff), 2) AS x FROM traces GROUP BY run_id, unit, frame // 6)),
+@query("kendall_w", f"""{TZ}, {ONSETS}, {LAT},
+al AS (SELECT run_id, count(DISTINCT ev) AS e FROM lat GROUP BY ALL),
+kp AS (SELECT run_id, unit, count(*) OVER (PARTITION BY run_id) AS n FROM (SELECT run_id, unit, count(*) AS c FROM lat GROUP BY ALL) JOIN al USING (run_id) WHERE c >= greatest(3, 0.5 * e)),
+ow AS (SELECT l.run_id, ev, l.unit, lat::DOUBLE AS x FROM lat l JOIN kp ON kp.run_id = l.run_id AND kp.unit = l.unit WHERE n >= 5),
+mn AS (SELECT run_id, ev, avg(x) AS m FROM ow GROUP BY ALL),
+gr AS (SELECT mn.run_id, mn.ev, kp.unit, coalesce(x, m) AS x FROM mn JOIN kp ON kp.run_id = mn.run_id LEFT JOIN ow ON ow.run_id = mn.run_id AND ow.ev = mn.ev AND ow.unit = kp.unit),
+r AS (SELECT run_id, unit, rank() OVER (PARTITION BY run_id, ev ORDER BY x) + (count(*) OVER (PARTITION BY run_id, ev, x) - 1) / 2.0::DOUBLE AS rk FROM gr),
 s AS (SELECT run_id, unit, sum(rk) AS s, count(*) AS m FROM r GROUP BY ALL)
 SELECT run_id, count(*) AS n, max(m) AS m, round(12 * var_pop(s) * count(*) / (max(m) * max(m) * (power(count(*), 3) - count(*))), 6) AS w FROM s GROUP BY ALL""")
 def _(spark, d):
-    b = I.traces(spark, d).groupBy(*K, F.floor(F.col("frame") / 6).alias("blk")).agg(F.round(F.sum("dff"), 2).alias("x"))
-    return E.kendall_w(b, G, "blk", "unit", "x").select(*G, "n", "m", r6("w").alias("w"))
+    return E.kendall_w(latencies(spark, d), G, "ev", "unit", "lat").select(*G, "n", "m", r6("w").alias("w"))
 
 
 @query("recruitment_slope", f"""{TZ}, {ONSETS}, {LAT}, {POS},
