@@ -34,39 +34,36 @@ def cuts(n: int, capacity: int, piece: int) -> list[int]:
 
 
 def differencing(sizes: np.ndarray, m: int) -> np.ndarray:
-    """Window (0 to m-1) of each size, with near-equal sums."""
+    """Window (0 to m-1) of each size, with near-equal sums.
+
+    A partition is its m sums in ascending order, less the least of them. A merge remembers the two it came from and the
+    order that sorted it; from the last one back, that tells which window each slot of a partition became.
+    """
     n = len(sizes)
     if m == 1:
         return np.zeros(n, np.int64)
-    left, right = [-1] * n, [-1] * n  # a node below n is a piece, others join two nodes
-    heap = []
+    heap, merges = [], []
     for i, s in enumerate(sizes.tolist()):
-        sums, nodes = np.zeros(m, np.int64), np.full(m, -1, np.int64)
-        sums[-1], nodes[-1] = s, i
-        heap.append((-s, i, sums, nodes))
+        sums = np.zeros(m, np.int64)
+        sums[-1] = s
+        heap.append((-s, i, sums))
     heapq.heapify(heap)
-    tie = n
     while len(heap) > 1:
-        _, _, a, x = heapq.heappop(heap)
-        _, _, b, y = heap[0]
-        a, x = a + b[::-1], x.copy()  # both ascend: the fullest of one meets the emptiest of the other
-        y = y[::-1]
-        both = np.flatnonzero((x >= 0) & (y >= 0))
-        fresh = np.arange(len(left), len(left) + len(both))
-        left.extend(x[both].tolist())
-        right.extend(y[both].tolist())
-        x = np.where(x < 0, y, x)
-        x[both] = fresh
-        order = np.argsort(a, kind="stable")
-        a, x = a[order] - a[order[0]], x[order]
-        heapq.heapreplace(heap, (-int(a[-1]), tie, a, x))
-        tie += 1
-    window = np.full(len(left), -1, np.int64)
-    slots = heap[0][3]
-    window[slots[slots >= 0]] = np.flatnonzero(slots >= 0)
-    for node in range(len(left) - 1, n - 1, -1):
-        window[left[node]] = window[right[node]] = window[node]
-    return window[:n]
+        _, i, a = heapq.heappop(heap)
+        _, j, b = heap[0]
+        a = a + b[::-1]  # both ascend: the fullest of one meets the emptiest of the other
+        order = a.argsort()
+        a = a[order]
+        a -= a[0]
+        heapq.heapreplace(heap, (-int(a[-1]), n + len(merges), a))
+        merges.append((i, j, order))
+    slots = {heap[0][1]: np.arange(m)}
+    for k in range(len(merges) - 1, -1, -1):
+        i, j, order = merges[k]
+        at = np.empty(m, np.int64)
+        at[order] = slots.pop(n + k)
+        slots[i], slots[j] = at, at[::-1]
+    return np.fromiter((slots[i][-1] for i in range(n)), np.int64, n)
 
 
 def windows(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -108,7 +105,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, piece: i
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, piece: int = 1024, group_tokens: int = 1 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, piece: int = 1024, group_tokens: int = 1 << 19) -> DataFrame:
     """Pieces with their sequence and their place in it."""
     import pyarrow as pa
 
