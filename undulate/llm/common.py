@@ -66,6 +66,12 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 _PIECE = re.compile(r" (?=\S)")
 _WIDE = re.compile(r" (?:\s|$)")
+_LINE = re.compile(r"(?<=[^\s])\n(?=\S)")
+#: After a Latin letter that neither case folding nor composition takes apart, or a digit.
+_SIGNS = re.compile(r"(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[!-/:-@\[-`{-~]+$")
+_ASCII_SPACE = "\t\n\x0b\x0c\r"
+_BLANK = bytes.maketrans(_ASCII_SPACE.encode(), b" " * 5)
+_PLAIN = bytes.maketrans((_ASCII_SPACE + UPPER).encode(), (" " * 5 + LOWER).encode())
 _MARK = re.compile("[\u0300-\u036f]")
 #: Marks a piece at the start of a text; no piece after a space begins with a space.
 _FIRST = " "
@@ -76,7 +82,8 @@ class PieceEncoder:
 
     A text is cut at a space that a visible character follows; the space stays with what follows, where the vocabulary
     has spaces. The pre-tokenizers of the public files never cross such a cut, so the ids of a text are those of its
-    pieces in turn. A worker keeps what it has encoded until that is more than `keep` pieces, and then begins anew.
+    pieces in turn. Pieces are cut once more at line breaks and before closing signs, where pre-tokens end as well. A
+    worker keeps what it has encoded until that is more than `keep` pieces, and then begins anew.
     """
 
     def __init__(self, path: str, spaced: bool, keep: int = 1_500_000):
@@ -101,24 +108,55 @@ class PieceEncoder:
     def _pieces(self, text: str) -> list[str]:
         """The first piece has a mark before it, as no space stood there."""
         if not self.spaced:  # white space is dropped and case folded: A-Z may be lower-cased at once where no mark composes
-            return (text if _MARK.search(text) else text.encode().lower().decode()).split(" ")
+            return text.encode().translate(_BLANK if _MARK.search(text) else _PLAIN).decode().split(" ")
         parts = _PIECE.split(text) if _WIDE.search(text) else text.split(" ")
         parts[0] = _FIRST + parts[0]
         return parts
 
+    def _parts(self, piece: str) -> list[str]:
+        """A piece as pieces between which a pre-token ends: lines, and signs after the last letter or digit."""
+        first = _FIRST if self.spaced else ""
+        if self.spaced and "\n" in piece:
+            lines = _LINE.split(piece)
+            if len(lines) > 1:
+                return [lines[0], *(first + x for line in lines[1:] for x in ("\n", line))]
+        signs = _SIGNS.search(piece)
+        if signs and signs.start():
+            return [piece[: signs.start()], first + piece[signs.start() :]]
+        return []
+
+    def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self.index)
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(names) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[n + 1 : n + 1 + len(names)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.index.update(zip(names, range(n, n + len(names))))
+
     def _learn(self, new: list[str]) -> None:
-        full = new if not self.spaced else [p[len(_FIRST) :] if p.startswith(_FIRST) else " " + p for p in new]
+        """Encode what can't be cut any further, then join the rest from it, pieces of pieces first."""
+        whole, made, level = {}, [], new
+        while level:
+            cut = {p: self._parts(p) for p in level}
+            whole.update((p, None) for p, parts in cut.items() if not parts)
+            made.append({p: parts for p, parts in cut.items() if parts})
+            level = list({x: None for parts in made[-1].values() for x in parts if x not in self.index and x not in whole})
+        names = list(whole)
+        full = names if not self.spaced else [p[len(_FIRST) :] if p.startswith(_FIRST) else " " + p for p in names]
         found = [e.ids for e in self.tok.encode_batch_fast(full, add_special_tokens=False)]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.index), int(sizes.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while n + len(new) + 1 > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.int32, total)
-        self.starts[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(sizes)
-        self.used += total
-        self.index.update(zip(new, range(n, n + len(new))))
+        self._keep(names, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
+        for group in reversed(made):
+            group = {p: parts for p, parts in group.items() if p not in self.index}
+            if group:
+                flat = np.fromiter(map(self.index.__getitem__, chain.from_iterable(group.values())), np.int64)
+                starts = self.starts[flat]
+                lengths = self.starts[flat + 1] - starts
+                counts = np.fromiter(map(len, group.values()), np.int64, len(group))
+                self._keep(list(group), self.ids[ragged(starts, lengths)], np.add.reduceat(lengths, np.cumsum(counts) - counts))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text begins (one more entry at the end)."""
