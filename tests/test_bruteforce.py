@@ -221,7 +221,7 @@ def test_dilate_erode_containment(spark):
 def test_split_seeds_spacing(spark):
     pts = [(0, y, x) for y in range(5) for x in range(24)]
     m = spark.createDataFrame([(0, *p) for p in pts], "k long, z long, y long, x long")
-    s = V.split_by_seeds(m, ["k"], 3, 4.0)
+    s = V.split_by_seeds(m, ["k"], 4.0)
     assert s.count() == len(pts)
     seeds = [r["part"] for r in s.select("part").distinct().collect()]
     xy = [((v >> 21) & ((1 << 21) - 1), v & ((1 << 21) - 1)) for v in seeds]
@@ -231,11 +231,10 @@ def test_split_seeds_spacing(spark):
 def test_remove_pc0(spark):
     u, t = RNG.normal(size=8), RNG.normal(size=30)
     x = 5 * np.outer(u, t - t.mean()) + 0.1 * RNG.normal(size=(8, 30))
-    d = spark.createDataFrame([(0, i, j, float(x[i, j])) for i in range(8) for j in range(30)], "run_id long, unit long, t long, v double")
-    c = V.remove_pc0(d, ["run_id"], ["unit"], "t", "v", 15)
+    d = spark.createDataFrame([(0, i, x[i].tolist()) for i in range(8)], "run_id long, unit long, v array<double>")
     got = np.zeros_like(x)
-    for r in c.collect():
-        got[r["unit"], r["t"]] = r["clean"]
+    for r in V.remove_pc0(d, ["run_id"], "v", 30).collect():
+        got[r["unit"]] = r["clean"]
     xc = x - x.mean(1, keepdims=True)
     a, s, b = np.linalg.svd(xc, full_matrices=False)
     assert np.allclose(got, x - s[0] * np.outer(a[:, 0], b[0]), atol=1e-6)
