@@ -80,3 +80,18 @@ def test_near_duplicates(spark):
     got = Counter(map(tuple, near_duplicates(spark.createDataFrame(data, SCHEMA), k=5).collect()))
     assert got == want
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_tight_groups_that_link_across_join(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    a, w = unit(rng.standard_normal((2, 64)))
+    w = unit(w - (w @ a) * a)
+    groups = [c + unit(rng.standard_normal((20, 64))) * 0.08 for c in (a, 0.94 * a + np.sqrt(1 - 0.94**2) * w)]
+    inside, across = [unit(x) @ unit(x).T for x in groups], unit(groups[0]) @ unit(groups[1]).T
+    assert min(x.min() for x in inside) > across.max() and across.min() >= 0.9
+    x = np.concatenate([*groups, rng.standard_normal((500, 64))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.component_id, r.n_links) for r in near_duplicates(df, recall=0.0).collect()}
+    assert [got[i] for i in range(40)] == [(0, 39)] * 40
+    assert all(got[i] == (i, 0) for i in range(40, 540))

@@ -5,8 +5,9 @@ In a round, every node brings its neighbours, and some of those that list it, to
 that are nearer to each other than what their lists hold take each other in. Rounds end when few lists change. Then
 
 * pairs near the threshold are computed in double precision, and those that reach it are the links;
-* where a list is saturated (its last neighbour is still linked) it is enlarged to the whole of its component, as are those
-  of the component's other members: they meet in blocks of bounded size, and only the numbers of links leave a task;
+* where lists are saturated (the last neighbour is still linked) their nodes get new lists of neighbours outside their own
+  component, again and again, until the last neighbour of each list is below the threshold or no other component is left;
+* the members of a component meet in blocks of bounded size, and only the numbers of links leave a task;
 * an audit compares the links of a bounded sample of nodes with brute force over all rows. While it finds less than
   the wanted recall, the graph is refined again from further hyperplanes.
 
@@ -88,7 +89,7 @@ def best(edges: DataFrame, k: int) -> DataFrame:
 
 
 def bucket_neighbours(packs: DataFrame, n: int, k: int, seeds: range, size: int = 256) -> DataFrame:
-    """Nearest rows in buckets of about `size` rows with one sign pattern to random hyperplanes; full buckets are split."""
+    """Nearest rows of another root in buckets of about `size` rows with one sign pattern to random hyperplanes; full buckets are split."""
     import pyarrow as pa
 
     planes = max(1, int(np.ceil(np.log2(max(2, n / (size / 2))))))
@@ -102,27 +103,29 @@ def bucket_neighbours(packs: DataFrame, n: int, k: int, seeds: range, size: int
                 for s in seeds:
                     h = np.random.default_rng([s, int(d)]).standard_normal((int(d), planes)).astype(np.float32)
                     bucket = ((x @ h > 0) * (1 << np.arange(planes))).sum(axis=1) + (int(d) << 40)
-                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(x), pa.int32()), pa.array(bucket.astype(np.int64)), *(own.column(c) for c in ("node", "half"))],
-                                                     names=["seed", "bucket", "node", "half"])
+                    yield pa.RecordBatch.from_arrays([pa.array([s] * len(x), pa.int32()), pa.array(bucket.astype(np.int64)), *(own.column(c) for c in ("node", "root", "half"))],
+                                                     names=["seed", "bucket", "node", "root", "half"])
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs_of(batches, ["seed", "bucket", "part"]):
-            node, x = t.column("node").to_numpy(), units(t.column("half"))
+            node, root, x = t.column("node").to_numpy(), t.column("root").to_numpy(), units(t.column("half"))
             if len(node) < 2:
                 continue
             for lo in range(0, len(node), 512):
                 sims = x[lo : lo + 512] @ x.T
-                sims[np.arange(len(sims)), lo + np.arange(len(sims))] = -2
+                sims[root[lo : lo + 512, None] == root[None, :]] = -2
                 m = min(k, len(node) - 1)
-                j = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+                j = np.argpartition(-sims, m - 1, axis=1)[:, :m].ravel()
                 i = np.repeat(np.arange(len(sims)), m)
-                yield edge_batch(node[lo + i], node[j.ravel()], sims[i, j.ravel()])
+                other = sims[i, j] > -2
+                i, j = i[other], j[other]
+                yield edge_batch(node[lo + i], node[j], sims[i, j])
 
-    signed = packs.mapInArrow(sign, "seed int, bucket long, node long, half binary")
+    signed = packs.mapInArrow(sign, "seed int, bucket long, node long, root long, half binary")
     parts = signed.groupBy("seed", "bucket").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
     rows = signed.join(parts, ["seed", "bucket"]).withColumn("part", F.pmod(F.xxhash64("node", "seed"), F.col("parts")).cast("int"))
     by = ["seed", "bucket", "part"]
-    return rows.select(*by, "node", "half").repartition(*by).sortWithinPartitions(*by).mapInArrow(top, GRAPH)
+    return rows.select(*by, "node", "root", "half").repartition(*by).sortWithinPartitions(*by).mapInArrow(top, GRAPH)
 
 
 def edge_batch(a: np.ndarray, b: np.ndarray, sim: np.ndarray):
@@ -132,14 +135,14 @@ def edge_batch(a: np.ndarray, b: np.ndarray, sim: np.ndarray):
 
 
 def joined_round(graph: DataFrame, packs: DataFrame, k: int) -> DataFrame:
-    """Pairs of neighbours of one node that are nearer than the last neighbour of a list that would take them in."""
+    """Pairs of neighbours of one node, of different roots, that are nearer than the last neighbour of a list that would take them in."""
     import pyarrow as pa
 
     last = graph.groupBy("a").agg(F.min("sim").alias("last"), F.count("*").alias("full"))
     back = graph.select(F.col("b").alias("mid"), F.col("a").alias("node"), "sim")
     back = back.withColumn("_n", F.row_number().over(W.partitionBy("mid").orderBy(F.desc("sim"), "node"))).where(F.col("_n") <= k).select("mid", "node")
     meet = graph.select(F.col("a").alias("mid"), F.col("b").alias("node")).unionByName(back).distinct()
-    state = packs.join(last.withColumnRenamed("a", "node"), "node").select("node", "dim", "half", F.when(F.col("full") >= k, F.col("last")).otherwise(F.lit(-2.0)).cast("float").alias("last"))
+    state = packs.join(last.withColumnRenamed("a", "node"), "node", "left").select("node", "root", "dim", "half", F.when(F.col("full") >= k, F.col("last")).otherwise(F.lit(-2.0)).cast("float").alias("last"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows, dim = [], 0, None
@@ -147,12 +150,12 @@ def joined_round(graph: DataFrame, packs: DataFrame, k: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             sizes = np.array([t.num_rows for t in held])
             t = pa.concat_tables(held)
-            node, last, x = t.column("node").to_numpy(), t.column("last").to_numpy(), units(t.column("half"))
+            node, root, last, x = *(t.column(c).to_numpy() for c in ("node", "root", "last")), units(t.column("half"))
             for s in np.unique(sizes[sizes > 1]):  # groups of one size meet in one product
                 g = np.flatnonzero(sizes == s)
                 at = (np.cumsum(sizes) - sizes)[g][:, None] + np.arange(s)
                 sims = np.matmul(x[at], x[at].transpose(0, 2, 1))
-                sims[:, np.arange(s), np.arange(s)] = -2
+                sims[root[at][:, :, None] == root[at][:, None, :]] = -2
                 i, j, l = np.nonzero(sims > last[at][:, :, None] + 1e-4)
                 if len(i):
                     yield edge_batch(node[at[i, j]], node[at[i, l]], sims[i, j, l])
@@ -162,12 +165,12 @@ def joined_round(graph: DataFrame, packs: DataFrame, k: int) -> DataFrame:
                 yield from flush()
                 held, rows = [], 0
             dim = t.column("dim")[0]
-            held.append(t.select(["node", "half", "last"]))
+            held.append(t.select(["node", "root", "half", "last"]))
             rows += t.num_rows
         if held:
             yield from flush()
 
-    rows = meet.join(state, "node").select("dim", "mid", "node", "half", "last").repartition("mid").sortWithinPartitions("dim", "mid")
+    rows = meet.join(state, "node").select("dim", "mid", "node", "root", "half", "last").repartition("mid").sortWithinPartitions("dim", "mid")
     return rows.mapInArrow(work, GRAPH)
 
 
@@ -194,6 +197,29 @@ def links_of(graph: DataFrame, classes: DataFrame, threshold: float) -> DataFram
     return pairs.where(dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y")) >= threshold).select("a", "b")
 
 
+def joined_components(graph: DataFrame, parts: DataFrame, packs: DataFrame, classes: DataFrame, threshold: float, k: int, seeds: range, few: float) -> DataFrame:
+    """(node, root) of components that no saturated list keeps apart.
+
+    A list that is full of linked neighbours may leave out links with other components. Its node gets a new list, of the
+    nearest nodes of other components that have such lists as well (a list with room takes in its links by itself), and what
+    links joins components. This ends when the last neighbour of each list is below the threshold, or when no two components
+    are left; where nothing links though lists are full of pairs that may (in half precision), lists get longer.
+    """
+    while True:
+        full = graph.groupBy("a").agg(F.min("sim").alias("last"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("last") >= threshold - MARGIN))
+        own = packs.drop("root").join(full.select(F.col("a").alias("node")), "node").join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = stored(own.select("node", "dim", "half", "root"), "saturated")
+        n = own.count()
+        if not n or own.select("root").distinct().limit(2).count() < 2:
+            return parts
+        graph = refined(stored(best(bucket_neighbours(own, n, k, seeds), k), "graph"), own, n, k, few)
+        links = stored(links_of(graph, classes, threshold), "joins")
+        if links.isEmpty():
+            k *= 2
+        else:
+            parts = stored(connected_components(links.unionByName(parts.toDF("a", "b"))), "roots")
+
+
 def counted_links(classes: DataFrame, roots: DataFrame, threshold: float, chunk: int = 512) -> DataFrame:
     """(node, links): rows linked with each node, over all pairs of a component, in blocks."""
     import pyarrow as pa
@@ -255,14 +281,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, tab
     part = taking_part(vectors, id_col, vector_col)
     classes = part.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies")).withColumn("dim", F.size("v"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    packs = stored(packed(classes), "packed")
-    n, graph, seed = classes.count(), None, 0
+    packs = stored(packed(classes).withColumn("root", F.col("node")), "packed")
+    n, graph, seed, parts = classes.count(), None, 0, None
     while True:
-        found = bucket_neighbours(packs, n, k, range(seed, seed + tables))
+        seeds = range(seed, seed + tables)
+        found = bucket_neighbours(packs, n, k, seeds)
         seed += tables
         graph = stored(best(found if graph is None else found.unionByName(graph), k), "graph")
         graph = refined(graph, packs, n, k, few)
-        parts = stored(connected_components(links_of(graph, classes, threshold)), "roots")
+        links = links_of(graph, classes, threshold)
+        parts = stored(connected_components(links if parts is None else links.unionByName(parts.toDF("a", "b"))), "roots")
+        parts = joined_components(graph, parts, packs, classes, threshold, k, seeds, few)
         counts = stored(counted_links(classes, parts, threshold), "links")
         if audited(classes, counts, threshold) >= recall or seed >= n:
             break
