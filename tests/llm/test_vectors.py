@@ -3,7 +3,7 @@
 from collections import Counter
 
 import numpy as np
-from undulate.llm.op4_nn_descent import near_duplicates
+from undulate.llm.op4_nn_descent import audited, near_duplicates
 from undulate.llm.op5_block_search import nearest, products, rounded, search
 from pyspark.sql import functions as F
 
@@ -95,3 +95,16 @@ def test_tight_groups_that_link_across_join(spark):
     got = {r.vec_id: (r.component_id, r.n_links) for r in near_duplicates(df, recall=0.0).collect()}
     assert [got[i] for i in range(40)] == [(0, 39)] * 40
     assert all(got[i] == (i, 0) for i in range(40, 540))
+
+
+def test_audit_counts_nodes_and_not_links(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.standard_normal((61, 64)))
+    x = np.concatenate([x[:60], unit(x[:60] + unit(rng.standard_normal((60, 64))) * 0.2), unit(x[60] + unit(rng.standard_normal((700, 64))) * 0.05)])
+    classes = spark.createDataFrame([(i, 64, 1, v.tolist()) for i, v in enumerate(x)], "node long, dim int, copies long, v array<double>")
+    links = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert (links[:120] == 1).all() and (links[120:] == 699).all()
+    for lost, share in ((0, 1.0), (6, 0.9)):  # pairs of which nothing was found
+        found = [(i, int(n)) for i, n in enumerate(links) if i >= 120 or i % 60 >= lost]
+        assert abs(audited(classes, spark.createDataFrame(found, "node long, links long"), 0.9) - share) < 1e-9

@@ -8,8 +8,10 @@ that are nearer to each other than what their lists hold take each other in. Rou
 * where lists are saturated (the last neighbour is still linked) their nodes get new lists of neighbours outside their own
   component, again and again, until the last neighbour of each list is below the threshold or no other component is left;
 * the members of a component meet in blocks of bounded size, and only the numbers of links leave a task;
-* an audit compares the links of a bounded sample of nodes with brute force over all rows. While it finds less than
-  the wanted recall, the graph is refined again from further hyperplanes.
+* an audit compares the links of a sample of nodes with brute force over all rows. Each node counts alike, however many links
+  it has, and those inside large components, which are counted exactly, don't count; nodes are asked until enough of the
+  others were met, or all were asked. While it finds less than the wanted recall, the graph is refined again from further
+  hyperplanes.
 
 Rows without an id, and vectors that are null, zero or hold null or non-finite components, link with nothing; their
 component is their own id. Vectors of different lengths don't link. Rows that repeat an id are vectors of their own. Other
@@ -32,8 +34,10 @@ from undulate.llm.vectors import matrix, taking_part, usable
 GRAPH = "a long, b long, sim float"
 #: A half-precision product of unit vectors is off by less than this.
 MARGIN = 0.004
-#: Nodes that are compared with all others to audit the recall.
-AUDIT = 256
+#: The audit asks about so many nodes at once (later four times as many), until so many have told something about recall.
+AUDIT, ENOUGH = 1024, 100
+#: A node with more links than this, all of them counted, lies in a large component and tells nothing.
+LARGE = 512
 
 
 def halves(rows: np.ndarray) -> list[bytes]:
@@ -247,33 +251,43 @@ def counted_links(classes: DataFrame, roots: DataFrame, threshold: float, chunk:
     return rows.mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
-def audited(classes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the links of a bounded sample of nodes, by brute force over all rows, that were counted."""
-    import pyarrow as pa
+def audited(classes: DataFrame, links: DataFrame, threshold: float, sample: int = AUDIT, enough: int = ENOUGH) -> float:
+    """Mean over sampled nodes of the share of a node's links, by brute force over all rows, that were counted.
 
-    picked = classes.orderBy(F.xxhash64("node")).limit(sample).select("node", "dim", "v").toArrow()
-    if not picked.num_rows:
-        return 1.0
-    spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast([(n, np.array(v)) for n, v in zip(picked.column("node").to_pylist(), picked.column("v").to_pylist())])
+    Nodes without links, or with more than LARGE that were all counted, don't count; one with more than LARGE of which some
+    are missing counts as 0, the share found outside its component.
+    """
+    import pyarrow as pa
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dims = b.column("dim").to_numpy()
-            for d in np.unique(dims):
-                asked = [(n, v) for n, v in shared.value if len(v) == d]
-                own = b.filter(pa.array(dims == d))
-                if not asked:
-                    continue
-                q, x = np.array([v for _, v in asked]), matrix(own.column("v"))
-                who, node = np.array([n for n, _ in asked]), own.column("node").to_numpy()
-                near = ((q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T >= threshold) & (who[:, None] != node[None, :])
-                n = near @ own.column("copies").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(who[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["node", "links"])
-
-    true = classes.select("node", "dim", "copies", "v").mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
-    r = true.join(links, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return 1.0 if not r.t else r.f / r.t
+    spark, groups = classes.sparkSession, max(1, -(-classes.count() // sample))
+    group, at, step, met, shares = F.pmod(F.xxhash64("node"), F.lit(groups)), 0, 1, 0, 0.0
+    while at < groups and met < enough:
+        picked = classes.where(group.between(at, at + step - 1)).select("node", "v").toArrow()
+        at, step = at + step, 4
+        shared = spark.sparkContext.broadcast([(n, np.array(v)) for n, v in zip(picked.column("node").to_pylist(), picked.column("v").to_pylist())])
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked = {}
+            for n, v in shared.value:
+                asked.setdefault(len(v), []).append((n, v / np.linalg.norm(v)))
+            for b in batches:
+                dims = b.column("dim").to_numpy()
+                for d in np.unique(dims):
+                    own = b.filter(pa.array(dims == d))
+                    x, node, copies = matrix(own.column("v")), own.column("node").to_numpy(), own.column("copies").to_numpy()
+                    x = x / np.linalg.norm(x, axis=1)[:, None]
+                    for lo in range(0, len(asked.get(d, [])), 512):
+                        part = asked[d][lo : lo + 512]
+                        who, q = np.array([n for n, _ in part]), np.array([v for _, v in part])
+                        n = ((q @ x.T >= threshold) & (who[:, None] != node[None, :])) @ copies
+                        yield pa.RecordBatch.from_arrays([pa.array(who[n > 0]), pa.array(n[n > 0].astype(np.int64))], names=["node", "links"])
+
+        true = classes.select("node", "dim", "copies", "v").mapInArrow(work, "node long, links long").groupBy("node").agg(F.sum("links").alias("true"))
+        own = true.join(links, "node", "left").select("true", F.coalesce("links", F.lit(0)).alias("found"))
+        share = F.when(F.col("found") <= LARGE, F.col("found") / F.col("true")).when(F.col("found") < F.col("true"), 0.0)
+        r = own.agg(F.count(share).alias("n"), F.coalesce(F.sum(share), F.lit(0.0)).alias("s")).first()
+        met, shares = met + r.n, shares + r.s
+    return shares / met if met else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, k: int = 10, tables: int = 5, few: float = 0.01, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
