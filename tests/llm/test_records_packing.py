@@ -10,7 +10,7 @@ from fixtures import SCHEMA, documents, rows
 
 from undulate.llm.common import vocabulary
 from undulate.llm.op6_source_mix import mix, mixed_documents
-from undulate.llm.op8_url_rules import judge, listed_rule, pattern_rule
+from undulate.llm.op8_url_rules import RULES, judge, listed_rule, pattern_rule
 from undulate.llm.op9_token_records import framed, read_records, token_positions, unframed, write_records
 from undulate.llm.op10_packing import cuts, differencing, pack, windows
 
@@ -168,3 +168,16 @@ def test_urls(spark):
         judge(pages, (pattern_rule("any", "block", "."),))
     assert listed_rule("a.b", "/en", "allow").tokens == ("h:a", "h:b")
     assert SCHEMA
+
+
+def test_a_rule_is_fetched_by_every_url_that_fits(spark):
+    urls = ["http://a.com/click/x", "http://a.com/track/x", "http://a.com/x/click/track/y", "http://a.com/click", "http://a.com/my-click/x", "http://a.com/clicks/x", "http://spam-a.com/", "http://a.com/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.pattern, r.verdict) for r in judge(pages).collect()}
+    for i, u in enumerate(urls):  # the expressions alone, over every URL
+        fits = [(len(r.regex), r.name, r.verdict) for r in RULES if not r.listed and re.search(r.regex, u.split("://")[1])]
+        assert got[i] == (max(fits)[1:] if fits else (None, "allow"))
+        held = {f"p:{x}" for x in re.split("[^A-Za-z0-9]+", u.split("://")[1].partition("/")[2])} | {f"h:{x}" for x in re.split("[^a-z0-9]+", u.split("/")[2])}
+        for r in RULES:
+            if re.search(r.regex, u.split("://")[1]):
+                assert all(held & set(need.split("|")) for need in r.tokens), (u, r.name)

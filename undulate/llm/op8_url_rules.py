@@ -1,8 +1,9 @@
 """URL filters: pattern rules indexed by their rarest literal token.
 
 A rule is a regular expression over `host + path` with literal tokens that every fitting URL must hold. Each rule is
-filed under the one of its tokens that the fewest URLs hold, counted over all pages. The tokens of a URL fetch the
-rules filed under them, and only those run their expression. Everything is DataFrame functions.
+filed under the one of its tokens that the fewest URLs hold, counted over all pages; where an expression has alternatives,
+one token stands for each (`p:click|p:track`: a fitting URL holds at least one), and the rule is filed under all of them.
+The tokens of a URL fetch the rules filed under them, and only those run their expression. Everything is DataFrame functions.
 
 Repeated URLs are judged once. A null URL, or one without `://`, has an empty host and path, fits nothing and gets the
 default verdict. Extra columns of the pages are ignored; repeated rows stay rows of their own; an empty table gives none.
@@ -25,7 +26,7 @@ BROADCAST_RULES = 10_000
 
 @dataclass(frozen=True)
 class Rule:
-    """name: as reported; verdict: allow or block; regex over host + path; tokens: `h:` of the host, `p:` of the path."""
+    """name: as reported; verdict: allow or block; regex over host + path; tokens: `h:` of the host, `p:` of the path; those of alternatives joined by `|`."""
 
     name: str
     verdict: str
@@ -54,7 +55,7 @@ RULES = (
     listed_rule("example.com", "/de/", "block"),
     listed_rule("org", "/fr/", "allow"),
     pattern_rule("spam host", "block", r"^(?:[^/]*[.-])?spam-[^/]*", "h:spam"),
-    pattern_rule("tracker path", "block", r"^[^/]*/(?:[^/]*/)*(?:click|track)/", "p:track"),
+    pattern_rule("tracker path", "block", r"^[^/]*/(?:[^/]*/)*(?:click|track)/", "p:click|p:track"),
 )
 
 
@@ -70,18 +71,19 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 
 def rarest_token_index(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """One row a rule: the token that the fewest URLs hold (no URL: none of them can fit), and the rule beside it."""
+    """One row a rule and alternative: the tokens that the fewest URLs hold (no URL: none of them can fit), and the rule beside each."""
     schema = T.StructType([T.StructField(n, t) for n, t in (
-        ("token", T.StringType()), ("name", T.StringType()), ("verdict", T.StringType()), ("regex", T.StringType()),
+        ("need", T.StringType()), ("token", T.StringType()), ("name", T.StringType()), ("verdict", T.StringType()), ("regex", T.StringType()),
         ("size", T.IntegerType()), ("listed", T.BooleanType()))])
     spark = urls.sparkSession
-    filed = spark.createDataFrame([(t, r.name, r.verdict, r.regex, r.size, r.listed) for r in rules for t in r.tokens], schema)
+    filed = spark.createDataFrame([(need, t, r.name, r.verdict, r.regex, r.size, r.listed) for r in rules for need in r.tokens for t in need.split("|")], schema)
     held = small(filed.select("token").distinct(), rules)
     counts = (urls.select(F.explode(url_tokens(F.col("host"), F.col("path"))).alias("token"))
               .join(held, "token").groupBy("token").agg(F.count("*").alias("n")))
-    first = (filed.join(counts, "token", "left").groupBy("name", "regex")
-             .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "verdict", "size", "listed")).alias("r")))
-    return first.select("name", "regex", "r.token", "r.verdict", "r.size", "r.listed")
+    needs = (filed.join(counts, "token", "left").groupBy("name", "regex", "need")
+             .agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"), F.min("verdict").alias("verdict"), F.min("size").alias("size"), F.min("listed").alias("listed")))
+    first = needs.groupBy("name", "regex").agg(F.min(F.struct("n", "need", "verdict", "size", "listed")).alias("r"))
+    return first.select("name", "regex", F.explode(F.split("r.need", "[|]")).alias("token"), "r.verdict", "r.size", "r.listed")
 
 
 def small(rule_rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
