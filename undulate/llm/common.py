@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -38,6 +39,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that `stored` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts cross to Python in batches of few rows, so that long texts don't pile up in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -77,25 +86,39 @@ _MARK = re.compile("[\u0300-\u036f]")
 _FIRST = " "
 
 
+def id_count(path: str) -> int:
+    """One more than the largest id of a tokenizer file."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])])
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """Added tokens of a tokenizer file, which the library finds in a raw text before anything else."""
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    odd = [a["content"] for a in added if a["normalized"] or a["single_word"] or a["lstrip"] or a["rstrip"]]
+    if odd:
+        raise ValueError(f"{path}: added tokens with rules of their own: {odd}")
+    return {a["content"]: a["id"] for a in added}
+
+
 class PieceEncoder:
     """Exact ids of whole texts, with each distinct piece encoded once.
 
+    Where a text holds an added token literally, that becomes its id and what lies before and after are texts of their own.
+
     A text is cut at a space that a visible character follows; the space stays with what follows, where the vocabulary
     has spaces. The pre-tokenizers of the public files never cross such a cut, so the ids of a text are those of its
     pieces in turn. Pieces are cut once more at line breaks and before closing signs, where pre-tokens end as well. A
     worker keeps what it has encoded until that is more than `keep` pieces, and then begins anew.
     """
 
-    def __init__(self, path: str, spaced: bool, keep: int = 1_500_000):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.tok.no_padding()
-        self.tok.no_truncation()
+    def __init__(self, path: str, spaced: bool, keep: int = 1_500_000, ids_of: Callable[[list[str]], list[list[int]]] | None = None):
+        self.path, self.added = path, added_tokens(path)
+        names = sorted(self.added, key=len, reverse=True)
+        self.found_added = re.compile("|".join(map(re.escape, names)) or "(?!)")
+        self.ids_of = ids_of or library_ids(path)
         self.spaced, self.keep = spaced, keep
         self._reset()
 
@@ -146,7 +169,7 @@ class PieceEncoder:
             level = list({x: None for parts in made[-1].values() for x in parts if x not in self.index and x not in whole})
         names = list(whole)
         full = names if not self.spaced else [p[len(_FIRST) :] if p.startswith(_FIRST) else " " + p for p in names]
-        found = [e.ids for e in self.tok.encode_batch_fast(full, add_special_tokens=False)]
+        found = self.ids_of(full)
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self._keep(names, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())), sizes)
         for group in reversed(made):
@@ -160,6 +183,19 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text begins (one more entry at the end)."""
+        held = {i: self.found_added.findall(t) for i, t in enumerate(texts) if self.found_added.search(t)}
+        if not held:
+            return self._encode(texts)
+        parts = [self.found_added.split(t) if i in held else [t] for i, t in enumerate(texts)]
+        ids, edges = self._encode(list(chain.from_iterable(parts)))
+        last = np.cumsum([len(p) for p in parts])
+        after = np.setdiff1d(np.arange(1, len(edges)), last)  # edges inside a text: there an added token stood
+        added = [self.added[x] for i in sorted(held) for x in held[i]]
+        ids = np.insert(ids, edges[after], added)
+        edges = edges + np.searchsorted(after, np.arange(len(edges)))
+        return ids, edges[np.r_[0, last]]
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > self.keep:
             self._reset()
         parts = [self._pieces(t) if t else [] for t in texts]
@@ -179,6 +215,20 @@ class PieceEncoder:
         return self.ids[ragged(starts, lengths)], edges
 
 
+def library_ids(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """The tokenizers library on pieces that hold no added token."""
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    tok.no_padding()
+    tok.no_truncation()
+    return lambda names: [e.ids for e in tok.encode_batch_fast(names, add_special_tokens=False)]
+
+
 _ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 
 

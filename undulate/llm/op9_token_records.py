@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from undulate.llm.common import encoder, in_batches, shared_folder, stored, text_batches, texts_of, vocabulary
+from undulate.llm.common import encoder, id_count, in_batches, shared_folder, stored, text_batches, texts_of, vocabulary
 
 MAGIC = b"UREC1"
 INDEX = "doc_id long, file string, part int, nth long, offset long, bytes int, n_tokens long"
@@ -72,8 +72,7 @@ def write_records(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
         part, out, at, nth = TaskContext.get().partitionId(), None, 0, 0
         uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.rec"
         enc = encoder(vocabulary(tokenizer), True)
-        wide = enc.tok.get_vocab_size() > 1 << 16
-        code = np.dtype("<u4" if wide else "<u2")
+        code = np.dtype("<u4" if id_count(enc.path) > 1 << 16 else "<u2")
         for b in in_batches(batches):
             if out is None:
                 fs, path = _open(uri)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from undulate.llm import op3_blob_ledger, op4_nn_descent, op7_simhash_planes
+from undulate.llm import op3_blob_ledger, op4_nn_descent, op7_simhash_planes, op11_trie_bpe, op12_va_file_clusters, op13_prefix_trie
 from undulate.llm.common import table
 from undulate.llm.op1_attention_score import score
 from undulate.llm.op2_language_filters import identify
@@ -59,10 +59,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_trie_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_trie_bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op12_va_file_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_va_file_clusters.digest(*op12_va_file_clusters.clusters(table(spark, sf_dir, "embeddings")))
+
+
+def op13_prefix_trie_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_score, op2_language_filters, op3_blob_ledger_scan, op4_nn_descent_links, op5_block_search, op6_source_mix, op7_simhash_near_duplicates, op8_url_rules, op9_token_records, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_attention_score, op2_language_filters, op3_blob_ledger_scan, op4_nn_descent_links, op5_block_search, op6_source_mix, op7_simhash_near_duplicates, op8_url_rules, op9_token_records, op10_packing, op11_trie_bpe_round_trip, op12_va_file_assignment, op13_prefix_trie_nodes, pipeline)}
