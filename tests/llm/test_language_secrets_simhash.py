@@ -12,7 +12,7 @@ from fixtures import documents, rows
 
 from undulate.llm import op3_blob_ledger as ledger
 from undulate.llm.components import connected_components
-from undulate.llm.op2_language_filters import build, decide, grams, identify, in_known_language
+from undulate.llm.op2_language_filters import FILED, FILED_SIZE, build, decide, grams, identify, in_known_language
 from undulate.llm.op7_simhash_planes import digest, forest, links, majorities, masks, near_duplicates, one_of_each, plane_links, shingle_hashes
 
 
@@ -21,7 +21,26 @@ def test_grams_by_hand():
         return "".join(chr(k >> s & 0xFFFF) if k >> s & 0xFFFF else "_" for s in (48, 32, 16, 0))
 
     got = [(int(t), name(int(k))) for text, key in grams(["Das y", "", "ÄB1çd\U0001d400"]) for t, k in zip(text, key)]
-    assert got == [(0, "_das"), (0, "das_"), (0, "_y__"), (2, "_äb_"), (2, "_çd_")]
+    high = chr(FILED + 0x1D400 % FILED_SIZE)  # letters above 16 bits have codes of their own
+    assert got == [(0, "_das"), (0, "das_"), (0, "_y__"), (2, "_äb_"), (2, f"_çd{high}"), (2, f"çd{high}_")]
+
+
+def test_floors_follow_each_language(spark):
+    rnd = random.Random(6)
+    rare = [chr(0x4E00 + i) for i in range(3000)]  # a script with many distinct windows scores low, and stays
+    data = [(i, " ".join(rnd.choice("the ing tion and ough".split()) + rnd.choice("the ing tion".split()) for _ in range(30)), "en", "a", 1, 1, "", 1) for i in range(120)]
+    data += [(200 + i, "".join(rnd.choice(rare) for _ in range(60)), "zh", "a", 1, 1, "", 1) for i in range(40)]
+    data += [(300 + i, "".join(rnd.choice("qxzjkvw") for _ in range(300)), None, "a", 1, 1, "", 1) for i in range(3)]
+    kept = {r.doc_id for r in in_known_language(documents(spark, data)).collect()}
+    assert {r[0] for r in data if r[2]} <= kept and not kept & {300, 301, 302}
+    assert in_known_language(documents(spark, [])).count() == 0
+    assert in_known_language(documents(spark, [(1, "abc", None, None, 1, 1, "", 1)])).count() == 0
+
+
+def test_number_signs_are_no_letters():
+    f = build(["en"], np.zeros(1, int), np.array([1], np.uint64))
+    texts = ["²", "½ ①", "Ⅷ 12", "", "a", "1 ß", "\U0001d400"]
+    assert decide(f, texts)[0] == ["und"] * 4 + ["en"] * 3
 
 
 def test_filters_return_all_languages():
@@ -117,6 +136,15 @@ def classes(items, radius=2):
     return [(k, f"{f:016x}", least[u]) for (k, _), f, u in zip(items, fps, up)]
 
 
+def firsts(data):
+    """The least id of each group of near copies, by brute force; None where no row of it has one."""
+    numbered = classes([(i, r[1]) for i, r in enumerate(data)])
+    groups = {}
+    for i, _, c in numbered:
+        groups.setdefault(c, []).append(data[i][0])
+    return Counter(min((x for x in ids if x is not None), default=None) for ids in groups.values())
+
+
 def test_simhash(spark):
     rnd = random.Random(2)
     base = " ".join(rnd.choice(["uno", "DUE", "tre", "quattro"]) + str(rnd.randrange(50)) for _ in range(400))
@@ -125,8 +153,10 @@ def test_simhash(spark):
     assert Counter(map(tuple, got)) == Counter(classes([(r[0], r[1]) for r in data]))
     kept = one_of_each(documents(spark, data))
     assert kept.columns == documents(spark).columns
-    ids = Counter(r.doc_id for r in kept.collect())
-    assert ids == Counter({c for i, _, c in map(tuple, got) if c is not None}) + Counter({None: 2})
+    assert Counter(r.doc_id for r in kept.collect()) == firsts(data)
+    same = [(None, "a b c d", None, None, 1, 1, "", 1)] * 3 + [(5, "a b c d", None, None, 1, 1, "", 1)] * 2 + [(5, "q r s t u v w", None, None, 1, 1, "", 1), (None, "x y z", None, None, 1, 1, "", 1), (None, None, None, None, 1, 1, "", 1), (7, "", None, None, 1, 1, "", 1)]
+    assert Counter((r.doc_id, r.text) for r in one_of_each(documents(spark, same)).collect()) == Counter([(5, "a b c d"), (5, "q r s t u v w"), (None, "x y z"), (7, "")])
+    assert one_of_each(documents(spark, [])).count() == 0
     assert near_duplicates(documents(spark, [])).count() == 0
 
 

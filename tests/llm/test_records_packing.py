@@ -20,9 +20,13 @@ WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary(name))
+
+
+def odd_rows():
+    """Rows with added tokens in their texts besides."""
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext"]
+    return rows() + [(150 + i, t, "en", "b", 1, 1, "x", 1) for i, t in enumerate(texts)]
 
 
 def ids_of(t, text, end):
@@ -31,11 +35,12 @@ def ids_of(t, text, end):
 
 def test_records_round_trip(spark):
     t = tokenizer("byte_bpe_50k.json")
-    index = write_records(documents(spark))
+    data = odd_rows()
+    index = write_records(documents(spark, data))
     got = sorted(token_positions(read_records(index)).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == sorted((r[0] for r in rows()), key=lambda i: (i is not None, i or 0))
+    assert [r.doc_id for r in got] == sorted((r[0] for r in data), key=lambda i: (i is not None, i or 0))
     want = defaultdict(list)
-    for r in rows():
+    for r in data:
         want[r[0]].append(ids_of(t, r[1], 0))
     at = 0
     for r in got:
@@ -43,7 +48,7 @@ def test_records_round_trip(spark):
         at += r.n_tokens
         assert (r.n_tokens, r.ids_crc32) in [(len(x), zlib.crc32(x.tobytes())) for x in want[r.doc_id]]
     some = read_records(index.where("doc_id % 7 = 3"), with_ids=True).collect()
-    assert {r.doc_id for r in some} == {i for i in range(60) if i % 7 == 3} | {101}
+    assert {r.doc_id for r in some} == {i for i in range(60) if i % 7 == 3} | {101, 150}
     for r in some:
         assert r.ids == want[r.doc_id][0].tolist()
 
@@ -58,12 +63,13 @@ def test_broken_record():
 
 def test_packing(spark):
     t = tokenizer("word_bpe_49k.json")
-    got = pack(documents(spark), group_tokens=20_000).collect()
+    data = odd_rows()
+    got = pack(documents(spark, data), group_tokens=20_000).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r.doc_id].append(r)
         by_seq[r.sequence_id].append(r)
-    want, ids = Counter(r[0] for r in rows()), {r[0]: ids_of(t, r[1], 2) for r in rows()}
+    want, ids = Counter(r[0] for r in data), {r[0]: ids_of(t, r[1], 2) for r in data}
     assert set(by_doc) == set(want)
     for i, parts in by_doc.items():
         at = cuts(len(ids[i]), 4096, 1024)
@@ -78,6 +84,13 @@ def test_packing(spark):
     assert pack(documents(spark, [])).count() == 0 and write_records(documents(spark, [])).count() == 0
 
 
+def test_many_tiny_pieces_make_more_groups(spark):
+    docs = documents(spark, [(i, None, None, None, 0, 0, "", 0) for i in range(200)])
+    got = pack(docs, group_pieces=50).collect()
+    assert len(got) == 200 and {r.doc_tokens for r in got} == {1}
+    assert len({r.sequence_id >> 32 for r in got}) == 4
+
+
 def test_differencing():
     rng = np.random.default_rng(1)
     for n, m in ((1, 1), (1, 3), (5, 2), (40, 7), (500, 60)):
@@ -131,10 +144,25 @@ def test_mix(spark):
         by = defaultdict(int)
         for r in out.collect():
             by[r.source] += len(WORDS.findall(r.text.encode()))
-        assert all(abs(by[s] - target[s]) <= 4 for s in order)
+        assert all(abs(by[s] - target[s]) <= 1 for s in order)
+        own = Counter()
+        for r in got:  # whole texts as often as they are taken, and one part of the rest
+            own[r.doc_id, r.source, r.size] += r.taken
+        assert own == Counter({k: n for k, n in own.items()}) and sum(own.values()) == sum(by.values())
     assert mix(documents(spark, []))[0].count() == 0
 
 
+def test_rows_without_ids_get_their_own_words(spark):
+    data = [(None, "a b c d e", "en", "s", 1, 1, "", 1)] * 7 + [(1, " ".join("xyz"[i % 3] for i in range(40)), "en", "t", 1, 1, "", 1)] * 3
+    docs = documents(spark, data)
+    taken, _ = mix(docs)
+    words = Counter()
+    for r in mixed_documents(docs).collect():
+        words[r.source] += len(r.text.split())
+    for s in "st":
+        assert words[s] == sum(r.taken for r in taken.collect() if r.source == s)
+
+
 def test_mix_is_even_along_the_way(spark):
     data = [(i, "w " * 40, "en", "abc"[i % 3], 1, 1, "", 1) for i in range(600)]
     _, schedule = mix(documents(spark, data), block=40)
@@ -147,7 +175,7 @@ def test_mix_is_even_along_the_way(spark):
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "http://NET", "http://a.net/x", "https://example.net/en/1?x#y", "http://EXAMPLE.net/de/", "http://badexample.net/en/",
             "http://x.example.com/de/a", "http://x.example.com/dev/a", "http://foo.org/fr/", "http://foo.org/fr", "http://u@h.org#/fr/", "x://a.net?/", "http://spam-farm.org/en/",
-            "http://a://b.net/", "http://a.b/c/track/9", "http://straße.net/é\n/z"] + ["http://hot.net/a"] * 50
+            "http://a://b.net/", "http://a.b/c/track/9", "http://a.b/click/9", "http://a.b/clicks/9", "http://straße.net/é\n/z"] + ["http://hot.net/a"] * 50
     pages = spark.createDataFrame([(i, u, "h", "x", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, rule string, token int")
     lists = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -158,7 +186,7 @@ def test_urls(spark):
         host = "".join(c.lower() if c.isascii() else c for c in host)
         fits = [(len(h + p), h + p, v) for h, p, v in lists if (host == h or host.endswith("." + h)) and path.startswith(p)]
         rule = max(fits, default=None)
-        spam = re.match(r"([^/]*[.-])?spam-", host) or "/track/" in path
+        spam = re.match(r"([^/]*[.-])?spam-", host) or "/track/" in path or "/click/" in path
         return host, path, rule and rule[1], rule[2] if rule else "block" if spam else "allow"
 
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in judge(pages).collect()}
@@ -170,6 +198,19 @@ def test_urls(spark):
     assert SCHEMA
 
 
+def test_statement_of_the_rules(spark):
+    import duckdb
+
+    from undulate.llm.sql import OP8
+
+    urls = ["http://a.com/click/x", "http://a.com/x/track/", "http://a.com/clicks/x", "http://spam-a.com/", "http://a.net/click/", "http://a.com/a?/click/", None]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", list(enumerate(urls)))
+    got = judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(con.execute(OP8).fetchall()) == sorted(map(tuple, got.collect()))
+
+
 def test_a_rule_is_fetched_by_every_url_that_fits(spark):
     urls = ["http://a.com/click/x", "http://a.com/track/x", "http://a.com/x/click/track/y", "http://a.com/click", "http://a.com/my-click/x", "http://a.com/clicks/x", "http://spam-a.com/", "http://a.com/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

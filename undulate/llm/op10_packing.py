@@ -1,7 +1,7 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
 A document of more tokens than a window gives whole windows first; what is left is cut into pieces of at most
-`piece` tokens. Pieces are dealt into groups of about `group_tokens` tokens by a hash. In a group, each piece starts as a
+`piece` tokens. Pieces are dealt into groups of about `group_tokens` tokens, or `group_pieces` pieces where these are tiny, by a hash. In a group, each piece starts as a
 partition into m windows, all but one empty; the two partitions with the largest imbalance are merged, the fullest
 windows of one onto the emptiest of the other, until one is left. m is the least number of windows that could hold the
 group and rises whenever one exceeds the capacity.
@@ -105,13 +105,13 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, piece: i
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, piece: int = 1024, group_tokens: int = 1 << 19) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2, capacity: int = 4096, piece: int = 1024, group_tokens: int = 1 << 19, group_pieces: int = 1 << 14) -> DataFrame:
     """Pieces with their sequence and their place in it."""
     import pyarrow as pa
 
     cut = stored(pieces(docs, tokenizer, end_id, capacity, piece), "pieces")
-    total = cut.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
-    groups = max(1, -(-total // group_tokens))
+    total = cut.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count("*").alias("pieces")).first()
+    groups = max(1, -(-total.tokens // group_tokens), -(-total.pieces // group_pieces))
 
     def place(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("row")  # the result depends on the pieces alone, not on how they arrived

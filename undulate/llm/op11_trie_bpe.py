@@ -28,6 +28,8 @@ from undulate.llm.common import PieceEncoder, added_tokens, in_batches, texts_of
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 IDS = "doc_id long, ids array<int>"
+#: Last bytes of a prefix that tell which lengths its last token may have.
+TAIL = 4
 #: The words of a byte-level vocabulary of this kind, where a text is cut before anything is merged.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -125,9 +127,10 @@ class TrieBPE:
             if self.bytes[x] in self.of and self.bytes[y] in self.of and self._stay_apart(x, y, t):
                 self.of[self.bytes[t]] = t
         self.ids, self.size = ids.tolist(), [len(b) for b in self.bytes]
-        self.longest: dict[bytes, int] = {}  # of the tokens with the same last two bytes
+        ending: dict[bytes, set[int]] = {}
         for b in self.of:
-            self.longest[b[-2:]] = max(self.longest.get(b[-2:], 1), len(b))
+            ending.setdefault(b[-TAIL:], set()).add(len(b))
+        self.ending, self.lengths = ending, {}  # lengths: of the tokens that may end where these bytes do, longest first
         self.text = dict(zip(self.ids, self.bytes)) | {i: s.encode() for s, i in added_tokens(path).items()}
 
     def _stay_apart(self, a: int, b: int, before: int | None = None) -> bool:
@@ -143,14 +146,25 @@ class TrieBPE:
             else:
                 limit, b = b + 1, self.left[b]
 
+    def _lengths(self, tail: bytes) -> tuple[int, ...]:
+        """Lengths of the tokens that can be a suffix of a prefix with these last bytes."""
+        if len(self.lengths) > self.most_pairs:
+            self.lengths.clear()
+        found = {n for i in range(len(tail)) for n in self.ending.get(tail[i:], ()) if i == 0 or n == len(tail) - i}
+        out = self.lengths[tail] = tuple(sorted(found, reverse=True))
+        return out
+
     def _last_tokens(self, trie: Trie) -> Iterator[tuple[int, array]]:
         """(word, last tokens of all its prefixes by their length), for each word of a trie."""
-        of, longest, apart = self.of, self.longest, self.apart
+        of, lengths, apart = self.of, self.lengths, self.apart
         last = array("i", bytes(4 * (1 + max(map(len, trie.words)))))
         for node, above in trie.depth_first():
             w = trie.words[trie.word[node]]
             for d in range(above + 1, trie.depth[node] + 1):
-                for n in range(min(d, longest.get(w[max(0, d - 2) : d], 1)), 0, -1):
+                tail = w[max(0, d - TAIL) : d]
+                for n in lengths.get(tail) or self._lengths(tail):
+                    if n > d:
+                        continue
                     t = of.get(w[d - n : d])
                     if t is None:
                         continue
@@ -209,7 +223,7 @@ def coder(path: str, keep: int) -> tuple[PieceEncoder, TrieBPE]:
     return _CODERS[path]
 
 
-def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: int = 600_000) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: int = 1_500_000) -> DataFrame:
     """(doc_id, ids) of every whole text."""
     import pyarrow as pa
 
@@ -223,7 +237,7 @@ def encode(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: int = 60
     return docs.select("doc_id", "text").mapInArrow(work, IDS)
 
 
-def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: int = 600_000) -> DataFrame:
+def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: int = 1_500_000) -> DataFrame:
     """(doc_id, text) of ids; null ids give no text."""
     import pyarrow as pa
 
@@ -238,7 +252,7 @@ def decode(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: int =
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: int = 600_000) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", keep: int = 1_500_000) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, ids and texts staying in the task."""
     import pyarrow as pa
 

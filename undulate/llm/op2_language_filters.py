@@ -17,7 +17,6 @@ the language with most documents wins (then by code point). Repeated rows stay;
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,27 +30,33 @@ from undulate.llm.common import crc_mod, in_batches, stored, text_batches, texts
 STEP = 1 << 20
 #: Odd multipliers of the hash functions.
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-_LETTER = re.compile(r"[^\W\d_]")
+#: Code points without letters, where the letters above 16 bits are filed.
+FILED, FILED_SIZE = 0xE000, 0x1900
 
 
 @functools.cache
 def letters() -> np.ndarray:
-    """Lower-case letter of each code point of 16 bits; 0 for all that is no letter."""
-    out = np.zeros(1 << 16, np.uint16)
-    for i in range(1 << 16):
+    """16-bit code of the lower-case letter of each code point; 0 for all that is no letter. Letters above 16 bits share the
+    codes of the private area, 6400 of them."""
+    out = np.zeros(0x110000, np.uint16)
+    for i in range(0x110000):
         c = chr(i)
-        if c.isalpha() and not 0xD800 <= i < 0xE000:
+        if c.isalpha():
             low = ord(c.lower()[0])
-            out[i] = low if low < 1 << 16 else i
+            out[i] = low if low < 1 << 16 else FILED + low % FILED_SIZE
     return out
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text, n-gram) arrays in steps: which text an n-gram is of, and its four 16-bit codes as one number."""
     joined = "\n".join(["", *texts, "", ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum([len(t) + 1 for t in texts])
-    codes = letters()[np.minimum(points, 0xFFFF)]
+    codes = letters()[points]
     for at in range(0, len(codes) - 3, STEP):
         c = codes[at : at + STEP + 3]
         a, b, d, e = c[:-3], c[1:-2], c[2:-1], c[3:]
@@ -159,7 +164,7 @@ def decide(filters: Filters, texts: list[str]) -> tuple[list[str], np.ndarray]:
     real = np.maximum(0, (hits - n * chance) / np.maximum(1 - chance, 1e-9))
     best = real.argmax(axis=0)
     score = np.minimum(1, real[best, np.arange(len(texts))] / np.maximum(n, 1))
-    none = [not _LETTER.search(t) for t in texts]
+    none = [not has_letter(t) for t in texts]
     return ["und" if x else filters.langs[i] for x, i in zip(none, best)], np.where(none, 0.0, score)
 
 
@@ -188,12 +193,26 @@ def identify(docs: DataFrame, held_out: Column | None = None, **params) -> DataF
     return predict(docs.select("doc_id", out.alias("held_out"), "text"), filters, ["doc_id", "held_out"])
 
 
-def in_known_language(docs: DataFrame, least_score: float = 0.2, **params) -> DataFrame:
-    """The documents that are in a learned language: neither `und` nor with fewer typical n-grams than `least_score`."""
+def floors(docs: DataFrame, filters: Filters, share: float, part: float) -> dict[str, float]:
+    """Per language, `part` of the score that all but `share` of its labelled texts reach when they are taken for it."""
+    told = predict(docs.where(F.col("lang").isNotNull()).select(F.col("lang").alias("told"), "text"), filters, ["told"])
+    own = told.where(F.col("told") == F.col("lang_pred")).groupBy("lang_pred").agg(F.percentile_approx("score", share, 10_000).alias("s"))
+    return {r.lang_pred: part * r.s for r in own.collect()}
+
+
+def in_known_language(docs: DataFrame, share: float = 0.01, part: float = 0.5, **params) -> DataFrame:
+    """The documents that are in a learned language; a stage of the pipeline.
+
+    All labelled rows teach. A text goes if it is `und` (null, without a letter, or nothing was learned) or if its score is
+    below the floor of the language that it is taken for: `part` of the lowest score but for `share` of the texts labelled so, so
+    that scripts and corpora with lower scores have lower floors. Languages that no labelled text was taken for have none.
+    Rows without an id, repeated rows and extra columns stay as they are; an empty table gives none.
+    """
     columns = docs.columns
-    out = crc_mod(F.col("doc_id"), 4) == 2
-    filters = learn(docs.where(~out).select("lang", "text"), **params)
+    filters = learn(docs.select("lang", "text"), **params)
+    floor = floors(docs, filters, share, part)
     named = docs.select(*(F.col(c).alias(f"__{i}") if c != "text" else F.col(c) for i, c in enumerate(columns)))
     found = predict(named, filters, named.columns)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    least = F.create_map(*(F.lit(x) for item in floor.items() for x in item))[F.col("lang_pred")] if floor else F.lit(0.0)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= F.coalesce(least, F.lit(0.0))))
     return kept.select(*(F.col("text" if c == "text" else f"__{i}").alias(c) for i, c in enumerate(columns)))

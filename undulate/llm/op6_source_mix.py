@@ -91,23 +91,24 @@ def slots(spark, sources: DataFrame, block: int, n_slots: int, small) -> DataFra
     return hit.where(F.col("rank") < F.col("blocks")).select("skey", "rank", "slot").unionByName(late)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 1024, seed: int = 7, row: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """The documents with what the mix takes of each, and the schedule.
 
-    documents: doc_id, skey, source, size, source_size, target, taken. schedule: slot, doc_id, skey, first, words - the
+    documents: row (as given), doc_id, skey, source, size, source_size, target, taken. schedule: slot, doc_id, skey, first, words - the
     words from `first` of a document that a slot takes, in order of `slot`, then of `at`.
     """
     spark = docs.sparkSession
-    base = stored(docs.select("doc_id", "source", source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size")), "sizes")
+    row = F.lit(None).cast("long") if row is None else row
+    base = stored(docs.select(row.alias("row"), "doc_id", F.xxhash64("text").alias("of_text"), "source", source_key(F.col("source")).alias("skey"), n_words(F.col("text")).alias("size")), "sizes")
     sources = stored(targets(base.groupBy("skey").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), weights, cap), "sources")
     n = base.agg(F.count("*").alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
     n_sources = sources.count()
     small = F.broadcast if n_sources <= BROADCAST_SOURCES else (lambda df: df)
     buckets = max(1, -(-n.docs // 512))
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = ranked(base.withColumn("_key", key), ["skey"], F.pmod(F.col("_key"), F.lit(buckets)), ["_key", "doc_id", "size"], F.col("size"), "start")
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("of_text"))  # rows of one id, or of none, are dealt by their texts
+    placed = ranked(base.withColumn("_key", key), ["skey"], F.pmod(F.col("_key"), F.lit(buckets)), ["_key", "doc_id", "size", "row"], F.col("size"), "start")
     placed = stored(placed.join(small(sources.drop("source")), "skey").select(
-        "doc_id", "source", "skey", F.col("_chunk").alias("chunk"), F.col("_nth").alias("nth"), "size", "start", "source_size", "target", F.col("words").alias("quota")), "placed")
+        "row", "doc_id", "source", "skey", F.col("_chunk").alias("chunk"), F.col("_nth").alias("nth"), "size", "start", "source_size", "target", F.col("words").alias("quota")), "placed")
     copies = (placed.where(F.col("size") > 0).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
               .withColumn("at", F.col("start") + F.col("turn") * F.col("source_size"))
               .withColumn("end", F.least(F.col("at") + F.col("size"), F.col("quota"))).where(F.col("at") < F.col("end")))
@@ -119,7 +120,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
         "slot", F.col("from").alias("at"), "doc_id", "skey", "chunk", "nth", (F.col("from") - F.col("at")).alias("first"), "words")
     taken = schedule.groupBy("skey", "chunk", "nth").agg(F.sum("words").alias("taken"))
     result = placed.join(taken, ["skey", "chunk", "nth"], "left").select(
-        "doc_id", "skey", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        "row", "doc_id", "skey", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return result, schedule
 
 
@@ -127,14 +128,14 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The documents repeated and cut as the mix says, with the columns of `docs`; a stage of the pipeline.
 
     A document is written once for every whole time that the mix takes it, and once more with its first words where the
-    mix ends inside it. Rows that agree in id, source and size share their words evenly.
+    mix ends inside it. Every row has a number of its own and gets its own words, be its id null or repeated. Rows without
+    words take nothing and go; an empty table gives none.
     """
     columns = docs.columns
-    taken, _ = mix(docs, **params)
-    each = taken.groupBy("doc_id", "skey", "size").agg(F.floor(F.sum("taken") / F.count("*")).alias("taken"))
-    each = each.where(F.col("taken") > 0).select(F.col("doc_id").alias("__mix_id"), F.col("skey").alias("__mix_skey"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
-    rows = docs.withColumn("__mix_own", n_words(F.col("text")))
-    rows = rows.join(each, F.col("doc_id").eqNullSafe(F.col("__mix_id")) & (source_key(F.col("source")) == F.col("__mix_skey")) & (F.col("__mix_own") == F.col("__mix_size")))
+    docs = stored(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "numbered")
+    taken, _ = mix(docs, row=F.col("__mix_row"), **params)
+    each = taken.where(F.col("taken") > 0).select(F.col("row").alias("__mix_row"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    rows = docs.join(each, "__mix_row")
     rows = rows.withColumn("__mix_left", F.explode(F.sequence(F.lit(0), F.floor((F.col("__mix_taken") - 1) / F.col("__mix_size")))))
     some = F.col("__mix_taken") - F.col("__mix_left") * F.col("__mix_size")
     first = F.concat_ws(" ", F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), 1), F.lit(1), some.cast("int")))

@@ -211,11 +211,15 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
-    """The document of each group that names it. Rows that repeat it with its text keep one; rows without an id all stay."""
+    """One row of each group of near copies, that of the smallest doc_id (rows without an id last); a stage of the pipeline.
+
+    Rows have numbers of their own, so repeated ids, rows without an id and repeated rows are judged by their texts alone.
+    Null, empty and blank texts are one group. Columns stay as they are; an empty table gives none.
+    """
     columns = docs.columns
-    ids = near_duplicates(docs.select("doc_id", "text"), **params).where("doc_id = component_id")
-    keep = ids.groupBy("doc_id").agg(F.count("*").alias("__simhash_rows")).withColumnRenamed("doc_id", "__simhash_keep")
-    known = docs.where(F.col("doc_id").isNotNull()).join(keep.hint("shuffle_hash"), F.col("doc_id") == F.col("__simhash_keep"))
-    once = known.where("__simhash_rows = 1").select(*columns)
-    again = known.where("__simhash_rows > 1").select(*columns).dropDuplicates(["doc_id", "text"])
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    docs = stored(docs.withColumn("__simhash_row", F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(docs.select(F.col("__simhash_row").alias("doc_id"), "text"), **params)
+    ids = found.select(F.col("doc_id").alias("__simhash_row"), F.col("component_id").alias("__simhash_group")).join(
+        docs.select("__simhash_row", F.col("doc_id").alias("__simhash_id")), "__simhash_row")
+    first = ids.groupBy("__simhash_group").agg(F.min(F.struct(F.col("__simhash_id").isNull(), "__simhash_id", "__simhash_row"))["__simhash_row"].alias("__simhash_row"))
+    return docs.join(first.select("__simhash_row").hint("shuffle_hash"), "__simhash_row").select(*columns)

@@ -101,7 +101,7 @@ def write_records(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
             out.close()
 
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order)  # rows of one id, or of none, spread by their texts
     return stored(rows.sortWithinPartitions(*order).mapInArrow(write, INDEX), "index")
 
 
