@@ -43,7 +43,7 @@ def test_depth_of_a_thick_mask(spark):
     df = spark.createDataFrame(rows, "run_id long, z long, y long, x long")
     for size in ((1.0, 1.0, 1.0), (5.0, 1.0, 1.5)):
         inside = set(rows)
-        got = {(r.run_id, r.z, r.y, r.x): r.depth for r in V.mask_depth(df, ["run_id"], size, radius=1.0).collect()}
+        got = {(r.run_id, r.z, r.y, r.x): r.depth for r in V.mask_depth(df, ["run_id"], size).collect()}
         assert set(got) == inside
         for (k, z, y, x), d in got.items():
             want = min(np.sqrt(((a) * size[0]) ** 2 + (b * size[1]) ** 2 + (c * size[2]) ** 2)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _c(x) -> Column:
@@ -188,11 +189,20 @@ def acc_magnitude(ax, ay, az, mx, my, mz) -> Column:
 MIX_P, MIX_A = 2_147_483_647, 48_271
 
 
-def mixed(*cols) -> Column:
-    """A pseudo-random integer in 0…2^31-2 from integer columns, by an explicit rule that SQL can repeat."""
+def id_number(df: DataFrame, c: str | Column) -> Column:
+    """An integer for an id of any type: integers are themselves, others the first 60 bits of the MD5 of their text; null is 0."""
+    kind = df.schema[c].dataType if isinstance(c, str) and c in df.columns else T.LongType()
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(_c(c).cast("long"), F.lit(0))
+    digest = F.md5(_c(c).cast("string").cast("binary"))
+    return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(0))
+
+
+def mixed(df: DataFrame, *cols: str | Column) -> Column:
+    """A pseudo-random integer in 0…2^31-2 from id columns of ``df``, by an explicit rule that SQL can repeat."""
     h = F.lit(17).cast("long")
     for c in cols:
-        h = F.pmod(h * MIX_A + F.pmod(_c(c).cast("long"), F.lit(MIX_P)), F.lit(MIX_P))
+        h = F.pmod(h * MIX_A + F.pmod(id_number(df, c), F.lit(MIX_P)), F.lit(MIX_P))
     return F.pmod(h * (F.pmod(h, F.lit(65_537)) + 1), F.lit(MIX_P))
 
 

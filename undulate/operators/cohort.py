@@ -272,7 +272,7 @@ def subject_medians(df, keys, subject: str, v: str, bounded: bool = False) -> Da
 
 
 def bootstrap_ci(df, keys, ident: Sequence[str], v: str, n_rep: int = 200, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean under Poisson(1) resampling weights from a mix of the integer row identity.
+    """Percentile interval of the mean under Poisson(1) resampling weights from a mix of the row identity.
 
     Replicates are summed map-side, so the shuffle carries one row per
     (task, key, replicate).
@@ -284,7 +284,7 @@ def bootstrap_ci(df, keys, ident: Sequence[str], v: str, n_rep: int = 200, level
         cdf.append(cdf[-1] + math.exp(-1) / math.factorial(k))
         k += 1
     r = df.filter(F.col(v).isNotNull()).withColumn("_rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    u = mixed("_rep", *ident) / float(MIX_P)
+    u = mixed(r, "_rep", *ident) / float(MIX_P)
     w = sum((F.when(u > c, 1).otherwise(0) for c in cdf), F.lit(0))
     m = r.withColumn("_w", w).groupBy(*keys, "_rep").agg(
         (F.sum(F.col("_w") * F.col(v)) / F.nullif(F.sum("_w"), F.lit(0))).alias("_m"))

@@ -100,9 +100,9 @@ def mutual_best_matching(scores: DataFrame, keys, a: str, b: str, score: str) ->
     out = None
     while True:
         # one strict order of pairs seen from either side
-        oa = F.struct(F.col(score).alias("s"), (-F.col(a)).alias("x"), (-F.col(b)).alias("y"))
-        ba = rest.groupBy(*keys, a).agg(F.max(oa).alias("_o")).select(*keys, a, (-F.col("_o.y")).alias(b), F.col("_o.s").alias(score))
-        bb = rest.groupBy(*keys, b).agg(F.max(oa).alias("_o")).select(*keys, (-F.col("_o.x")).alias(a), b)
+        o = F.struct((-F.col(score)).alias("s"), F.col(a).alias("x"), F.col(b).alias("y"))
+        ba = rest.groupBy(*keys, a).agg(F.min(o).alias("_o")).select(*keys, a, F.col("_o.y").alias(b), (-F.col("_o.s")).alias(score))
+        bb = rest.groupBy(*keys, b).agg(F.min(o).alias("_o")).select(*keys, F.col("_o.x").alias(a), b)
         hit = cut_lineage(ba.join(bb, [*keys, a, b]))
         if hit.isEmpty():
             break

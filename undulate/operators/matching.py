@@ -94,8 +94,8 @@ def dedup_dice(masks, run_keys, unit: str, dice: float = 0.70) -> DataFrame:
 
 def best_match(ov, run_keys, thr: float, by: str = "iou") -> DataFrame:
     """Best b of every a at or above the threshold (lowest b of equals)."""
-    o = F.struct(F.col(by), -F.col("b"))
-    return ov.filter(F.col(by) >= thr).groupBy(*run_keys, "a").agg(F.max_by(F.struct("b", by), o).alias("_x")).select(*run_keys, "a", "_x.*")
+    o = F.struct(-F.col(by), F.col("b"))
+    return ov.filter(F.col(by) >= thr).groupBy(*run_keys, "a").agg(F.min_by(F.struct("b", by), o).alias("_x")).select(*run_keys, "a", "_x.*")
 
 
 def novel_and_lost(ov, a_units, b_units, run_keys, thr: float, by: str = "iou") -> DataFrame:

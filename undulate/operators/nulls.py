@@ -156,9 +156,9 @@ def pooled_p(obs: DataFrame, null: DataFrame, keys, v: str, out: str = "p") -> D
 
 
 def jitter_null(events: DataFrame, t: str, width: int, n_frames: int, ident: Sequence[str], n_rep: int) -> DataFrame:
-    """Each event moved by up to ±width frames (reflected at the ends), per replicate, by a mix of its integer identity."""
+    """Each event moved by up to ±width frames (reflected at the ends), per replicate, by a mix of its identity."""
     e = events.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    d = F.pmod(mixed("rep", *ident), F.lit(2 * width + 1)) - width
+    d = F.pmod(mixed(e, "rep", *ident), F.lit(2 * width + 1)) - width
     x = F.abs(F.col(t) + d)
     return e.withColumn(t, F.when(x >= n_frames, 2 * (n_frames - 1) - x).otherwise(x).cast("long"))
 
@@ -173,7 +173,7 @@ def iei_shuffle_null(events: DataFrame, keys, t: str, n_rep: int) -> DataFrame:
     e = events.select(*keys, t).withColumn("_iei", F.col(t) - F.lag(t).over(w)).withColumn("_k", F.row_number().over(w))
     first = e.filter("_k = 1").select(*keys, F.col(t).alias("_t0"))
     e = e.filter("_k > 1").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    wp = Window.partitionBy(*keys, "rep").orderBy(mixed("rep", *keys, "_k"), "_k").rowsBetween(Window.unboundedPreceding, 0)
+    wp = Window.partitionBy(*keys, "rep").orderBy(mixed(e, "rep", *keys, "_k"), "_k").rowsBetween(Window.unboundedPreceding, 0)
     moved = e.withColumn("_s", F.sum("_iei").over(wp)).join(first, keys).select(
         *keys, "rep", (F.col("_t0") + F.col("_s")).alias(t))
     starts = first.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).select(
@@ -189,9 +189,9 @@ def random_events(units: DataFrame, keys, n_events: str, n_frames: int, min_dist
     """
     keys = list(keys)
     r = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    r = r.withColumn("_ph", F.pmod(mixed("rep", *keys, F.lit(-1)), F.lit(min_dist)))
+    r = r.withColumn("_ph", F.pmod(mixed(r, "rep", *keys, F.lit(-1)), F.lit(min_dist)))
     r = r.withColumn("frame", F.explode(F.sequence(F.col("_ph"), F.lit(n_frames - 1).cast("long"), F.lit(min_dist).cast("long"))))
-    w = Window.partitionBy(*keys, "rep").orderBy(mixed("rep", *keys, "frame"), "frame")
+    w = Window.partitionBy(*keys, "rep").orderBy(mixed(r, "rep", *keys, "frame"), "frame")
     return r.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= F.col(n_events)).select(*keys, "rep", "frame")
 
 
@@ -200,7 +200,7 @@ def label_permutation(df: DataFrame, keys, ident: str, label: str, n_rep: int) -
     keys = list(keys)
     r = df.select(*keys, ident, label).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
     by_id = Window.partitionBy(*keys, "rep").orderBy(ident)
-    by_hash = Window.partitionBy(*keys, "rep").orderBy(mixed("rep", *keys, ident), ident)
+    by_hash = Window.partitionBy(*keys, "rep").orderBy(mixed(r, "rep", *keys, ident), ident)
     a = r.select(*keys, "rep", ident, F.row_number().over(by_id).alias("_k"))
     b = r.select(*keys, "rep", label, F.row_number().over(by_hash).alias("_k"))
     return a.join(b, [*keys, "rep", "_k"]).drop("_k")

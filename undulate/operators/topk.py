@@ -57,5 +57,5 @@ def cap(df, n: int, order: list[Column]) -> DataFrame:
 
 
 def hash_sample(df, ident: list[str], share: float) -> DataFrame:
-    """Deterministic sample by a mix of the integer identity columns."""
-    return df.filter(F.pmod(mixed(*ident), F.lit(1_000_000)) < int(share * 1_000_000))
+    """Deterministic sample by a mix of the identity columns."""
+    return df.filter(F.pmod(mixed(df, *ident), F.lit(1_000_000)) < int(share * 1_000_000))

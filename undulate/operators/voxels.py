@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from undulate.operators.distance import depths, reached
 from undulate.operators.graph import bfs_levels, components_with_singletons
+from undulate.operators.intervals import dilated, eroded, node_id, run_components, shells, voxels_of, x_runs
 from undulate.operators.ranks import exact_quantiles, pearson
 from undulate.operators.rolling import gaussian_weights
 from undulate.session import cut_lineage
@@ -53,47 +55,22 @@ def shifted(masks: DataFrame, offs, sign: int = 1) -> DataFrame:
     return m.withColumn("dd", F.col("_o.dd")).drop("_o")
 
 
-def spread(masks, keys, offs, grid: Sequence[int] | None = None) -> DataFrame:
-    """Every voxel moved by every offset, clipped to the grid: ``keys, z, y, x, dd``.
-
-    The (dz, dy) part is applied first and the result partitioned by grid row;
-    the dx part is applied behind that shuffle. It moves a row per (dz, dy)
-    instead of one per offset, a large unit spreads over its grid rows, and a
-    following aggregation per voxel needs no further exchange.
-    """
-    steps: dict[tuple[int, int], list] = {}
-    for dz, dy, dx, d in offs:
-        steps.setdefault((dz, dy), []).append((dx, d))
-    lit = F.array(*[
-        F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy"),
-                 F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(float(d)).alias("dd")) for x, d in v]).alias("xs"))
-        for (dz, dy), v in sorted(steps.items())])
-    r = masks.select(*keys, *ZYX, F.explode(lit).alias("_o")).select(
-        *keys, (F.col("z") + F.col("_o.dz")).alias("z"), (F.col("y") + F.col("_o.dy")).alias("y"), "x", F.col("_o.xs").alias("_xs"))
-    if grid is not None:
-        r = r.filter(F.col("z").between(0, grid[0] - 1) & F.col("y").between(0, grid[1] - 1))
-    r = r.repartition(*keys, "z", "y").withColumn("_s", F.explode("_xs"))
-    r = r.select(*keys, "z", "y", (F.col("x") + F.col("_s.dx")).alias("x"), F.col("_s.dd").alias("dd"))
-    return r.filter(F.col("x").between(0, grid[2] - 1)) if grid is not None else r
-
-
 def dilate(masks, keys, offs, grid: Sequence[int] | None = None) -> DataFrame:
     """Union of the moved masks, clipped to the grid."""
-    return spread(masks, keys, offs, grid).select(*keys, *ZYX).distinct()
+    return voxels_of(dilated(masks.select(*keys, *ZYX), keys, offs, grid), *keys)
 
 
 def erode(masks, keys, offs) -> DataFrame:
-    """Voxels all of whose offsets lie in the mask (outside the grid is background): a count per target."""
-    s = shifted(masks.select(*keys, *ZYX), offs, -1)
-    return s.groupBy(*keys, *ZYX).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(offs)).select(*keys, *ZYX)
+    """Voxels all of whose offsets lie in the mask (outside the grid is background)."""
+    return voxels_of(eroded(masks.select(*keys, *ZYX), keys, offs), *keys)
 
 
 def opening(masks, keys, offs, grid=None) -> DataFrame:
-    return dilate(erode(masks, keys, offs), keys, offs, grid)
+    return voxels_of(dilated(eroded(masks.select(*keys, *ZYX), keys, offs), keys, offs, grid), *keys)
 
 
 def closing(masks, keys, offs) -> DataFrame:
-    return erode(dilate(masks, keys, offs), keys, offs)
+    return voxels_of(eroded(dilated(masks.select(*keys, *ZYX), keys, offs), keys, offs), *keys)
 
 
 def core_shell_regions(masks, run_keys, unit, grid=None, core_r=1, shell=(2, 3)) -> DataFrame:
@@ -102,21 +79,15 @@ def core_shell_regions(masks, run_keys, unit, grid=None, core_r=1, shell=(2, 3))
     """
     keys = [*run_keys, unit]
     m = masks.select(*keys, *ZYX)
-    core = erode(m, keys, ball(core_r))
+    core = voxels_of(eroded(m, keys, ball(core_r)), *keys)
     core = core.unionByName(m.join(core.select(*keys).distinct(), keys, "left_anti"))
-    # both dilations in one pass: the least distance of each target
-    near = spread(m, keys, ball(shell[1]), grid).groupBy(*keys, *ZYX).agg(F.min("dd").alias("dd"))
-    ring = near.filter(F.col("dd") > shell[0] + 1e-9).select(*keys, *ZYX)
-    taken = m.select(*run_keys, *ZYX).distinct()
-    ring = ring.join(taken, [*run_keys, *ZYX], "left_anti")
+    ring = voxels_of(shells(m, run_keys, unit, ball(shell[0]), ball(shell[1]), grid), *keys)
     return core.withColumn("region", F.lit("core")).unionByName(ring.withColumn("region", F.lit("shell")))
 
 
 def distance_to_mask(masks, keys, radius: float, size=(1.0, 1.0, 1.0), grid=None) -> DataFrame:
     """Least distance of each outside voxel within ``radius`` of the mask of its key."""
-    m = masks.select(*keys, *ZYX).distinct()
-    d = spread(m, keys, ball(radius, size), grid).groupBy(*keys, *ZYX).agg(F.min("dd").alias("dist"))
-    return d.filter(F.col("dist") > 0)
+    return reached(masks.select(*keys, *ZYX), keys, radius, size, grid).filter(F.col("dist") > 0)
 
 
 def distance_rings(masks, keys, edges: list[float], size=(1.0, 1.0, 1.0), grid=None) -> DataFrame:
@@ -132,45 +103,9 @@ def distance_rings(masks, keys, edges: list[float], size=(1.0, 1.0, 1.0), grid=N
 # ---- components ----------------------------------------------------------------------------
 
 
-def _node(z: Column, y: Column, x: Column) -> Column:
-    return F.shiftleft(z.cast("long"), 42) + F.shiftleft(y.cast("long"), 21) + x.cast("long")
-
-
-def x_runs(masks, keys) -> DataFrame:
-    """Maximal runs along x: ``keys, z, y, a, b, node``. A grid row bounds the window."""
-    w = Window.partitionBy(*keys, "z", "y").orderBy("x")
-    m = masks.select(*keys, *ZYX).distinct()
-    m = m.withColumn("_n", F.when(F.col("x") - F.lag("x").over(w) == 1, 0).otherwise(1))
-    m = m.withColumn("_g", F.sum("_n").over(w))
-    r = m.groupBy(*keys, "z", "y", "_g").agg(F.min("x").alias("a"), F.max("x").alias("b")).drop("_g")
-    return r.withColumn("node", _node(F.col("z"), F.col("y"), F.col("a")))
-
-
-def run_edges(runs, keys, conn: int, planar: bool = False) -> DataFrame:
-    """Edges between runs of neighbouring grid rows that touch (6- or 26-connectivity)."""
-    rows = [(0, 1), (1, 0)] if conn == 6 else [(0, 1), (1, -1), (1, 0), (1, 1)]
-    if planar:
-        rows = [(0, 1)]
-    pad = 0 if conn == 6 else 1
-    steps = F.array(*[F.struct(F.lit(dz).alias("dz"), F.lit(dy).alias("dy")) for dz, dy in rows])
-    s = runs.select(*keys, "z", "y", "a", "b", F.col("node").alias("src")).withColumn("_s", F.explode(steps))
-    s = s.select(*keys, (F.col("z") + F.col("_s.dz")).alias("z"), (F.col("y") + F.col("_s.dy")).alias("y"),
-                 F.col("a").alias("_a"), F.col("b").alias("_b"), "src")
-    t = runs.select(*keys, "z", "y", "a", "b", F.col("node").alias("dst"))
-    return s.join(t, [*keys, "z", "y"]).filter((F.col("_a") <= F.col("b") + pad) & (F.col("a") <= F.col("_b") + pad)).select(*keys, "src", "dst")
-
-
-def run_components(masks, keys, conn: int = 26, planar: bool = False) -> DataFrame:
-    """Runs with the component they belong to (``planar``: within each z)."""
-    runs = cut_lineage(x_runs(masks, keys))
-    c = components_with_singletons(runs, run_edges(runs, keys, conn, planar), keys, "node", "src", "dst")
-    return runs.join(c, [*keys, "node"])
-
-
 def connected_voxels(masks, keys, conn: int = 26, planar: bool = False) -> DataFrame:
     """``keys, z, y, x, component``; the component is named after its first run."""
-    r = run_components(masks, keys, conn, planar)
-    return r.withColumn("x", F.explode(F.sequence("a", "b"))).select(*keys, *ZYX, "component")
+    return voxels_of(run_components(masks.select(*keys, *ZYX), keys, conn, planar), *keys, "component").select(*keys, *ZYX, "component")
 
 
 def component_sizes(comp, keys) -> DataFrame:
@@ -221,11 +156,8 @@ def fill_holes(masks, keys) -> DataFrame:
     starts = F.concat(F.array(F.col("x0")), F.transform("_r", lambda s: s["b"] + 1))
     ends = F.concat(F.transform("_r", lambda s: s["a"] - 1), F.array(F.col("x1")))
     gaps = F.filter(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda g: g["a"] <= g["b"])
-    bg = r.withColumn("_g", F.explode(gaps)).select(*keys, "z", "y", F.col("_g.a").alias("a"), F.col("_g.b").alias("b"),
-                                                    "z0", "z1", "y0", "y1", "x0", "x1")
-    bg = cut_lineage(bg.withColumn("node", _node(F.col("z"), F.col("y"), F.col("a"))))
-    c = components_with_singletons(bg, run_edges(bg, keys, 6), keys, "node", "src", "dst")
-    bg = bg.join(c, [*keys, "node"])
+    bg = r.withColumn("_g", F.explode(gaps)).select(*keys, "z", "y", F.col("_g.a").alias("a"), F.col("_g.b").alias("b"))
+    bg = run_components(cut_lineage(bg), keys, 6).join(box, keys)
     edge = ((F.col("z") == F.col("z0")) | (F.col("z") == F.col("z1")) | (F.col("y") == F.col("y0")) | (F.col("y") == F.col("y1"))
             | (F.col("a") == F.col("x0")) | (F.col("b") == F.col("x1")))
     outside = bg.filter(edge).select(*keys, "component").distinct()
@@ -332,7 +264,7 @@ def grow_regions(traces, run_keys, trace: str, score: str, seed_thr: float, r_th
     unit = _unit_array(trace)
     base = cut_lineage(traces.select(*vox, score, unit.alias("_u")))
     nb = [o for o in neighbours(conn) if o[:3] != (0, 0, 0)]
-    node = _node(F.col("z"), F.col("y"), F.col("x"))
+    node = node_id(F.col("z"), F.col("y"), F.col("x"))
     best = shifted(base.select(*vox, score), nb).groupBy(*vox).agg(F.max(score).alias("_b"))
     seeds = base.join(best, vox, "left").filter((F.col(score) > seed_thr) & (F.col("_b").isNull() | (F.col(score) > F.col("_b"))))
     member = cut_lineage(seeds.select(*vox, node.alias("region"), F.lit(0).cast("long").alias("round")))
@@ -397,7 +329,7 @@ def merge_units(masks, pair_r, run_keys, unit: str, r_thr: float, gap: int) -> D
     run_keys = list(run_keys)
     gz = min(gap, 1)
     box = [(dz, dy, dx, 0.0) for dz in range(-gz, gz + 1) for dy in range(-gap, gap + 1) for dx in range(-gap, gap + 1)]
-    around = shifted(masks.select(*run_keys, F.col(unit).alias("a"), *ZYX), box).select(*run_keys, "a", *ZYX).distinct()
+    around = dilate(masks.select(*run_keys, F.col(unit).alias("_of"), *ZYX), [*run_keys, "_of"], box).withColumnRenamed("_of", "a")
     near = around.join(masks.select(*run_keys, F.col(unit).alias("b"), *ZYX), [*run_keys, *ZYX]).filter("a < b").select(*run_keys, "a", "b").distinct()
     e = near.join(pair_r.filter(F.col("r") > r_thr).select(*run_keys, "a", "b"), [*run_keys, "a", "b"])
     return components_with_singletons(masks, e, run_keys, unit, "a", "b")
@@ -411,7 +343,7 @@ def unit_families(masks, run_keys, unit: str, radius: float, size=(1.0, 1.0, 1.0
     cen = masks.groupBy(*run_keys, unit).agg(*[F.avg(a).alias(f"c{a}") for a in ZYX])
     j = cut_lineage(fam.join(cen, [*run_keys, unit]))
     root = j.groupBy(*run_keys, "component").agg(
-        F.max_by(F.struct(F.col(unit).alias("u"), "cz", "cy", "cx"), F.struct(F.col("cy"), -F.col(unit))).alias("_r"))
+        F.min_by(F.struct(F.col(unit).alias("u"), "cz", "cy", "cx"), F.struct(-F.col("cy"), F.col(unit))).alias("_r"))
     lev = bfs_levels(e.select(*run_keys, F.col("a").alias("src"), F.col("b").alias("dst")),
                      root.select(*run_keys, F.col("_r.u").alias("node")), run_keys)
     out = j.join(root, [*run_keys, "component"]).join(lev.withColumnRenamed("node", unit), [*run_keys, unit])
@@ -419,24 +351,9 @@ def unit_families(masks, run_keys, unit: str, radius: float, size=(1.0, 1.0, 1.0
     return out.select(*run_keys, unit, "component", F.col("_r.u").alias("root"), "order", F.sqrt(d2).alias("root_dist"))
 
 
-def mask_depth(masks, keys, size=(1.0, 1.0, 1.0), radius: float = 3.0) -> DataFrame:
-    """Exact distance of each mask voxel to the nearest voxel outside: ``depth``.
-
-    Balls are searched for the background; voxels that find none go on with twice
-    the radius, until all have.
-    """
-    keys = list(keys)
-    vox = [*keys, *ZYX]
-    m = cut_lineage(masks.select(*vox).distinct())
-    rest, found = m, None
-    while found is None or not rest.isEmpty():
-        s = shifted(rest, ball(radius, size)).join(m, vox, "left_anti")
-        got = s.groupBy(*keys, "oz", "oy", "ox").agg(F.min("dd").alias("depth"))
-        got = cut_lineage(got.withColumnsRenamed({"oz": "z", "oy": "y", "ox": "x"}))
-        found = got if found is None else found.unionByName(got)
-        rest = cut_lineage(rest.join(got.select(*vox), vox, "left_anti"))
-        radius *= 2
-    return found
+def mask_depth(masks, keys, size=(1.0, 1.0, 1.0)) -> DataFrame:
+    """Exact distance of each mask voxel to the nearest voxel outside: ``depth``."""
+    return depths(masks.select(*keys, *ZYX), list(keys), size)
 
 
 def split_by_seeds(masks, keys, min_sep: float, size=(1.0, 1.0, 1.0)) -> DataFrame:
@@ -449,10 +366,10 @@ def split_by_seeds(masks, keys, min_sep: float, size=(1.0, 1.0, 1.0)) -> DataFra
     vox = [*keys, *ZYX]
     m = cut_lineage(masks.select(*vox).distinct())
     d = mask_depth(m, keys, size)
-    d = cut_lineage(d.withColumn("_k", F.struct(F.col("depth"), -_node(F.col("z"), F.col("y"), F.col("x")))))
+    d = cut_lineage(d.withColumn("_k", F.struct(F.col("depth"), -node_id(F.col("z"), F.col("y"), F.col("x")))))
     best = shifted(d.select(*vox, "_k"), ball(min_sep, size)).groupBy(*vox).agg(F.max("_k").alias("_b"))
     seeds = d.join(best, vox).filter(F.col("_k") == F.col("_b")).select(
-        *keys, F.col("z").alias("sz"), F.col("y").alias("sy"), F.col("x").alias("sx"), _node(F.col("z"), F.col("y"), F.col("x")).alias("seed"))
+        *keys, F.col("z").alias("sz"), F.col("y").alias("sy"), F.col("x").alias("sx"), node_id(F.col("z"), F.col("y"), F.col("x")).alias("seed"))
     d2 = sum((((F.col(a) - F.col(f"s{a}")) * w) ** 2 for a, w in zip(ZYX, size)), F.lit(0.0))
     return m.join(seeds, keys).groupBy(*vox).agg(F.min_by("seed", F.struct(d2, F.col("seed"))).alias("part"))
 
@@ -544,9 +461,7 @@ def spatial_features(masks, keys) -> DataFrame:
     keys = list(keys)
     vox = [*keys, *ZYX]
     m = masks.select(*vox).distinct()
-    nb = [o for o in neighbours(6) if o[:3] != (0, 0, 0)]
-    inner = shifted(m, nb).groupBy(*vox).agg(F.count(F.lit(1)).alias("_n")).filter("_n = 6").join(m, vox, "left_semi")
-    inn = inner.groupBy(*keys).agg(F.count(F.lit(1)).alias("_inner"))
+    inn = eroded(m, keys, neighbours(6)).groupBy(*keys).agg(F.sum(F.col("b") - F.col("a") + 1).alias("_inner"))
     mip = m.select(*keys, "y", "x").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_mip"))
     comp = run_components(m, keys, 26).groupBy(*keys).agg(F.countDistinct("component").alias("n_components"))
     g = m.groupBy(*keys).agg(
