@@ -152,15 +152,15 @@ def to_tiles(df: DataFrame, keys: Sequence[str], reach: tuple[int, int] = (0, 0)
     return out.repartition(*keys, "tz", "ty").sortWithinPartitions(*keys, "tz", "ty")
 
 
-def in_tiles(df: DataFrame, keys: Sequence[str], work: Callable, fields: str, reach: tuple[int, int] = (0, 0), extra: Sequence[str] = ()) -> DataFrame:
+def in_tiles(df: DataFrame, keys: Sequence[str], work: Callable, fields: str, reach: tuple[int, int] = (0, 0), extra: Sequence[str] = (), read: Sequence[str] = ()) -> DataFrame:
     """``work(table, g, z, y, a, b)`` over tables of whole tiles; it gives (rows, new columns) pairs.
 
-    ``df`` has keys, z, y and x or a, b, besides ``extra`` columns. g numbers the tiles of the table; z and y are counted
+    ``df`` has keys, z, y and x or a, b, besides ``extra`` columns and those that are only ``read``. g numbers the tiles of the table; z and y are counted
     from the tile's first row, plus the reach. ``rows`` are those of the table whose keys and extra columns come with the new columns.
     """
     keys, extra = list(keys), list(extra)
     ends = ["x"] if "x" in df.columns else ["a", "b"]
-    rows = to_tiles(df.select(*keys, *extra, "z", "y", *ends), keys, reach)
+    rows = to_tiles(df.select(*keys, *extra, *read, "z", "y", *ends), keys, reach)
     by, pad, tile = [*keys, "tz", "ty"], reach, TILE
 
     def run(batches: Iterator) -> Iterator:

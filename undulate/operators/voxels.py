@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from undulate.operators.distance import depths, reached
+from undulate.operators.flooding import flood, peaks
 from undulate.operators.graph import bfs_levels, components_with_singletons
 from undulate.operators.intervals import dilated, eroded, node_id, run_components, shells, voxels_of, x_runs
 from undulate.operators.ranks import exact_quantiles, pearson
@@ -365,15 +366,19 @@ def split_by_seeds(masks, keys, min_sep: float, size=(1.0, 1.0, 1.0)) -> DataFra
     keys = list(keys)
     vox = [*keys, *ZYX]
     m = cut_lineage(masks.select(*vox).distinct())
-    d = mask_depth(m, keys, size)
-    d = cut_lineage(d.withColumn("_k", F.struct(F.col("depth"), -node_id(F.col("z"), F.col("y"), F.col("x")))))
-    best = shifted(d.select(*vox, "_k"), ball(min_sep, size)).groupBy(*vox).agg(F.max("_k").alias("_b"))
-    seeds = d.join(best, vox).filter(F.col("_k") == F.col("_b")).select(
-        *keys, F.col("z").alias("sz"), F.col("y").alias("sy"), F.col("x").alias("sx"), node_id(F.col("z"), F.col("y"), F.col("x")).alias("seed"))
+    seeds = peaks(mask_depth(m, keys, size), keys, "depth", ball(min_sep, size)).select(
+        *keys, F.col("z").alias("sz"), F.col("y").alias("sy"), F.col("x").alias("sx"), "seed")
     d2 = sum((((F.col(a) - F.col(f"s{a}")) * w) ** 2 for a, w in zip(ZYX, size)), F.lit(0.0))
     return m.join(seeds, keys).groupBy(*vox).agg(F.min_by("seed", F.struct(d2, F.col("seed"))).alias("part"))
 
 
+def split_by_flooding(masks, keys, min_sep: float, size=(1.0, 1.0, 1.0), conn: int = 6) -> DataFrame:
+    """``keys, z, y, x, part``: seeds as above, flooded from the deepest place down (see :mod:`undulate.operators.flooding`)."""
+    keys = list(keys)
+    d = cut_lineage(mask_depth(masks, keys, size))
+    return flood(d, peaks(d, keys, "depth", ball(min_sep, size)), keys, "depth", conn)
+
+
 # ---- shape ---------------------------------------------------------------------------------
 
 

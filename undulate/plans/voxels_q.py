@@ -236,6 +236,38 @@ def _(spark, d):
     return V.split_by_seeds(u, G, 3.0).groupBy(*G, "part").agg(F.count(F.lit(1)).alias("n"))
 
 
+SIZE = (3.9, 1.0, 1.2)
+
+# depth: least distance to a voxel that is not in the mask; seeds: deepest within 3; then a voxel joins what is flooded over its own
+# lightest edge, or over the lightest of all edges of its run that lead on
+FLOOD = f"""
+{offs_sql('o6', V.neighbours(6))}, {offs_sql('b5', V.ball(5.0, SIZE))}, {offs_sql('b3', V.ball(3.0, SIZE))},
+dm AS MATERIALIZED (SELECT DISTINCT run_id, z, y, x FROM masks),
+dp AS MATERIALIZED (SELECT run_id, oz AS z, oy AS y, ox AS x, oz * 1000000 + oy * 1000 + ox AS node, round(min(dd), 9) AS d
+  FROM (SELECT run_id, z AS oz, y AS oy, x AS ox, z + dz AS z, y + dy AS y, x + dx AS x, dd FROM dm, b5) ANTI JOIN dm USING (run_id, z, y, x) GROUP BY ALL),
+sd AS (SELECT run_id, node FROM (SELECT a.run_id, a.node, a.d, b.node AS m, b.d AS e FROM (SELECT *, z + dz AS z2, y + dy AS y2, x + dx AS x2 FROM dp, b3) a
+  JOIN dp b ON b.run_id = a.run_id AND b.z = z2 AND b.y = y2 AND b.x = x2) GROUP BY ALL HAVING bool_and(m = node OR e < d OR (e = d AND m > node))),
+ed AS MATERIALIZED (SELECT a.run_id, a.node AS v, b.node AS u, -least(a.d, b.d) AS w, least(a.node, b.node) AS n1, greatest(a.node, b.node) AS n2,
+    row_number() OVER (PARTITION BY a.run_id, a.node ORDER BY -least(a.d, b.d), least(a.node, b.node), greatest(a.node, b.node)) = 1 AS own
+  FROM (SELECT *, z + dz AS z2, y + dy AS y2, x + dx AS x2 FROM dp, o6 WHERE dd = 0 AND abs(dz) + abs(dy) + abs(dx) = 1) a JOIN dp b ON b.run_id = a.run_id AND b.z = z2 AND b.y = y2 AND b.x = x2),
+fl(run_id, node, part) USING KEY (run_id, node) AS (
+  SELECT run_id, node, node FROM sd
+  UNION
+  SELECT run_id, v, part FROM (
+    SELECT e.run_id, e.v, f.part, e.own, row_number() OVER (PARTITION BY e.run_id ORDER BY w, n1, n2) AS rn
+    FROM ed e JOIN recurring.fl f ON f.run_id = e.run_id AND f.node = e.u ANTI JOIN recurring.fl g ON g.run_id = e.run_id AND g.node = e.v)
+  WHERE own OR rn = 1)
+"""
+
+
+@query("split_by_flooding", f"""WITH RECURSIVE {I.MASKS}, {FLOOD}
+SELECT run_id, node // 1000000 AS z, node // 1000 % 1000 AS y, node % 1000 AS x, part FROM fl""")
+def _(spark, d):
+    f = V.split_by_flooding(I.masks(spark, d).select(*VK).distinct(), G, 3.0, SIZE).filter("part IS NOT NULL")
+    at = lambda s, k: F.shiftright("part", s).bitwiseAND(F.lit((1 << 21) - 1)) * k
+    return f.select(*VK, (at(42, 1_000_000) + at(21, 1000) + at(0, 1)).alias("part"))
+
+
 @query("pca_covariances", f"""{M}
 SELECT run_id, unit, count(*) AS n_vox, round(covar_pop(y, y), 6) AS cyy, round(covar_pop(z * 3.9, y), 6) + 0.0 AS czy, round(covar_pop(y, x * 1.2), 6) + 0.0 AS cyx,
   round(15.21 * var_pop(z) + var_pop(y) + 1.44 * var_pop(x), 5) AS trace FROM masks GROUP BY ALL""")
