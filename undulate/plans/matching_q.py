@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from undulate.operators import matching as M
+from undulate.operators.assignment import optimal_matching
 from undulate.operators.graph import mutual_best_matching
 from undulate.operators.pairs import coactive_corr
 from undulate.plans import inputs as I
@@ -94,6 +95,25 @@ def _(spark, d):
     return p.select(*G, "thr", "tp", r6("precision").alias("precision"), r6("recall").alias("recall"), r6("f1").alias("f1"))
 
 
+# every way to give the first i units of a run distinct partners or none, by the set of partners used: the best total of each
+BEST = """
+ua AS (SELECT run_id, a, row_number() OVER (PARTITION BY run_id ORDER BY a) AS i FROM (SELECT DISTINCT run_id, a FROM ov)),
+o AS (SELECT ov.run_id, i, b, round(iou, 9) AS s FROM ov JOIN ua USING (run_id, a) WHERE iou > 0),
+dp AS (SELECT DISTINCT run_id, 0::BIGINT AS i, 0::BIGINT AS used, 0.0::DOUBLE AS best FROM ua
+  UNION ALL SELECT run_id, i, used, max(best) FROM (
+    SELECT d.run_id, d.i + 1 AS i, d.used, d.best FROM dp d JOIN ua ON ua.run_id = d.run_id AND ua.i = d.i + 1
+    UNION ALL SELECT d.run_id, d.i + 1, d.used | (1::BIGINT << o.b::INT), d.best + o.s FROM dp d JOIN o ON o.run_id = d.run_id AND o.i = d.i + 1 AND (d.used >> o.b::INT) & 1 = 0) GROUP BY run_id, i, used)
+"""
+
+
+@query("optimal_match_total", f"""WITH RECURSIVE {I.MASKS}, {I.MASKS_OTHER}, {OV}, {BEST}
+SELECT run_id, round(max(best), 6) AS total, round(max(best), 6) AS bound FROM dp GROUP BY run_id""")
+def _(spark, d):
+    """The greatest total overlap of a one-to-one matching, and the bound that its duals give."""
+    m = optimal_matching(overlap(spark, d), G, "a", "b", "iou")
+    return m.groupBy(*G).agg(r6(F.sum("iou")).alias("total"), r6(F.sum(F.coalesce("dual_a", F.lit(0.0)) + F.coalesce("dual_b", F.lit(0.0)))).alias("bound"))
+
+
 T2 = "t2 AS (SELECT run_id, unit, frame, n_ev::DOUBLE AS v FROM traces)"
 
 
