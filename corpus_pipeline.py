@@ -13,27 +13,27 @@ from undulate.llm.op10_packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts of no learned language go."""
+    """Texts without a letter, and those below the floor of the language that they are taken for, go; see `in_known_language`."""
     return in_known_language(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays, that of the smallest doc_id; see `one_of_each`."""
     return one_of_each(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are blanked out; every document stays."""
+    """Secrets are blanked out; every row stays. Null texts stay null."""
     return redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated and cut until their sources have their target shares."""
+    """Documents are repeated and cut until their sources have their target words; rows without words go. See `mixed_documents`."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their place in training sequences."""
+    """Pieces of the documents with their place in training sequences; a null text is the end id alone."""
     return pack(docs)
 
 

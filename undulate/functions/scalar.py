@@ -206,6 +206,35 @@ def mixed(df: DataFrame, *cols: str | Column) -> Column:
     return F.pmod(h * (F.pmod(h, F.lit(65_537)) + 1), F.lit(MIX_P))
 
 
+def permuted(i: Column, n: Column, seed: Column, rounds: int = 32) -> Column:
+    """Image of index i under a permutation of 0…n-1 that the seed (0…2^31-2) keys.
+
+    Each round pairs x with k - x modulo n and swaps the pair if a bit of the mix of its greater member says so: a bijection for
+    every n, of which one image is worked out without the others - no sort, no window.
+    """
+    p = F.lit(MIX_P)
+
+    def mix(v: Column) -> Column:
+        v = F.pmod(F.pmod(v, p) * MIX_A, p)
+        return F.pmod(v * (F.pmod(v, F.lit(65_537)) + 1), p)
+
+    def swap(x: Column, r: Column) -> Column:
+        u = mix(seed + r * 1_000_003)
+        y = F.pmod(F.pmod(u, n) + n - x, n)
+        return F.when(mix(u + (F.greatest(x, y) + 1) * 7919) >= MIX_P // 2, y).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long")), i.cast("long"), swap)
+
+
+def permuted_sql(i: str, n: str, seed: str, rounds: int = 32) -> str:
+    """The same as a DuckDB expression."""
+    mix = lambda v: f"(((({v}) % {MIX_P}) * {MIX_A} % {MIX_P}) * (((({v}) % {MIX_P}) * {MIX_A} % {MIX_P}) % 65537 + 1) % {MIX_P})"
+    u = mix(f"({seed}) + r * 1000003")
+    y = f"({u} % ({n}) + ({n}) - x) % ({n})"
+    return (f"list_reduce(list_prepend(CAST({i} AS BIGINT), CAST(range(1, {rounds + 1}) AS BIGINT[])), lambda x, r: "
+            f"CASE WHEN {mix(f'{u} + (greatest(x, {y}) + 1) * 7919')} >= {MIX_P // 2} THEN {y} ELSE x END)")
+
+
 def mixed_sql(*exprs: str) -> str:
     """The same as a DuckDB expression."""
     h = "17::BIGINT"

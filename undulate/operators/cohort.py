@@ -36,7 +36,9 @@ def _signed_rank_counts(n: int) -> np.ndarray:
 
 @lru_cache(maxsize=1024)
 def _rank_sum_counts(m: int, n: int) -> np.ndarray:
-    """Number of arrangements per U of two samples."""
+    """Number of arrangements per U of two samples; the same for either order of them, so the smaller one goes first."""
+    if m > n:
+        return _rank_sum_counts(n, m)
     c = np.zeros((m + 1, m * n + m + 1))
     c[0, 0] = 1
     # choose m of m+n ranks; track the rank sum above its least value

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from undulate.functions.scalar import mixed, permuted
 from undulate.operators.joins import exclude_near, nearest_onset, window_around_events
 from undulate.operators.ranks import pearson, with_average_rank
 from undulate.operators.rolling import gaussian_smooth_1d, islands, peak_of_run, refractory, rising_edges
 from undulate.operators.segments import CHUNK, sliding
 from undulate.operators.signal import MAD_SCALE, robust_stats
+from undulate.session import cut_lineage
 
 
 def events_threshold(df, keys, t, v, thr: float, min_dur: int) -> DataFrame:
@@ -358,13 +360,8 @@ def leader_order(latencies, event_keys, unit_keys, value) -> DataFrame:
     return r.groupBy(*unit_keys).agg(F.avg("_rank").alias("mean_rank"), F.avg("_rel").alias("mean_rel"), F.count(F.lit(1)).alias("n_events"))
 
 
-def kendall_w(latencies, run_keys, event, unit, value, least_events: int = 3, least_share: float = 0.5, least_units: int = 5) -> DataFrame:
-    """Agreement of the order in which units join the events of a run.
-
-    Units in at least ``least_events`` events and ``least_share`` of the run's
-    events take part; where one is absent it gets the event's mean. Runs with
-    fewer than ``least_units`` such units have no row.
-    """
+def order_ranks(latencies, run_keys, event, unit, value, least_events: int, least_share: float, least_units: int) -> DataFrame:
+    """``run_keys, event, unit, _rank``: ranks of the units that take part in the order, absent ones at the event's mean."""
     run_keys = list(run_keys)
     total = latencies.select(*run_keys, event).distinct().groupBy(*run_keys).agg(F.count(F.lit(1)).alias("_all"))
     keep = latencies.groupBy(*run_keys, unit).agg(F.count(F.lit(1)).alias("_own")).join(total, run_keys)
@@ -374,11 +371,44 @@ def kendall_w(latencies, run_keys, event, unit, value, least_events: int = 3, le
     own = latencies.join(keep, [*run_keys, unit]).select(*run_keys, event, unit, F.col(value).cast("double").alias("_x"))
     mean = own.groupBy(*run_keys, event).agg(F.avg("_x").alias("_mean"))
     grid = mean.join(keep, run_keys).join(own, [*run_keys, event, unit], "left").withColumn("_x", F.coalesce("_x", "_mean"))
-    r = with_average_rank(grid, [*run_keys, event], "_x", "_rank", bounded=True)
-    s = r.groupBy(*run_keys, unit).agg(F.sum("_rank").alias("_r"), F.count(F.lit(1)).alias("_m"))
-    g = s.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("n"), F.max("_m").alias("m"), (F.var_pop("_r") * F.count("_r")).alias("_ss"))
+    return with_average_rank(grid, [*run_keys, event], "_x", "_rank", bounded=True)
+
+
+def agreement(ranks, keys, unit) -> DataFrame:
+    """``keys, n, m, w``: Kendall's W of n units over m events from their ranks."""
+    keys = list(keys)
+    s = ranks.groupBy(*keys, unit).agg(F.sum("_rank").alias("_r"), F.count(F.lit(1)).alias("_m"))
+    g = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("_m").alias("m"), (F.var_pop("_r") * F.count("_r")).alias("_ss"))
     m, n = F.col("m").cast("double"), F.col("n").cast("double")
-    return g.select(*run_keys, "n", "m", (12 * F.col("_ss") / (m * m * (n * n * n - n))).alias("w"))
+    return g.select(*keys, "n", "m", (12 * F.col("_ss") / (m * m * (n * n * n - n))).alias("w"))
+
+
+def kendall_w(latencies, run_keys, event, unit, value, least_events: int = 3, least_share: float = 0.5, least_units: int = 5) -> DataFrame:
+    """Agreement of the order in which units join the events of a run.
+
+    Units in at least ``least_events`` events and ``least_share`` of the run's
+    events take part; where one is absent it gets the event's mean. Runs with
+    fewer than ``least_units`` such units have no row.
+    """
+    return agreement(order_ranks(latencies, run_keys, event, unit, value, least_events, least_share, least_units), run_keys, unit)
+
+
+def leader_order_p(latencies, run_keys, event, unit, value, n_rep: int = 200, least_events: int = 3, least_share: float = 0.5, least_units: int = 5) -> DataFrame:
+    """``run_keys, n, m, w, p``: W against ranks permuted among the units inside each event.
+
+    The ranks of an event are one array (the units of one event bound it), and a keyed permutation tells which of them the
+    i-th unit gets in a replicate: nothing is sorted per replicate. Events are numbered by their ids in the key.
+    """
+    run_keys = list(run_keys)
+    r = cut_lineage(order_ranks(latencies, run_keys, event, unit, value, least_events, least_share, least_units))
+    obs = agreement(r, run_keys, unit)
+    e = r.groupBy(*run_keys, event).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), "_rank"))), lambda x: x["_rank"]).alias("_ranks"))
+    e = e.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_n", F.size("_ranks").cast("long"))
+    e = e.withColumn("_seed", mixed(e, *run_keys, event, "rep")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    moved = e.select(*run_keys, "rep", "_i", F.element_at("_ranks", (permuted(F.col("_i"), F.col("_n"), F.col("_seed")) + 1).cast("int")).alias("_rank"))
+    null = agreement(moved, [*run_keys, "rep"], "_i").select(*run_keys, F.col("w").alias("_w"))
+    hits = null.join(obs, run_keys).groupBy(*run_keys).agg(F.sum((F.round("_w", 9) >= F.round("w", 9)).cast("long")).alias("_ge"))
+    return obs.join(hits, run_keys).select(*run_keys, "n", "m", "w", ((1 + F.col("_ge")) / (1 + n_rep)).alias("p"))
 
 
 def slope_per_event(points, event_keys, y, x, min_n: int = 3) -> DataFrame:

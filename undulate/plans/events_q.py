@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from undulate.functions.scalar import mixed_sql, permuted_sql
 from undulate.operators import events as E
 from undulate.operators import pairs as P
 from undulate.operators import rolling as R
@@ -318,19 +319,38 @@ def _(spark, d):
     return l.select(*K, r6("mean_rank").alias("mean_rank"), r6("mean_rel").alias("mean_rel"), "n_events")
 
 
-@query("kendall_w", f"""{TZ}, {ONSETS}, {LAT},
+ORDER = """
 al AS (SELECT run_id, count(DISTINCT ev) AS e FROM lat GROUP BY ALL),
 kp AS (SELECT run_id, unit, count(*) OVER (PARTITION BY run_id) AS n FROM (SELECT run_id, unit, count(*) AS c FROM lat GROUP BY ALL) JOIN al USING (run_id) WHERE c >= greatest(3, 0.5 * e)),
 ow AS (SELECT l.run_id, ev, l.unit, lat::DOUBLE AS x FROM lat l JOIN kp ON kp.run_id = l.run_id AND kp.unit = l.unit WHERE n >= 5),
 mn AS (SELECT run_id, ev, avg(x) AS m FROM ow GROUP BY ALL),
 gr AS (SELECT mn.run_id, mn.ev, kp.unit, coalesce(x, m) AS x FROM mn JOIN kp ON kp.run_id = mn.run_id LEFT JOIN ow ON ow.run_id = mn.run_id AND ow.ev = mn.ev AND ow.unit = kp.unit),
-r AS (SELECT run_id, unit, rank() OVER (PARTITION BY run_id, ev ORDER BY x) + (count(*) OVER (PARTITION BY run_id, ev, x) - 1) / 2.0::DOUBLE AS rk FROM gr),
+r AS MATERIALIZED (SELECT run_id, ev, unit, rank() OVER (PARTITION BY run_id, ev ORDER BY x) + (count(*) OVER (PARTITION BY run_id, ev, x) - 1) / 2.0::DOUBLE AS rk FROM gr)
+"""
+
+
+@query("kendall_w", f"""{TZ}, {ONSETS}, {LAT},
+{ORDER},
 s AS (SELECT run_id, unit, sum(rk) AS s, count(*) AS m FROM r GROUP BY ALL)
 SELECT run_id, count(*) AS n, max(m) AS m, round(12 * var_pop(s) * count(*) / (max(m) * max(m) * (power(count(*), 3) - count(*))), 6) AS w FROM s GROUP BY ALL""")
 def _(spark, d):
     return E.kendall_w(latencies(spark, d), G, "ev", "unit", "lat").select(*G, "n", "m", r6("w").alias("w"))
 
 
+W_OF = "round(12 * var_pop(s) * count(*) / (max(m) * max(m) * (power(count(*), 3) - count(*))), 9)"
+
+
+@query("leader_order_p", f"""{TZ}, {ONSETS}, {LAT}, {ORDER},
+q AS (SELECT run_id, ev, list(rk ORDER BY unit) AS a FROM r GROUP BY ALL),
+mv AS (SELECT run_id, rep, i, a[{permuted_sql('i', 'len(a)', mixed_sql('run_id', 'ev', 'rep'))} + 1] AS rk FROM q, (SELECT unnest(range(40)) AS rep), LATERAL (SELECT unnest(range(len(a))) AS i)),
+nu AS (SELECT run_id, rep, {W_OF} AS w FROM (SELECT run_id, rep, i, sum(rk) AS s, count(*) AS m FROM mv GROUP BY ALL) GROUP BY ALL),
+ob AS (SELECT run_id, count(*) AS n, max(m) AS m, {W_OF} AS w FROM (SELECT run_id, unit, sum(rk) AS s, count(*) AS m FROM r GROUP BY ALL) GROUP BY ALL)
+SELECT run_id, n, m, round(ob.w, 6) AS w, round((1 + count(*) FILTER (nu.w >= ob.w)) / 41, 6) AS p FROM ob JOIN nu USING (run_id) GROUP BY ALL""")
+def _(spark, d):
+    p = E.leader_order_p(latencies(spark, d), G, "ev", "unit", "lat", 40)
+    return p.select(*G, "n", "m", r6("w").alias("w"), r6("p").alias("p"))
+
+
 @query("recruitment_slope", f"""{TZ}, {ONSETS}, {LAT}, {POS},
 s AS (SELECT lat.run_id, ev, regr_slope(lat + 0.01 * z, y) AS slope, count(*) AS n FROM lat JOIN pos USING (run_id, unit) GROUP BY ALL HAVING count(*) >= 4)
 SELECT run_id, count(*) AS n_events, round(avg(slope), 6) + 0.0 AS mean_slope, CAST(count(*) FILTER (slope > 0) AS BIGINT) AS n_pos FROM s GROUP BY ALL""")
