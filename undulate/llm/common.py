@@ -183,7 +183,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, and where each text begins (one more entry at the end)."""
-        held = {i: self.found_added.findall(t) for i, t in enumerate(texts) if self.found_added.search(t)}
+        held = {i: self.found_added.findall(t) for i, t in enumerate(texts) if any(x in t for x in self.added)}
         if not held:
             return self._encode(texts)
         parts = [self.found_added.split(t) if i in held else [t] for i, t in enumerate(texts)]
