@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import uuid
@@ -78,6 +79,7 @@ _WIDE = re.compile(r" (?:\s|$)")
 _LINE = re.compile(r"(?<=[^\s])\n(?=\S)")
 #: After a Latin letter that neither case folding nor composition takes apart, or a digit.
 _SIGNS = re.compile(r"(?<=[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[!-/:-@\[-`{-~]+$")
+_SIGN = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _ASCII_SPACE = "\t\n\x0b\x0c\r"
 _BLANK = bytes.maketrans(_ASCII_SPACE.encode(), b" " * 5)
 _PLAIN = bytes.maketrans((_ASCII_SPACE + UPPER).encode(), (" " * 5 + LOWER).encode())
@@ -143,9 +145,10 @@ class PieceEncoder:
             lines = _LINE.split(piece)
             if len(lines) > 1:
                 return [lines[0], *(first + x for line in lines[1:] for x in ("\n", line))]
-        signs = _SIGNS.search(piece)
-        if signs and signs.start():
-            return [piece[: signs.start()], first + piece[signs.start() :]]
+        if piece[-1:] in _SIGN:
+            signs = _SIGNS.search(piece)
+            if signs and signs.start():
+                return [piece[: signs.start()], first + piece[signs.start() :]]
         return []
 
     def _keep(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
@@ -163,10 +166,18 @@ class PieceEncoder:
         """Encode what can't be cut any further, then join the rest from it, pieces of pieces first."""
         whole, made, level = {}, [], new
         while level:
-            cut = {p: self._parts(p) for p in level}
-            whole.update((p, None) for p, parts in cut.items() if not parts)
-            made.append({p: parts for p, parts in cut.items() if parts})
-            level = list({x: None for parts in made[-1].values() for x in parts if x not in self.index and x not in whole})
+            cut, below = {}, {}
+            for p in level:
+                parts = self._parts(p)
+                if parts:
+                    cut[p] = parts
+                    for x in parts:
+                        if x not in self.index:
+                            below[x] = None
+                else:
+                    whole[p] = None
+            made.append(cut)
+            level = [x for x in below if x not in whole]
         names = list(whole)
         full = names if not self.spaced else [p[len(_FIRST) :] if p.startswith(_FIRST) else " " + p for p in names]
         found = self.ids_of(full)
@@ -206,7 +217,13 @@ class PieceEncoder:
         if len(lack):
             flat = list(chain.from_iterable(parts))
             names = [flat[i] for i in lack.tolist()]
-            self._learn(list(dict.fromkeys(names)))
+            collects = gc.isenabled()
+            gc.disable()  # the many short lists of learning hold no cycles
+            try:
+                self._learn(list(dict.fromkeys(names)))
+            finally:
+                if collects:
+                    gc.enable()
             known[lack] = np.fromiter(map(self.index.__getitem__, names), np.int64, len(names))
         starts = self.starts[known]
         lengths = self.starts[known + 1] - starts
