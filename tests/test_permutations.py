@@ -60,3 +60,25 @@ def test_rank_sum_counts_of_unequal_samples():
         for b in range(a + 1, 7):
             naive[a + b - 1] += 1
     assert _rank_sum_counts(5, 2).tolist() == [naive[u] for u in range(11)]
+
+
+def test_recruitment_p(spark):
+    rows = [("deep", e, f"u{u}", 0.02 * u * 10 + 0.01 * ((e * u) % 3), 10.0 * u) for e in range(6) for u in range(7)]
+    rows += [("none", e, f"u{u}", float((u * 5 + e * 3) % 7), 10.0 * u) for e in range(6) for u in range(7)]
+    rows += [("few", e, f"u{u}", float(u), 10.0 * u) for e in range(2) for u in range(7)] + [("flat", e, f"u{u}", float(u), 3.0) for e in range(9) for u in range(7)]
+    rows += [("deep", 99, "u0", 50.0, 0.0), ("deep", 99, "u1", 0.0, 100.0)]  # too few units
+    df = spark.createDataFrame(rows, "run_id string, ev long, unit string, t double, depth double")
+    got = {r.run_id: r for r in E.recruitment_p(df, ["run_id"], "ev", "unit", "t", "depth", 199).collect()}
+    assert set(got) == {"deep", "none"}
+    for k, r in got.items():
+        own = {}
+        for q in rows:
+            if q[0] == k and q[1] != 99:
+                own.setdefault(q[1], []).append(q[3:])
+        od = dd = 0.0
+        for ev in own.values():
+            mo, md = (sum(c) / len(ev) for c in zip(*ev))
+            od += sum((o - mo) * (d - md) for o, d in ev)
+            dd += sum((d - md) ** 2 for _, d in ev)
+        assert abs(r.slope - od / dd) < 1e-9 and r.n_events == 6 and r.n_slopes == 6
+    assert got["deep"].p == 1 / 200 and got["deep"].n_pos == 6 and got["none"].p > 0.02

@@ -411,6 +411,34 @@ def leader_order_p(latencies, run_keys, event, unit, value, n_rep: int = 200, le
     return obs.join(hits, run_keys).select(*run_keys, "n", "m", "w", ((1 + F.col("_ge")) / (1 + n_rep)).alias("p"))
 
 
+def recruitment_p(points, run_keys, event, unit, onset: str, depth: str, n_rep: int = 2000, least_units: int = 5, least_range: float = 20.0,
+                  least_events: int = 3, least_points: int = 10) -> DataFrame:
+    """Do deeper units join later? ``run_keys, n_events, slope, p, n_pos, n_slopes``.
+
+    Events with at least ``least_units`` units over ``least_range`` of depth take part. Onsets and depths are centred in their event and
+    pooled for one slope; its p is two-sided, against depths permuted among the units inside each event. n_pos of n_slopes
+    events have a slope above 0 (for a sign test). Runs with fewer events or points, or without a range, have no row.
+    """
+    run_keys = list(run_keys)
+    key = [*run_keys, event]
+    e = points.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col(onset).cast("double").alias("o"), F.col(depth).cast("double").alias("d")))).alias("_p"),
+                                 (F.max(depth) - F.min(depth)).alias("_range"), F.avg(F.col(onset).cast("double")).alias("_mo"), F.avg(F.col(depth).cast("double")).alias("_md"))
+    e = e.filter((F.size("_p") >= least_units) & (F.col("_range") >= least_range)).withColumns({
+        "_o": F.transform("_p", lambda x: x["o"] - F.col("_mo")), "_d": F.transform("_p", lambda x: x["d"] - F.col("_md")), "_n": F.size("_p").cast("long")})
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    e = cut_lineage(e.select(*key, "_o", "_d", "_n", total("_o", "_d").alias("_od"), total("_d", "_d").alias("_dd")))
+    runs = e.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("n_events"), F.sum("_n").alias("_points"), F.sum("_od").alias("_od"), F.sum("_dd").alias("_dd"),
+                                    F.sum((F.col("_od") > 0).cast("long")).alias("n_pos"), F.sum((F.col("_dd") > 0).cast("long")).alias("n_slopes"))
+    runs = runs.filter((F.col("n_events") >= least_events) & (F.col("_points") >= least_points) & (F.col("_dd") > 0))
+    r = e.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
+    r = r.withColumn("_seed", mixed(r, *key, "rep"))
+    i = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    moved = F.transform(i, lambda k: F.element_at("_d", (permuted(k, F.col("_n"), F.col("_seed")) + 1).cast("int")))
+    null = r.select(*run_keys, "rep", total("_o", moved).alias("_x")).groupBy(*run_keys, "rep").agg(F.sum("_x").alias("_x"))
+    hits = null.join(runs.select(*run_keys, "_od"), run_keys).groupBy(*run_keys).agg(F.sum((F.round(F.abs("_x"), 9) >= F.round(F.abs("_od"), 9)).cast("long")).alias("_ge"))
+    return runs.join(hits, run_keys).select(*run_keys, "n_events", (F.col("_od") / F.col("_dd")).alias("slope"), ((1 + F.col("_ge")) / (1 + n_rep)).alias("p"), "n_pos", "n_slopes")
+
+
 def slope_per_event(points, event_keys, y, x, min_n: int = 3) -> DataFrame:
     """Onset-against-position slope of every event with enough units."""
     return points.groupBy(*event_keys).agg(

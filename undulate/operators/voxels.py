@@ -226,11 +226,21 @@ def activity_volume(frames, run_keys, t: str, v: str, n_frames: int, grid, space
     return robust_z(x, vox, "_s", "z_act", eps=1e-4).select(*vox, t, F.col("z_act"))
 
 
-def adaptive_thresholds(act, run_keys, v: str, floor: float, cap: float) -> DataFrame:
-    """Seed and grow thresholds from quantiles of the activity map, clipped to [floor, cap]."""
-    q = exact_quantiles(act, run_keys, v, {"p90": 0.9, "p99": 0.99})
-    c = lambda x: F.least(F.greatest(F.col(x), F.lit(floor)), F.lit(cap))
-    return q.select(*run_keys, c("p99").alias("seed_thr"), c("p90").alias("grow_thr"))
+# fixed values: coefficient, least and greatest level of the foreground and of seeds
+FG_LEVEL, SEED_LEVEL = (0.44, 3.0, 4.5), (0.30, 4.0, 7.0)
+
+
+def adaptive_thresholds(act, run_keys, v: str, fg=FG_LEVEL, seed=SEED_LEVEL, dim: float = 4.0, grow_r: float = 0.45, grow_r_dim: float = 0.40) -> DataFrame:
+    """``floor, fg_thr, seed_thr, grow_r`` of a recording from quantiles of its activity map.
+
+    The floor is the median. A threshold lies ``coefficient`` of the way from it to the 90th (``fg``) or 99th percentile
+    (``seed``), within least and greatest: (coefficient, least, greatest). Recordings whose fg threshold stays below ``dim``
+    grow at the lower correlation.
+    """
+    q = exact_quantiles(act, run_keys, v, {"floor": 0.5, "_p90": 0.9, "_p99": 0.99})
+    level = lambda p, c: F.least(F.greatest(F.col("floor") + c[0] * (F.col(p) - F.col("floor")), F.lit(c[1])), F.lit(c[2]))
+    q = q.select(*run_keys, "floor", level("_p90", fg).alias("fg_thr"), level("_p99", seed).alias("seed_thr"))
+    return q.withColumn("grow_r", F.when(F.col("fg_thr") < dim, grow_r_dim).otherwise(grow_r))
 
 
 def minip_dark(frames, run_keys, v: str, q: float) -> DataFrame:

@@ -361,6 +361,20 @@ def _(spark, d):
                              F.sum(F.when(F.col("slope") > 0, 1).otherwise(0)).alias("n_pos"))
 
 
+@query("recruitment_permutation", f"""{TZ}, {ONSETS}, {LAT}, {POS},
+e AS (SELECT run_id, ev, list(o ORDER BY unit) AS o, list(d ORDER BY unit) AS d FROM (
+  SELECT run_id, ev, unit, lat + 0.01::DOUBLE * z - avg(lat + 0.01::DOUBLE * z) OVER q AS o, y - avg(y) OVER q AS d, count(*) OVER q AS n, max(y) OVER q - min(y) OVER q AS rg
+  FROM lat JOIN pos USING (run_id, unit) WINDOW q AS (PARTITION BY run_id, ev)) WHERE n >= 5 AND rg >= 5 GROUP BY ALL),
+x AS MATERIALIZED (SELECT *, list_sum(list_transform(range(len(o)), lambda i: o[i + 1] * d[i + 1])) AS od, list_sum(list_transform(d, lambda v: v * v)) AS dd FROM e),
+g AS (SELECT run_id, count(*) AS n_events, sum(len(o)) AS np, sum(od) AS od, sum(dd) AS dd, count(*) FILTER (od > 0) AS n_pos, count(*) FILTER (dd > 0) AS n_slopes FROM x GROUP BY ALL HAVING count(*) >= 3 AND sum(len(o)) >= 10 AND sum(dd) > 0),
+nu AS (SELECT run_id, rep, sum(list_sum(list_transform(range(len(o)), lambda i: o[i + 1] * d[{permuted_sql('i', 'len(o)', mixed_sql('run_id', 'ev', 'rep'))} + 1]))) AS v FROM x, (SELECT unnest(range(40)) AS rep) GROUP BY ALL)
+SELECT run_id, n_events, round(g.od / g.dd, 6) + 0.0 AS slope, round((1 + count(*) FILTER (round(abs(v), 9) >= round(abs(g.od), 9))) / 41, 6) AS p, n_pos, n_slopes FROM g JOIN nu USING (run_id) GROUP BY run_id, n_events, n_pos, n_slopes, g.od, g.dd""")
+def _(spark, d):
+    p = latencies(spark, d).join(positions(spark, d), K).withColumn("t", F.col("lat") + 0.01 * F.col("z"))
+    r = E.recruitment_p(p, G, "ev", "unit", "t", "y", 40, least_range=5)
+    return r.select(*G, "n_events", r6("slope").alias("slope"), r6("p").alias("p"), "n_pos", "n_slopes")
+
+
 @query("axis_propagation", f"""WITH {I.VOXELS},
 b AS (SELECT run_id, label, y AS bin, t, avg(v) AS v FROM vox GROUP BY ALL),
 p AS (SELECT run_id, label, bin, t // 16 AS ev, arg_max(t, round(v, 9) - t * 1e-7) AS pt FROM b GROUP BY ALL),

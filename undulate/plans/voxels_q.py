@@ -174,11 +174,15 @@ def _(spark, d):
     return a.groupBy(*VK).agg(r6(F.max("z_act"), 3).alias("peak_z"), F.max_by("t", F.struct("z_act", -F.col("t"))).alias("t_peak"))
 
 
-@query("adaptive_thresholds", f"""{X}, m AS (SELECT run_id, z, y, x, max(v) AS v FROM vox GROUP BY ALL)
-SELECT run_id, round(least(greatest(quantile_cont(v, 0.99), 0.1), 0.4), 6) AS seed_thr, round(least(greatest(quantile_cont(v, 0.9), 0.1), 0.4), 6) AS grow_thr FROM m GROUP BY ALL""")
+@query("adaptive_thresholds", f"""{X}, m AS (SELECT run_id, z, y, x, max(v) AS v FROM vox GROUP BY ALL),
+q AS (SELECT run_id, quantile_cont(v, 0.5) AS f, quantile_cont(v, 0.9) AS a, quantile_cont(v, 0.99) AS b FROM m GROUP BY ALL),
+t AS (SELECT run_id, f, least(greatest(f + 0.44 * (a - f), 0.2), 0.45) AS fg, least(greatest(f + 0.3 * (b - f), 0.25), 0.7) AS sd FROM q)
+SELECT run_id, round(f, 6) AS floor, round(fg, 6) AS fg_thr, round(sd, 6) AS seed_thr, CASE WHEN fg < 0.26 THEN 0.4 ELSE 0.45 END::DOUBLE AS grow_r FROM t""")
 def _(spark, d):
+    """Levels scaled to the values of the given table."""
     m = I.voxels_long(spark, d).groupBy(*VK).agg(F.max("v").alias("v"))
-    return V.adaptive_thresholds(m, G, "v", 0.1, 0.4).select(*G, r6("seed_thr").alias("seed_thr"), r6("grow_thr").alias("grow_thr"))
+    t = V.adaptive_thresholds(m, G, "v", (0.44, 0.2, 0.45), (0.3, 0.25, 0.7), dim=0.26)
+    return t.select(*G, *[r6(c).alias(c) for c in ("floor", "fg_thr", "seed_thr")], "grow_r")
 
 
 @query("hysteresis_segment", f"""WITH RECURSIVE {I.VOXELS}, m AS (SELECT run_id, z, y, x, max(v) AS v FROM vox GROUP BY ALL),
