@@ -67,7 +67,11 @@ def event_kinetics(events, frames, keys, t, v, max_after: int, base: int = 3, pe
     for n, f in levels.items():
         t1 = F.col(f"_t_{n}")
         u1, u0 = F.element_at("_m", t1), F.element_at("_m", t1 - 1)
-        g = g.withColumn(f"decay_{n}", F.when(t1.isNotNull(), (t1 - 1) + (u0 - f * F.col("amp")) / (u0 - u1) - F.col("f_peak")))
+        above, fall = u0 - f * F.col("amp"), u0 - u1
+        # a peak at or below its base level may be followed by a sample as high: no crossing, hence ±inf or NaN as in IEEE division
+        flat = F.when(above > 0, float("inf")).when(above < 0, float("-inf")).otherwise(float("nan"))
+        share = F.when(fall != 0, above / F.nullif(fall, F.lit(0.0))).when(fall == 0, flat)
+        g = g.withColumn(f"decay_{n}", F.when(t1.isNotNull(), (t1 - 1) + share - F.col("f_peak")))
     return g.select(*keys, "f_start", "f_peak", "amp", (F.col("f_peak") - F.col("f_start")).alias("rise"),
                     "decay_half", "decay_efold", "auc")
 
