@@ -162,7 +162,7 @@ c AS (SELECT run_id, frame, sum(CASE WHEN z > 2 THEN 1 ELSE 0 END) AS n FROM rz
 SELECT run_id, round(var_pop(n) / avg(n), 6) AS fano, round(avg(CASE WHEN n = 0 THEN 1.0 ELSE 0.0 END), 6) AS silent_fraction, round(avg(n), 6) AS mean_count FROM c GROUP BY ALL""")
 def _(spark, d):
     z = S.robust_z(I.traces(spark, d), K, "dff")
-    c = z.groupBy("run_id", "frame").agg(F.sum((F.col("z") > 2).cast("long")).alias("n"))
+    c = z.groupBy("run_id", "frame").agg(F.sum(F.coalesce(F.col("z") > 2, F.lit(False)).cast("long")).alias("n"))
     f = A.fano_silent(c, ["run_id"], "n")
     return f.select("run_id", *[r6(c).alias(c) for c in ("fano", "silent_fraction", "mean_count")])
 
