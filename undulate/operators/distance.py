@@ -146,8 +146,8 @@ def reached(masks: DataFrame, keys: Sequence[str], radius: float, size=(1.0, 1.0
         left, right = merged(key + r.a - r.low - far, key + r.b - r.low + far)
         i, at = ragged(left, right - left + 1)
         begin, end = key + r.a - r.low, key + r.b - r.low
-        j = np.clip(np.searchsorted(begin, at, side="right") - 1, 0, None)
-        after = np.minimum(j + 1, len(begin) - 1)
+        j = np.searchsorted(begin, at, side="right") - 1  # -1 before the first run of the table
+        after, j = np.minimum(j + 1, len(begin) - 1), np.maximum(j, 0)
         gap = np.minimum(np.where(at >= begin[j], np.maximum(at - end[j], 0), begin[j] - at), np.where(begin[after] > at, begin[after] - at, 1 << 60)) * size[2]
         own = np.where((at >= begin[j]) & (np.maximum(at - end[j], 0) <= far), j, after)
         x = at - key[own] + r.low
