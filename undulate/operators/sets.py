@@ -18,6 +18,11 @@ def intersect_mask(a, b, keys) -> DataFrame:
     return a.join(b.select(*keys).distinct(), list(keys), "left_semi")
 
 
+def membership(df, keys, **sides) -> DataFrame:
+    """Each key once, and for each named condition whether a row of the key meets it: all set operations in one grouping."""
+    return df.groupBy(*keys).agg(*[F.max(F.coalesce(c, F.lit(False))).alias(n) for n, c in sides.items()])
+
+
 def run_offsets(frames, group, run, t, order=None) -> DataFrame:
     """First concatenated frame of each run of a group (runs per group are few)."""
     n = frames.groupBy(*group, run).agg((F.max(t) + 1).alias("n_frames"))

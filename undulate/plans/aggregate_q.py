@@ -202,13 +202,10 @@ UNION ALL SELECT 'subtract', run_id, count(*) FROM (SELECT * FROM a EXCEPT SELEC
 UNION ALL SELECT 'intersect', run_id, count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) GROUP BY ALL""")
 def _(spark, d):
     m = I.masks(spark, d)
-    a, b = m.filter("unit % 2 = 0").select(*VK).distinct(), m.filter("unit % 2 = 1").select(*VK).distinct()
-    out = None
-    for op, x in (("union", X.union_mask(a, b, VK)), ("subtract", X.subtract_mask(a, b, VK)),
-                  ("intersect", X.intersect_mask(a, b, VK))):
-        g = x.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(op).alias("op"), "run_id", "n")
-        out = g if out is None else out.unionByName(g)
-    return out
+    s = X.membership(m, VK, a=F.col("unit") % 2 == 0, b=F.col("unit") % 2 == 1)
+    n = s.groupBy("run_id").agg(F.count_if(F.col("a") | F.col("b")).alias("union"), F.count_if(F.col("a") & ~F.col("b")).alias("subtract"),
+                                F.count_if(F.col("a") & F.col("b")).alias("intersect"))
+    return n.unpivot("run_id", ["union", "subtract", "intersect"], "op", "n").filter("n > 0").select("op", "run_id", "n")
 
 
 @query("concat_runs", f"""{T},
