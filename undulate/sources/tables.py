@@ -104,9 +104,12 @@ def null_nan(c: Column) -> Column:
 
 def write_table(df: DataFrame, path: str, name: str | None = None, partition_by: str = "run_id",
                 mode: str = "overwrite") -> None:
-    """Parquet, one directory per recording; overwriting replaces only the recordings in ``df``."""
+    """Parquet, one directory per recording; overwriting replaces only the recordings in ``df``.
+
+    A recording is one file, unless it is so large that rebalancing splits it.
+    """
     out = validate(df, name) if name else df
-    (out.repartition(partition_by, F.pmod(F.xxhash64(*out.columns[:4]), F.lit(16)))
+    (out.hint("rebalance", partition_by)
         .write.mode(mode).partitionBy(partition_by).option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
