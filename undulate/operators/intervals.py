@@ -23,6 +23,10 @@ TILE = (16, 64)
 Steps = list[tuple[int, int, int, int]]
 
 
+#: Rows of a table of shells: each goes to every step of the outer offsets.
+SHELL_ROWS = 1 << 15
+
+
 def current_tile() -> tuple[int, int]:
     return TILE
 
@@ -152,11 +156,11 @@ def to_tiles(df: DataFrame, keys: Sequence[str], reach: tuple[int, int] = (0, 0)
     return out.repartition(*keys, "tz", "ty").sortWithinPartitions(*keys, "tz", "ty")
 
 
-def in_tiles(df: DataFrame, keys: Sequence[str], work: Callable, fields: str, reach: tuple[int, int] = (0, 0), extra: Sequence[str] = (), read: Sequence[str] = ()) -> DataFrame:
+def in_tiles(df: DataFrame, keys: Sequence[str], work: Callable, fields: str, reach: tuple[int, int] = (0, 0), extra: Sequence[str] = (), read: Sequence[str] = (), most: int = 1 << 18) -> DataFrame:
     """``work(table, g, z, y, a, b)`` over tables of whole tiles; it gives (rows, new columns) pairs.
 
     ``df`` has keys, z, y and x or a, b, besides ``extra`` columns and those that are only ``read``. g numbers the tiles of the table; z and y are counted
-    from the tile's first row, plus the reach. ``rows`` are those of the table whose keys and extra columns come with the new columns.
+    from the tile's first row, plus the reach. A table has about ``most`` rows. ``rows`` are those of the table whose keys and extra columns come with the new columns.
     """
     keys, extra = list(keys), list(extra)
     ends = ["x"] if "x" in df.columns else ["a", "b"]
@@ -164,7 +168,7 @@ def in_tiles(df: DataFrame, keys: Sequence[str], work: Callable, fields: str, re
     by, pad, tile = [*keys, "tz", "ty"], reach, TILE
 
     def run(batches: Iterator) -> Iterator:
-        for t in whole_groups(batches, by):
+        for t in whole_groups(batches, by, most):
             g = np.cumsum(group_starts(t, by)) - 1
             n = lambda c: t.column(c).to_numpy().astype(np.int64)
             z, y = n("z") - n("tz") * tile[0] + pad[0], n("y") - n("ty") * tile[1] + pad[1]
@@ -346,4 +350,4 @@ def shells(masks: DataFrame, run_keys: Sequence[str], unit: str, inner, outer, g
         out.remove(Rows(g, z, y, a, b), at)
         yield where[out.g], {**_placed(t, _first(g), at[out.g], out.z, out.y, reach, tile), "a": out.a, "b": out.b}
 
-    return _rows_within(in_tiles(masks, run_keys, work, "z long, y long, a long, b long", reach, [unit]), grid)
+    return _rows_within(in_tiles(masks, run_keys, work, "z long, y long, a long, b long", reach, [unit], most=SHELL_ROWS), grid)
