@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,11 +199,17 @@ def id_number(df: DataFrame, c: str | Column) -> Column:
     return F.coalesce(F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"), F.lit(0))
 
 
-def mixed(df: DataFrame, *cols: str | Column) -> Column:
-    """A pseudo-random integer in 0…2^31-2 from id columns of ``df``, by an explicit rule that SQL can repeat."""
+def mixing(df: DataFrame, *cols: str | Column) -> Column:
+    """What :func:`mixed` keeps of id columns before it takes in a further one: see :func:`mixed_values`."""
     h = F.lit(17).cast("long")
     for c in cols:
         h = F.pmod(h * MIX_A + F.pmod(id_number(df, c), F.lit(MIX_P)), F.lit(MIX_P))
+    return h
+
+
+def mixed(df: DataFrame, *cols: str | Column) -> Column:
+    """A pseudo-random integer in 0…2^31-2 from id columns of ``df``, by an explicit rule that SQL can repeat."""
+    h = mixing(df, *cols)
     return F.pmod(h * (F.pmod(h, F.lit(65_537)) + 1), F.lit(MIX_P))
 
 
@@ -226,6 +233,28 @@ def permuted(i: Column, n: Column, seed: Column, rounds: int = 32) -> Column:
     return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(rounds).cast("long")), i.cast("long"), swap)
 
 
+def mixed_values(h: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """:func:`mixed` of the columns that made h and of a last one, inside a task."""
+    h = (h * MIX_A + last % MIX_P) % MIX_P
+    return h * (h % 65_537 + 1) % MIX_P
+
+
+def permuted_values(n: int, seeds: np.ndarray, rounds: int = 32) -> np.ndarray:
+    """Images of 0…n-1 by :func:`permuted` for each of the seeds, one row each, inside a task."""
+
+    def mix(v: np.ndarray) -> np.ndarray:
+        v = v % MIX_P * MIX_A % MIX_P
+        return v * (v % 65_537 + 1) % MIX_P
+
+    x = np.tile(np.arange(n, dtype=np.int64), (len(seeds), 1))
+    for r in range(1, rounds + 1):
+        u = mix(seeds.astype(np.int64) + r * 1_000_003)[:, None]
+        y = u % n - x
+        y += n * (y < 0)
+        x = np.where(mix(u + (np.maximum(x, y) + 1) * 7919) >= MIX_P // 2, y, x)
+    return x
+
+
 def permuted_sql(i: str, n: str, seed: str, rounds: int = 32) -> str:
     """The same as a DuckDB expression."""
     mix = lambda v: f"(((({v}) % {MIX_P}) * {MIX_A} % {MIX_P}) * (((({v}) % {MIX_P}) * {MIX_A} % {MIX_P}) % 65537 + 1) % {MIX_P})"

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from undulate.functions.scalar import mixed, permuted
+from undulate.functions.scalar import mixed_values, mixing, permuted_values
+from undulate.operators.blocks import codes, starts
 from undulate.operators.joins import exclude_near, nearest_onset, window_around_events
 from undulate.operators.ranks import pearson, with_average_rank
 from undulate.operators.rolling import gaussian_smooth_1d, islands, peak_of_run, refractory, rising_edges
@@ -397,20 +401,80 @@ def kendall_w(latencies, run_keys, event, unit, value, least_events: int = 3, le
     return agreement(order_ranks(latencies, run_keys, event, unit, value, least_events, least_share, least_units), run_keys, unit)
 
 
+PARTED = 1024  # events of a run in a part, which goes to one task
+MOVED = 1 << 18  # permuted values a task works on at once
+
+
+def permuted_sums(events: DataFrame, run_keys, event: str, values: list[str], n_rep: int, moved: Callable[..., np.ndarray]) -> DataFrame:
+    """``run_keys, rep, _sum``: sums over a run's events of ``moved(permutations, *values)``, in parts of runs.
+
+    ``events`` has a row for each event, with arrays of equal lengths as values. ``moved`` gets the permutations of some
+    events of one length (events, replicates, length) and their arrays (events, length), and returns (events, replicates, sums).
+    A part is the events of a run that one batch of a task holds; what leaves a task are its sums.
+    """
+    import pyarrow as pa
+
+    run_keys = list(run_keys)
+    count = events.groupBy(*run_keys).agg(F.ceil(F.count(F.lit(1)) / PARTED).alias("_np"))
+    e = events.join(count, run_keys).withColumn("_part", F.pmod(F.xxhash64(event), F.col("_np")))
+    e = e.select(*run_keys, "_part", mixing(e, *run_keys, event).alias("_h"), *values)
+    e = e.repartition(*run_keys, "_part").sortWithinPartitions(*run_keys, "_part").select(*run_keys, "_h", *values)
+    schema = ", ".join(f"{c} {e.schema[c].dataType.simpleString()}" for c in run_keys) + ", rep int, _sum array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps = np.arange(n_rep, dtype=np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = np.cumsum(starts(*(codes(b.column(c)) for c in run_keys))) - 1 if run_keys else np.zeros(b.num_rows, int)
+            h = b.column("_h").to_numpy()
+            lists = [b.column(v) for v in values]
+            flat = [x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in lists]
+            sizes = lists[0].value_lengths().to_numpy()
+            first = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == n)
+                if not n:
+                    continue
+                sums: dict[int, np.ndarray] = {}
+                step = max(1, MOVED // (n * n_rep))
+                for lo in range(0, len(rows), step):
+                    at = rows[lo : lo + step]
+                    image = permuted_values(n, mixed_values(h[at][:, None], reps).ravel()).reshape(len(at), n_rep, n)
+                    got = moved(image, *(x[first[at][:, None] + np.arange(n)] for x in flat))
+                    head = np.flatnonzero(starts(own[at]))
+                    for k, s in zip(at[head].tolist(), np.add.reduceat(got, head, axis=0)):
+                        sums[own[k]] = sums[own[k]] + s if own[k] in sums else s
+                rows_of = np.searchsorted(own, np.fromiter(sums, int))  # a row of each run, for its keys
+                for lo in range(0, len(rows_of), 256):
+                    part = np.concatenate(list(sums.values())[lo : lo + 256])
+                    keys = b.select(run_keys).take(pa.array(np.repeat(rows_of[lo : lo + 256], n_rep))) if run_keys else None
+                    offsets = np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]
+                    yield pa.RecordBatch.from_arrays(
+                        [*(keys.columns if run_keys else []), pa.array(np.tile(reps.astype(np.int32), len(part) // n_rep)), pa.ListArray.from_arrays(offsets, part.ravel())],
+                        names=[*run_keys, "rep", "_sum"])
+
+    return e.mapInArrow(run, schema)
+
+
 def leader_order_p(latencies, run_keys, event, unit, value, n_rep: int = 200, least_events: int = 3, least_share: float = 0.5, least_units: int = 5) -> DataFrame:
     """``run_keys, n, m, w, p``: W against ranks permuted among the units inside each event.
 
     The ranks of an event are one array (the units of one event bound it), and a keyed permutation tells which of them the
-    i-th unit gets in a replicate: nothing is sorted per replicate. Events are numbered by their ids in the key.
+    i-th unit gets in a replicate: nothing is sorted per replicate, and tasks give on the units' sums of ranks only. Events are
+    numbered by their ids in the key.
     """
     run_keys = list(run_keys)
     r = cut_lineage(order_ranks(latencies, run_keys, event, unit, value, least_events, least_share, least_units))
     obs = agreement(r, run_keys, unit)
     e = r.groupBy(*run_keys, event).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), "_rank"))), lambda x: x["_rank"]).alias("_ranks"))
-    e = e.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1)))).withColumn("_n", F.size("_ranks").cast("long"))
-    e = e.withColumn("_seed", mixed(e, *run_keys, event, "rep")).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    moved = e.select(*run_keys, "rep", "_i", F.element_at("_ranks", (permuted(F.col("_i"), F.col("_n"), F.col("_seed")) + 1).cast("int")).alias("_rank"))
-    null = agreement(moved, [*run_keys, "rep"], "_i").select(*run_keys, F.col("w").alias("_w"))
+    sums = permuted_sums(e, run_keys, event, ["_ranks"], n_rep, lambda image, ranks: np.take_along_axis(ranks[:, None, :], image, 2))
+    added = F.reduce(F.collect_list("_sum"), F.transform(F.first("_sum"), lambda _: F.lit(0.0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+    s = sums.groupBy(*run_keys, "rep").agg(added.alias("_s")).join(obs.select(*run_keys, "n", "m"), run_keys)
+    mean = F.aggregate("_s", F.lit(0.0), lambda a, x: a + x) / F.col("n")
+    s = s.withColumn("_mean", mean).withColumn("_ss", F.aggregate("_s", F.lit(0.0), lambda a, x: a + (x - F.col("_mean")) * (x - F.col("_mean"))))
+    m, n = F.col("m").cast("double"), F.col("n").cast("double")
+    null = s.select(*run_keys, (12 * F.col("_ss") / (m * m * (n * n * n - n))).alias("_w"))
     hits = null.join(obs, run_keys).groupBy(*run_keys).agg(F.sum((F.round("_w", 9) >= F.round("w", 9)).cast("long")).alias("_ge"))
     return obs.join(hits, run_keys).select(*run_keys, "n", "m", "w", ((1 + F.col("_ge")) / (1 + n_rep)).alias("p"))
 
@@ -434,11 +498,8 @@ def recruitment_p(points, run_keys, event, unit, onset: str, depth: str, n_rep:
     runs = e.groupBy(*run_keys).agg(F.count(F.lit(1)).alias("n_events"), F.sum("_n").alias("_points"), F.sum("_od").alias("_od"), F.sum("_dd").alias("_dd"),
                                     F.sum((F.col("_od") > 0).cast("long")).alias("n_pos"), F.sum((F.col("_dd") > 0).cast("long")).alias("n_slopes"))
     runs = runs.filter((F.col("n_events") >= least_events) & (F.col("_points") >= least_points) & (F.col("_dd") > 0))
-    r = e.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n_rep - 1))))
-    r = r.withColumn("_seed", mixed(r, *key, "rep"))
-    i = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
-    moved = F.transform(i, lambda k: F.element_at("_d", (permuted(k, F.col("_n"), F.col("_seed")) + 1).cast("int")))
-    null = r.select(*run_keys, "rep", total("_o", moved).alias("_x")).groupBy(*run_keys, "rep").agg(F.sum("_x").alias("_x"))
+    sums = permuted_sums(e, run_keys, event, ["_o", "_d"], n_rep, lambda image, o, d: (np.take_along_axis(d[:, None, :], image, 2) * o[:, None, :]).sum(2, keepdims=True))
+    null = sums.groupBy(*run_keys, "rep").agg(F.sum(F.element_at("_sum", 1)).alias("_x"))
     hits = null.join(runs.select(*run_keys, "_od"), run_keys).groupBy(*run_keys).agg(F.sum((F.round(F.abs("_x"), 9) >= F.round(F.abs("_od"), 9)).cast("long")).alias("_ge"))
     return runs.join(hits, run_keys).select(*run_keys, "n_events", (F.col("_od") / F.col("_dd")).alias("slope"), ((1 + F.col("_ge")) / (1 + n_rep)).alias("p"), "n_pos", "n_slopes")
 
