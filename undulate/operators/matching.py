@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undulate.operators.blocks import codes, group_starts, starts, whole_groups
 from undulate.operators.graph import components_with_singletons, first_wins
 from undulate.operators.ranks import pearson
 from undulate.session import cut_lineage
 
 ZYX = ["z", "y", "x"]
+#: A run of at most so many units and voxel rows is compared whole in a task; columns of its matrix at a time.
+UNITS, ROWS, COLUMNS = 512, 1 << 18, 4096
 
 
 def overlap_matrix(a, b, run_keys, unit: str, self_pairs: bool = False) -> DataFrame:
@@ -37,7 +43,99 @@ def measures(o: DataFrame, run_keys) -> DataFrame:
                     (ab / F.least(a, b)).alias("overlap_coef"), (ab / a).alias("frac_a"), (ab / b).alias("frac_b"))
 
 
+def _by_size(masks, run_keys, unit: str) -> tuple[DataFrame, DataFrame | None]:
+    """Masks of the runs that a task compares whole, and of the other ones (None if there are none)."""
+    run_keys = list(run_keys)
+    n = masks.groupBy(*run_keys, unit).agg(F.count(F.lit(1)).alias("_r")).groupBy(*run_keys).agg(F.count(F.lit(1)).alias("_u"), F.sum("_r").alias("_r"))
+    large = cut_lineage(n.filter((F.col("_u") > UNITS) | (F.col("_r") > ROWS)).select(*run_keys))
+    if large.isEmpty():
+        return masks, None
+    return masks.join(large, run_keys, "left_anti"), masks.join(large, run_keys, "left_semi")
+
+
+def _compared(masks, run_keys, unit: str, schema: str, found: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, ...]], names: list[str], of_unit: int) -> DataFrame:
+    """Rows that ``found`` makes of each run's matrix of shared voxels and its sizes, both in order of units.
+
+    The first ``of_unit`` arrays of ``found`` are places of units, which become their ids. Runs are shuffled once, whole.
+    """
+    import pyarrow as pa
+
+    run_keys = list(run_keys)
+    m = masks.select(*run_keys, unit, *ZYX).repartition(*run_keys).sortWithinPartitions(*run_keys, unit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, run_keys):
+            new = group_starts(t, run_keys)
+            first_of_unit = new | starts(codes(t.column(unit)))
+            units = np.cumsum(first_of_unit) - 1
+            rows = np.flatnonzero(first_of_unit)  # a row of each unit
+            voxel = voxel_codes(t)
+            edges = np.append(np.flatnonzero(new), t.num_rows)
+            out = []
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+                u0 = units[lo]
+                u = units[lo:hi] - u0
+                _, v = np.unique(voxel[lo:hi], return_inverse=True)
+                both, n = shared(u, v, int(u[-1]) + 1)
+                got = found(both, n)
+                if len(got[0]):
+                    out.append((*(x + u0 for x in got[:of_unit]), *got[of_unit:]))
+            if out:
+                got = [np.concatenate(x) for x in zip(*out)]
+                at = [pa.array(rows[x]) for x in got[:of_unit]]
+                own = t.select(run_keys).take(at[0]).combine_chunks()
+                cols = [own.column(c) for c in run_keys] + [t.column(unit).take(x) for x in at] + [pa.chunked_array([pa.array(x)]) for x in got[of_unit:]]
+                yield from pa.table(dict(zip([*run_keys, *names], cols))).combine_chunks().to_batches()
+
+    return m.mapInArrow(run, schema)
+
+
+def voxel_codes(t) -> np.ndarray:
+    """Numbers that are equal where all coordinates of two rows are."""
+    out = np.zeros(t.num_rows, np.int64)
+    for c in ZYX:
+        _, x = np.unique(codes(t.column(c)), return_inverse=True)
+        out = np.unique(out * (int(x.max(initial=0)) + 1) + x, return_inverse=True)[1]
+    return out
+
+
+def shared(u: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Voxels that each two of n units share, and the units' sizes; repeated rows count once."""
+    both, width = np.zeros((n, n), np.float32), int(v.max()) + 1
+    for lo in range(0, width, COLUMNS):
+        part = (v >= lo) & (v < lo + COLUMNS) if width > COLUMNS else slice(None)
+        x = np.zeros((n, min(COLUMNS, width - lo)), np.float32)
+        x[u[part], v[part] - lo] = 1
+        both += x @ x.T
+    both = both.astype(np.int64)  # whole numbers up to ROWS
+    return both, both.diagonal()
+
+
+def dices(both: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Dice of each pair a before b; 0 elsewhere."""
+    return np.triu(2 * both / (n[:, None] + n[None, :]), 1)
+
+
 def similar_pairs(masks, run_keys, unit: str, dice: float) -> DataFrame:
+    """Unit pairs with Dice > ``dice``.
+
+    A run of at most UNITS units is one product of matrices in a task, which gives on its similar pairs only; the
+    pairs of larger runs are found by prefix filtering.
+    """
+    run_keys = list(run_keys)
+    small, large = _by_size(masks, run_keys, unit)
+
+    def found(both: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        a, b = np.nonzero(dices(both, n) > dice)
+        return a, b, both[a, b], n[a], n[b]
+
+    kind = masks.schema[unit].dataType.simpleString()
+    schema = "".join(f"{c} {masks.schema[c].dataType.simpleString()}, " for c in run_keys) + f"a {kind}, b {kind}, n_ab bigint, n_a bigint, n_b bigint"
+    o = measures(_compared(small.dropna(subset=[*run_keys, unit, *ZYX]), run_keys, unit, schema, found, ["a", "b", "n_ab", "n_a", "n_b"], 2), run_keys)
+    return o if large is None else o.unionByName(similar_pairs_by_prefix(large, run_keys, unit, dice))
+
+
+def similar_pairs_by_prefix(masks, run_keys, unit: str, dice: float) -> DataFrame:
     """Unit pairs with Dice > ``dice`` by exact prefix filtering.
 
     Voxels are ordered from rare to common. Two sets with Dice above d share at
@@ -81,13 +179,30 @@ def collapse_identical(masks, run_keys, unit: str) -> DataFrame:
 def dedup_dice(masks, run_keys, unit: str, dice: float = 0.70) -> DataFrame:
     """First-wins duplicate removal: ``unit, kept``.
 
-    Exact copies go first (only the first of a group of copies can stay), the
-    rest is decided on the graph of similar pairs.
+    Exact copies go first (only the first of a group of copies can stay). Runs that a task compares whole are
+    settled there; in larger ones the rest is decided on the graph of similar pairs.
     """
     run_keys = list(run_keys)
+    small, large = _by_size(masks, run_keys, unit)
+
+    def found(both: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+        d = dices(both, n)
+        conflict, kept = (d > dice) | (d == 1), np.ones(len(n), bool)
+        for b in np.flatnonzero(conflict.any(axis=0)).tolist():
+            kept[b] = not (conflict[:b, b] & kept[:b]).any()
+        return np.arange(len(n)), kept
+
+    schema = ", ".join(f"{c} {masks.schema[c].dataType.simpleString()}" for c in [*run_keys, unit]) + ", kept boolean"
+    out = _compared(small, run_keys, unit, schema, found, [unit, "kept"], 1)
+    return out if large is None else out.unionByName(dedup_dice_by_graph(large, run_keys, unit, dice))
+
+
+def dedup_dice_by_graph(masks, run_keys, unit: str, dice: float = 0.70) -> DataFrame:
+    """The same for runs of any size: copies collapse to their first unit, the others are decided in rounds."""
+    run_keys = list(run_keys)
     rep = cut_lineage(collapse_identical(masks, run_keys, unit))
     first = masks.join(rep.filter(F.col(unit) == F.col("rep")).select(*run_keys, unit), [*run_keys, unit], "left_semi")
-    dec = first_wins(first, similar_pairs(first, run_keys, unit, dice), run_keys, unit)
+    dec = first_wins(first, similar_pairs_by_prefix(first, run_keys, unit, dice), run_keys, unit)
     copies = rep.filter(F.col(unit) != F.col("rep")).select(*run_keys, unit, F.lit(False).alias("kept"))
     return dec.select(*run_keys, unit, "kept").unionByName(copies)
 
