@@ -512,6 +512,12 @@ def slope_per_event(points, event_keys, y, x, min_n: int = 3) -> DataFrame:
         F.regr_slope(y, x).alias("slope"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_n)
 
 
+def slope_summary(slopes, keys) -> DataFrame:
+    """``n_events, mean_slope, n_pos`` of the events of a key; a slope of 0 that sums of doubles leave at 1e-16 is not positive."""
+    return slopes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_events"), F.avg("slope").alias("mean_slope"),
+                                     F.count_if(F.round("slope", 12) > 0).alias("n_pos"))
+
+
 def direction_class(slope: str, eps: float) -> Column:
     return F.when(F.col(slope) > eps, "down").when(F.col(slope) < -eps, "up").otherwise("flat")
 
