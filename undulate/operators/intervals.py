@@ -8,6 +8,7 @@ the data moved are voxels (or runs), not voxels times offsets. A tile is bounded
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from copy import copy
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,10 @@ Steps = list[tuple[int, int, int, int]]
 SHELL_ROWS = 1 << 15
 
 
+#: Moved runs that are merged at a time.
+MOVED = 1 << 21
+
+
 def current_tile() -> tuple[int, int]:
     return TILE
 
@@ -351,3 +356,39 @@ def shells(masks: DataFrame, run_keys: Sequence[str], unit: str, inner, outer, g
         yield where[out.g], {**_placed(t, _first(g), at[out.g], out.z, out.y, reach, tile), "a": out.a, "b": out.b}
 
     return _rows_within(in_tiles(masks, run_keys, work, "z long, y long, a long, b long", reach, [unit], most=SHELL_ROWS), grid)
+
+
+def _reached(r: Rows, steps: Steps, reach: tuple[int, int], tile: tuple[int, int]) -> Rows:
+    """Union of the runs moved by all steps, in the tile; few steps at a time however many there are."""
+    out, part = None, max(1, MOVED // max(1, len(r.a)))
+    for lo in range(0, len(steps), part):
+        g, z, y, a, b = r.moved(steps[lo : lo + part])
+        own = _own(z, y, reach, tile)
+        cols = (g[own], z[own], y[own], a[own], b[own])
+        if out is not None:
+            cols = tuple(np.concatenate(c) for c in zip((out.g, out.z, out.y, out.a, out.b), cols))
+        out = Rows(*cols)
+    return out
+
+
+def rings(masks: DataFrame, keys: Sequence[str], balls, grid=None) -> DataFrame:
+    """Runs of what each of growing sets of offsets reaches beyond the one before: ``keys, z, y, a, b, ring``.
+
+    The first set is what the first ring leaves out. Voxels are shuffled once; only runs leave a task.
+    """
+    steps = [steps_of(b) for b in balls]
+    reach = tuple(map(max, zip(*map(_reach, steps))))
+
+    tile = current_tile()
+
+    def work(t, g, z, y, a, b):
+        r, first = Rows(g, z, y, a, b), _first(g)
+        inner = _reached(r, steps[0], reach, tile)
+        for i, s in enumerate(steps[1:]):
+            outer = _reached(r, s, reach, tile)
+            out = copy(outer)
+            out.remove(inner)
+            yield first[out.g], {**_placed(t, first, out.g, out.z, out.y, reach, tile), "a": out.a, "b": out.b, "ring": np.full(len(out.a), i)}
+            inner = outer
+
+    return _rows_within(in_tiles(masks, keys, work, "z long, y long, a long, b long, ring long", reach, most=SHELL_ROWS), grid)

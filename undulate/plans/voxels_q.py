@@ -87,8 +87,8 @@ def _(spark, d):
 nr AS (SELECT run_id, unit, z + dz AS z, y + dy AS y, x + dx AS x, min(dd) AS dist FROM masks, b GROUP BY ALL)
 SELECT run_id, unit, CASE WHEN dist <= 2 + 1e-9 THEN 0 ELSE 1 END AS ring, count(*) AS n FROM nr WHERE dist > 0 AND {INGRID} GROUP BY ALL""")
 def _(spark, d):
-    r = V.distance_rings(I.masks(spark, d), K, [0.0, 2.0, 4.0], (3.9, 1.0, 1.2), GRID)
-    return r.groupBy(*K, "ring").agg(F.count(F.lit(1)).alias("n"))
+    r = V.ring_runs(I.mask_rows(spark, d), K, [0.0, 2.0, 4.0], (3.9, 1.0, 1.2), GRID)
+    return r.groupBy(*K, "ring").agg(F.sum(F.expr("b - a + 1")).alias("n"))
 
 
 NODE = "(z << 42) + (y << 21) + x"
