@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from undulate.operators.blocks import components
 from undulate.operators.joins import window_around_events
 from undulate.operators.nulls import shift_list
 from undulate.operators.ranks import exact_quantiles, pearson, with_average_rank
 from undulate.operators.rolling import gaussian_smooth_1d, island_table, refractory_seen
 from undulate.operators.signal import linear_detrend, regress_out
+from undulate.session import cut_lineage
 
 
 def burst_bands(active, grid, run_keys, t, n_units: DataFrame, sigma: float, n_frames: int, k: float = 1.0) -> DataFrame:
@@ -96,22 +99,54 @@ def group_slopes(df, keys, y: str, x: str) -> DataFrame:
 def adjacency_sweep(masks, rates, run_keys, unit: str, radii: list[float], size=(1.0, 1.0, 1.0)) -> DataFrame:
     """Family sizes and the relation of a unit value to its family size for several adjacency radii, in one job.
 
-    Distances are computed once at the largest radius; the radius is a key of
-    the component job.
+    ``rates`` has a row a unit (None: its number of voxels). Runs of few voxels are worked out whole in a task: families grow
+    from radius to radius. Of other runs distances are computed once at the largest radius, which is a key of the component job.
+    Rows collapse to counts of (radius, size, rate) before they are ranked.
     """
+    from undulate.operators.voxels import by_size, in_whole_runs
+
+    run_keys, radii = list(run_keys), sorted({float(r) for r in radii})
+    few, many = by_size(masks, run_keys)
+
+    def work(t, u):
+        label, done = np.arange(len(u.n)), -1.0
+        for r in radii:
+            new = (u.dist > done + 1e-9) & (u.dist <= r + 1e-9)
+            a, b = label[u.a[new]], label[u.b[new]]
+            label, done = components(len(label), a[a != b], b[a != b])[label], r
+            yield u.row, {"radius": np.full(len(label), r), "size": np.bincount(label, minlength=len(label))[label], "rate": u.n.astype(float)}
+
+    c = in_whole_runs(few, run_keys, unit, max(radii), size, work, "radius double, size long, rate double")
+    if many is not None:
+        c = c.unionByName(_sweep_in_rounds(many, run_keys, unit, radii, size))
+    if rates is not None:
+        c = c.drop("rate").join(rates.select(*run_keys, unit, "rate"), [*run_keys, unit])
+    c = cut_lineage(c.groupBy("radius", "size", "rate").agg(F.count(F.lit(1)).alias("_m")))  # few rows, read for both ranks
+    c = with_average_rank(with_average_rank(c, ["radius"], "size", "_rs", rows="_m"), ["radius"], "rate", "_rr", rows="_m")
+    c = c.join(c.filter("rate IS NOT NULL").groupBy("radius").agg(((F.sum("_m") + 1) / 2).alias("_mid")), "radius", "left")
+    x = F.col("_rs") - F.col("_mid")
+    y = F.col("_rr") - F.col("_mid")
+    return c.groupBy("radius").agg(F.sum("_m").alias("n_units"), F.max("size").alias("largest"), _weighted_r(x, y).alias("rho"))
+
+
+def _weighted_r(x, y):
+    """Correlation of deviations x and y of which each stands for ``_m`` rows; NULL on a constant side."""
+    s = lambda e: F.sum(F.col("_m") * e)
+    return s(x * y) / F.nullif(F.sqrt(s(x * x) * s(y * y)), F.lit(0.0))
+
+
+def _sweep_in_rounds(masks, run_keys, unit: str, radii: list[float], size) -> DataFrame:
     from undulate.operators.graph import components_with_singletons
-    from undulate.operators.voxels import unit_distance
+    from undulate.operators.voxels import ZYX, unit_distance
 
-    run_keys = list(run_keys)
+    masks = masks.select(*run_keys, unit, *ZYX).distinct()
     e = unit_distance(masks, run_keys, unit, max(radii), size)
-    lv = F.explode(F.array(*[F.lit(float(r)) for r in radii]))
-    u = masks.select(*run_keys, unit).distinct().withColumn("radius", lv)
-    c = components_with_singletons(u, e.withColumn("radius", lv).filter(F.col("dist") <= F.col("radius")), [*run_keys, "radius"], unit, "a", "b")
-    n = c.groupBy(*run_keys, "radius", "component").agg(F.count(F.lit(1)).alias("size"))
-    j = c.join(n, [*run_keys, "radius", "component"]).join(rates, [*run_keys, unit])
-    rx = with_average_rank(j, ["radius"], "size", "_rs")
-    rx = with_average_rank(rx, ["radius"], "rate", "_rr")
-    return rx.groupBy("radius").agg(F.count(F.lit(1)).alias("n_units"), F.max("size").alias("largest"), pearson("_rs", "_rr").alias("rho"))
+    lv = F.explode(F.array(*[F.lit(r) for r in radii]))
+    n = masks.groupBy(*run_keys, unit).agg(F.count(F.lit(1)).cast("double").alias("rate"))
+    c = components_with_singletons(n.select(*run_keys, unit).withColumn("radius", lv), e.withColumn("radius", lv).filter(F.col("dist") <= F.col("radius") + 1e-9),
+                                   [*run_keys, "radius"], unit, "a", "b")
+    sizes = c.groupBy(*run_keys, "radius", "component").agg(F.count(F.lit(1)).alias("size"))
+    return c.join(sizes, [*run_keys, "radius", "component"]).join(n, [*run_keys, unit]).select(*run_keys, unit, "radius", "size", "rate")
 
 
 def cutoff_sweep(events, keys, share: str, cutoffs: list[float]) -> DataFrame:

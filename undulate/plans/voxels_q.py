@@ -345,11 +345,11 @@ def _(spark, d):
     return V.unit_distance(I.masks(spark, d), G, "unit", 1.3, (3.9, 1.0, 1.2)).select(*G, "a", "b", "dist")
 
 
-def small_units(spark, d):
-    """Orders as units: few voxels each, hence sparse adjacency."""
+def small_rows(spark, d):
+    """Orders as units: few voxels each, hence sparse adjacency; voxels may repeat."""
     l = I.table(spark, d, "lineitem")
     return l.select(F.floor(F.col("l_orderkey") / 100).cast("long").alias("run_id"), F.pmod("l_orderkey", F.lit(100)).cast("long").alias("unit"),
-                    F.col("l_linenumber").cast("long").alias("z"), F.pmod("l_partkey", F.lit(40)).cast("long").alias("y"), F.col("l_quantity").cast("long").alias("x")).distinct()
+                    F.col("l_linenumber").cast("long").alias("z"), F.pmod("l_partkey", F.lit(40)).cast("long").alias("y"), F.col("l_quantity").cast("long").alias("x"))
 
 
 SMALL = """
@@ -369,7 +369,7 @@ ml AS (SELECT run_id, node AS unit, min(o) AS "order" FROM lv GROUP BY ALL)
 SELECT f.run_id, f.unit, f.component, r.root, "order"::BIGINT AS "order", round(sqrt((c.cz - r.cz) * (c.cz - r.cz) + (c.cy - r.cy) * (c.cy - r.cy) + (c.cx - r.cx) * (c.cx - r.cx)), 6) AS root_dist
 FROM fam f JOIN rt r USING (run_id, component) JOIN cen c ON c.run_id = f.run_id AND c.unit = f.unit JOIN ml ON ml.run_id = f.run_id AND ml.unit = f.unit""")
 def _(spark, d):
-    f = V.unit_families(small_units(spark, d), G, "unit", 1.5)
+    f = V.unit_families(small_rows(spark, d), G, "unit", 1.5)
     return f.select(*K, "component", "root", "order", r6("root_dist").alias("root_dist"))
 
 
