@@ -10,3 +10,12 @@ def test_radii_of_the_sweep(spark):
     got = {r.radius: r.largest for r in QUERIES["adjacency_threshold_sweep"](spark, SRC).collect()}
     assert {2.0, 3.0, 4.0, 6.0, 8.0} <= set(got)
     assert [got[r] for r in sorted(got)] == sorted(got.values())
+
+
+def test_radius_of_adjacency(spark, tmp_path):
+    """Units are adjacent up to 4 µm apart: along y and x by 1.0 and 1.2 a voxel, along z by 3.9."""
+    rows = [(10, 1, 0, 5.0), (11, 1, 3, 5.0), (12, 2, 0, 5.0), (13, 1, 0, 9.0)]
+    df = spark.createDataFrame(rows, "l_suppkey long, l_linenumber int, l_partkey long, l_quantity double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r.a, r.b): round(r.dist, 6) for r in QUERIES["unit_adjacency"](spark, str(tmp_path)).collect()}
+    assert got == {(0, 1): 3.0, (0, 2): 3.9}

@@ -338,11 +338,11 @@ def _(spark, d):
     return V.corrected_depth(u, p, G).select(*K, r6("depth").alias("depth"))
 
 
-@query("unit_adjacency", f"""{M}, {offs_sql('o', V.ball(1.3, (3.9, 1.0, 1.2)))}
+@query("unit_adjacency", f"""{M}, {offs_sql('o', V.ball(4.0, (3.9, 1.0, 1.2)))}
 SELECT a.run_id, a.unit AS a, b.unit AS b, min(dd) AS dist FROM (SELECT *, z + dz AS z2, y + dy AS y2, x + dx AS x2 FROM masks, o) a
 JOIN masks b ON b.run_id = a.run_id AND b.z = z2 AND b.y = y2 AND b.x = x2 AND a.unit < b.unit GROUP BY ALL""")
 def _(spark, d):
-    return V.unit_distance(I.masks(spark, d), G, "unit", 1.3, (3.9, 1.0, 1.2)).select(*G, "a", "b", "dist")
+    return V.unit_distance(I.mask_rows(spark, d), G, "unit", 4.0, (3.9, 1.0, 1.2)).select(*G, "a", "b", "dist")
 
 
 def small_rows(spark, d):
