@@ -19,3 +19,11 @@ def test_radius_of_adjacency(spark, tmp_path):
     df.coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r.a, r.b): round(r.dist, 6) for r in QUERIES["unit_adjacency"](spark, str(tmp_path)).collect()}
     assert got == {(0, 1): 3.0, (0, 2): 3.9}
+
+
+def test_subsets_of_independence_controls(spark):
+    """Event frames are a subset of their own, half of the units count as high SNR, and each subset has its effective dimension."""
+    rows = QUERIES["independence_controls"](spark, SRC).collect()
+    assert {r.subset for r in rows} == {"all", "high_snr", "event_frames", "first_half", "second_half"}
+    assert {r.n_pairs for r in rows if r.subset == "high_snr"} == {28}
+    assert all(1 / 15 <= r.eff_dim <= 1 for r in rows if r.subset == "all")
