@@ -1,5 +1,7 @@
 """Queries do the work of the parameters that the survey names."""
 
+import datetime as dt
+
 from undulate.plans import QUERIES, load_all
 
 load_all()
@@ -27,3 +29,14 @@ def test_subsets_of_independence_controls(spark):
     assert {r.subset for r in rows} == {"all", "high_snr", "event_frames", "first_half", "second_half"}
     assert {r.n_pairs for r in rows if r.subset == "high_snr"} == {28}
     assert all(1 / 15 <= r.eff_dim <= 1 for r in rows if r.subset == "all")
+
+
+def test_transients_among_temporal_features(spark, tmp_path):
+    """One unit with peaks at frames 10, 12 (too near to 10) and 40; the other is level but for one low bump."""
+    day = dt.datetime(2024, 1, 1, 1)
+    values = {0: {10: 90.0, 12: 80.0, 40: 70.0}, 1: {f: 5.0 + (f == 30) for f in range(60)}}
+    e = [(60 * u + f, day + dt.timedelta(hours=12 * f), u, "click", v, "{}") for u, x in values.items() for f, v in x.items()]
+    df = spark.createDataFrame(e, "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.unit: (r.n_transients, r.p5, r.snr) for r in QUERIES["temporal_features"](spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 0.0, round(3.5 / 1e-6, 5)), 1: (1, 5.0, round(5.0 / 1e-6, 5))}
